@@ -6,7 +6,7 @@ carry ``(file, block, offset)``, so their file order survives splitting.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exprstudy.functions.barcodes import barcode_struct, clean_barcode, gene_id_struct, parse_number, unquote
@@ -43,21 +43,27 @@ def header(lines: DataFrame, strict: bool = True) -> DataFrame:
     ``strict`` fails on a first column other than gene_id, on an empty header, on a
     barcode that does not parse and on duplicates.
     """
-    cells = F.transform(fields(F.col("line")), unquote)
-    first = F.regexp_replace(F.regexp_replace(F.lower(F.trim(cells[0])), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    samples = F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))
+    head = lines.where("line_index = 0").select(fields(F.col("line")).alias("raw"))
     if strict:
-        samples = fail_when(F.size(cells) < 2, "header must contain gene_id and at least one sample", samples)
-        samples = fail_when(first != "gene_id", F.concat(F.lit("expected gene_id first, found "), cells[0]), samples)
-    barcodes = F.transform(samples, clean_barcode)
+        short = "header must contain gene_id and at least one sample"
+        head = head.where(fail_when(F.size("raw") < 2, short, F.lit(True)))
+    cells = head.select(F.posexplode("raw").alias("position", "cell")).withColumn("cell", unquote(F.col("cell")))
     if strict:
-        barcodes = fail_when(
-            F.size(F.array_distinct(barcodes)) < F.size(barcodes), "duplicate column barcodes", barcodes
-        )
-    exploded = lines.where("line_index = 0").select(F.posexplode(barcodes).alias("position", "barcode"))
-    if strict:
-        exploded = exploded.withColumn("barcode", barcode_struct(F.col("barcode"))["raw"])
-    return exploded.select(F.col("position").cast("bigint").alias("matrix_index"), "barcode")
+        plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim("cell")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+        wrong = (F.col("position") == 0) & (plain != "gene_id")
+        message = F.concat(F.lit("expected gene_id as first column, found "), F.col("cell"))
+        cells = cells.where(fail_when(wrong, message, F.lit(True)))
+    barcodes = cells.where("position > 0").select(
+        (F.col("position") - 1).cast("bigint").alias("matrix_index"), clean_barcode(F.col("cell")).alias("barcode")
+    )
+    if not strict:
+        return barcodes
+    # a header is one line of text, so its names meet in few tasks whatever the matrix size
+    first = F.min("matrix_index").over(Window.partitionBy("barcode"))
+    parsed = barcodes.select("matrix_index", "barcode", first.alias("first"), barcode_struct(F.col("barcode")).alias("p"))
+    repeated = F.col("first") != F.col("matrix_index")
+    message = F.concat(F.lit("duplicate column barcode: "), F.col("barcode"))
+    return parsed.select("matrix_index", fail_when(repeated, message, F.col("p.raw")).alias("barcode"))
 
 
 def scan_stats(lines: DataFrame) -> DataFrame:
