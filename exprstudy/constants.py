@@ -21,7 +21,8 @@ RNA_PLATFORM = "IlluminaHiSeq_RNASeqV2"
 PRIMARY_SAMPLE_CODE = "01"
 
 PARTICIPANT_PATTERN = "^TCGA-[A-Z0-9]{2}-[A-Z0-9]{4}$"
-SAMPLE_FIELD_PATTERN = "^[0-9]{2}[A-Z]?$"
+# participant, then optionally a sample code with a vial letter, then anything
+BARCODE_PATTERN = "^(TCGA-[A-Z0-9]{2}-[A-Z0-9]{4})(?:-([0-9]{2})([A-Z]?)(?:-.*)?)?$"
 COMPACT_FIELD_PATTERN = "^[0-9]{2}[A-Z][0-9]{2}$"
 
 TRUE_WORDS = ("true", "t", "1", "yes", "y")

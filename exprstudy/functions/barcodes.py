@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from exprstudy.constants import (
+    BARCODE_PATTERN,
     COMPACT_FIELD_PATTERN,
     FALSE_WORDS,
     MISSING_WORDS,
     PARTICIPANT_PATTERN,
     PRIMARY_SAMPLE_CODE,
-    SAMPLE_FIELD_PATTERN,
     TRUE_WORDS,
 )
 from exprstudy.functions.checks import fail_when
@@ -43,30 +43,28 @@ def barcode_struct(col: Column, strict: bool = True) -> Column:
     ``error`` names the reason.
     """
     raw = clean_barcode(col)
+    part = lambda group: F.nullif(F.regexp_extract(raw, BARCODE_PATTERN, group), F.lit(""))
+    participant, code = part(1), part(2)
+    good = F.coalesce(raw.rlike(BARCODE_PATTERN), F.lit(False))
     fields = F.split(raw, "-")
-    n_fields = F.size(fields)
-    participant = F.concat_ws("-", F.slice(fields, 1, 3))
-    fourth = F.try_element_at(fields, F.lit(4))
-    error = (
-        F.when(col.isNull() | (n_fields < 3), F.lit("too_few_fields"))
-        .when(~participant.rlike(PARTICIPANT_PATTERN), F.lit("bad_participant"))
-        .when((n_fields > 3) & ~fourth.rlike(SAMPLE_FIELD_PATTERN), F.lit("bad_sample_field"))
+    error = F.when(
+        ~good,
+        F.when(raw.isNull() | (F.size(fields) < 3), F.lit("too_few_fields"))
+        .when(~F.concat_ws("-", F.slice(fields, 1, 3)).rlike(PARTICIPANT_PATTERN), F.lit("bad_participant"))
+        .otherwise(F.lit("bad_sample_field")),
     )
-    has_sample = error.isNull() & (n_fields > 3)
-    code = F.when(has_sample, F.substring(fourth, 1, 2))
-    vial = F.when(has_sample & (F.length(fourth) == 3), F.substring(fourth, 3, 1))
-    parsed = F.struct(
+    if strict:
+        message = F.concat(F.lit("invalid barcode: "), F.coalesce(raw, F.lit("null")))
+        error = F.when(~good, F.raise_error(message).cast("string"))
+    return F.struct(
         raw.alias("raw"),
-        F.when(error.isNull(), participant).alias("participant"),
-        F.when(has_sample, F.concat_ws("-", participant, code)).alias("sample"),
+        participant.alias("participant"),
+        F.when(code.isNotNull(), F.concat_ws("-", participant, code)).alias("sample"),
         code.alias("sample_type_code"),
-        vial.alias("vial"),
+        part(3).alias("vial"),
         F.coalesce(code == PRIMARY_SAMPLE_CODE, F.lit(False)).alias("is_primary"),
         error.alias("error"),
     )
-    if not strict:
-        return parsed
-    return fail_when(error.isNotNull(), F.concat(F.lit("invalid barcode ("), error, F.lit("): "), raw), parsed)
 
 
 def parse_bool(col: Column, strict: bool = True) -> Column:

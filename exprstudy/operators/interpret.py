@@ -82,7 +82,8 @@ def stability_histogram(selected: DataFrame, k: int) -> DataFrame:
     folds = selected.groupBy("gene_index").agg(F.count_distinct("eval_fold").alias("selected_folds"))
     counts = folds.groupBy("selected_folds").agg(F.count(F.lit(1)).alias("n_genes"))
     total = counts.agg(F.sum("n_genes").alias("union_genes"))
-    every = total.select("union_genes", F.explode(F.sequence(F.lit(1), F.lit(k))).cast("bigint").alias("selected_folds"))
+    numbers = F.array(*[F.lit(i).cast("bigint") for i in range(1, k + 1)])
+    every = total.select("union_genes", F.explode(numbers).alias("selected_folds"))
     return every.join(counts, "selected_folds", "left").select(
         "selected_folds",
         F.coalesce("n_genes", F.lit(0)).alias("n_genes"),

@@ -86,7 +86,7 @@ def estimator(name: str, n_train: int, n_classes: int, seed: int = DEFAULT_SEED,
     if n_classes == 2:
         return binary
     return OneVsRest(
-        classifier=binary, featuresCol="x", labelCol="label", weightCol="weight", parallelism=params.get("parallelism", 4)
+        classifier=binary, featuresCol="x", labelCol="label", weightCol="weight", parallelism=params.get("ovr_parallelism", 4)
     )
 
 

@@ -587,8 +587,8 @@ SELECT s.k AS selected_folds, coalesce(h.n, 0) AS n_genes,
     sql["evidence_union"] = f"""
 WITH {FOLD_METRICS}
 SELECT candidate_id, CASE event_type WHEN 'error' THEN 'elastic_net' WHEN 'purchase' THEN 'boosted' ELSE 'k' || k END AS model,
-       CASE WHEN event_type IN ('error', 'purchase') THEN k::VARCHAR END AS gene_budget, round(mean, 5) AS macro_f1_mean,
-       round(std, 5) AS macro_f1_std, round(mean / 2, 5) AS balanced_accuracy_mean, round(seconds, 5) AS wall_seconds, evidence_file
+       CASE WHEN event_type IN ('error', 'purchase') THEN k::VARCHAR END AS gene_budget, round(mean, 9) AS macro_f1_mean,
+       round(std, 9) AS macro_f1_std, round(mean / 2, 9) AS balanced_accuracy_mean, round(seconds, 9) AS wall_seconds, evidence_file
 FROM listed"""
     sql["evidence_gate"] = """
 SELECT DISTINCT event_type || '.json' AS evidence_file,
@@ -597,15 +597,15 @@ FROM events WHERE event_type IN ('view', 'signup')"""
     sql["candidate_ranking"] = f"""
 WITH {FOLD_METRICS}
 SELECT row_number() OVER (ORDER BY mean DESC, candidate_id, event_type)::INT AS rank_by_macro_f1, candidate_id,
-       round(mean, 5) AS macro_f1_mean FROM listed"""
+       round(mean, 9) AS macro_f1_mean FROM listed"""
     sql["candidate_tradeoff"] = f"""
 WITH {FOLD_METRICS},
 c AS (SELECT event_type || ':' || lpad(k::VARCHAR, 3, '0') AS id, * FROM fm),
 m AS (SELECT id, avg(value) AS mean, sum(seconds) AS wall FROM c GROUP BY id),
 b AS (SELECT id, mean, wall FROM m ORDER BY mean DESC, id LIMIT 1),
 l AS (SELECT fold, value FROM c WHERE id = (SELECT id FROM b))
-SELECT c.id AS candidate_id, round(avg(c.value), 5) AS mean, round(avg(c.value) - avg(l.value), 5) AS gap_to_best,
-       count_if(c.value > l.value)::BIGINT AS folds_won, round(any_value(m.wall) / (SELECT wall FROM b), 5) AS cost_ratio
+SELECT c.id AS candidate_id, round(avg(c.value), 9) AS mean, round(avg(c.value) - avg(l.value), 9) AS gap_to_best,
+       count_if(c.value > l.value)::BIGINT AS folds_won, round(any_value(m.wall) / (SELECT wall FROM b), 9) AS cost_ratio
 FROM c JOIN l USING (fold) JOIN m USING (id) GROUP BY c.id"""
     sql["hardest_first"] = f"""
 WITH {PREDICTIONS}, g AS (

@@ -603,7 +603,7 @@ def stability_histogram(spark, sf):
 @query
 def evidence_union(spark, sf):
     found = compare.candidates(roles.evidence(spark, sf))
-    return rounded(found, ["macro_f1_mean", "macro_f1_std", "balanced_accuracy_mean", "wall_seconds"], 5)
+    return rounded(found, ["macro_f1_mean", "macro_f1_std", "balanced_accuracy_mean", "wall_seconds"], 9)
 
 
 @query
@@ -614,7 +614,7 @@ def evidence_gate(spark, sf):
 @query
 def candidate_ranking(spark, sf):
     found = compare.compare(roles.evidence(spark, sf))
-    return rounded(found.select("rank_by_macro_f1", "candidate_id", "macro_f1_mean"), ["macro_f1_mean"], 5)
+    return rounded(found.select("rank_by_macro_f1", "candidate_id", "macro_f1_mean"), ["macro_f1_mean"], 9)
 
 
 @query
@@ -622,7 +622,7 @@ def candidate_tradeoff(spark, sf):
     per_fold = roles.fold_metrics(spark, sf)
     walls = per_fold.groupBy("candidate_id").agg(F.sum("seconds").alias("wall_seconds"))
     found = compare.tradeoff(per_fold.select("candidate_id", "fold", "value"), walls)
-    return rounded(found, ["mean", "gap_to_best", "cost_ratio"], 5)
+    return rounded(found, ["mean", "gap_to_best", "cost_ratio"], 9)
 
 
 @query
@@ -645,9 +645,9 @@ def run_speedup(spark, sf):
 QUICK = {
     "logistic_l2": {"max_iter": 10},
     "elastic_net": {"max_iter": 10},
-    "linear_svm": {"max_iter": 3, "parallelism": 5},
+    "linear_svm": {"max_iter": 3, "ovr_parallelism": 5},
     "pca_logistic": {"pca_components": 10, "max_iter": 10},
-    "boosted_trees": {"n_estimators": 2, "max_depth": 2, "max_bin": 16, "parallelism": 5},
+    "boosted_trees": {"n_estimators": 2, "max_depth": 2, "max_bin": 16, "ovr_parallelism": 5},
 }
 
 
