@@ -23,7 +23,8 @@ PRIMARY_SAMPLE_CODE = "01"
 PARTICIPANT_PATTERN = "^TCGA-[A-Z0-9]{2}-[A-Z0-9]{4}$"
 # participant, then optionally a sample code with a vial letter, then anything
 BARCODE_PATTERN = "^(TCGA-[A-Z0-9]{2}-[A-Z0-9]{4})(?:-([0-9]{2})([A-Z]?)(?:-.*)?)?$"
-COMPACT_FIELD_PATTERN = "^[0-9]{2}[A-Z][0-9]{2}$"
+# six fields whose fourth fuses sample, vial and portion
+COMPACT_PATTERN = "^((?:[^-]*-){3}[0-9]{2}[A-Z])([0-9]{2}(?:-[^-]*){2})$"
 
 TRUE_WORDS = ("true", "t", "1", "yes", "y")
 FALSE_WORDS = ("false", "f", "0", "no", "n", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.constants import (
     BARCODE_PATTERN,
-    COMPACT_FIELD_PATTERN,
+    COMPACT_PATTERN,
     FALSE_WORDS,
     MISSING_WORDS,
     PARTICIPANT_PATTERN,
@@ -23,17 +23,7 @@ def clean_barcode(col: Column) -> Column:
 
 def expand_compact(col: Column) -> Column:
     """Split a fused sample/portion field: six fields with a fourth like 06A21 become seven."""
-    raw = clean_barcode(col)
-    fields = F.split(raw, "-")
-    fused = F.try_element_at(fields, F.lit(4))
-    repaired = F.concat_ws(
-        "-",
-        F.slice(fields, 1, 3),
-        F.substring(fused, 1, 3),
-        F.substring(fused, 4, 2),
-        F.slice(fields, 5, 2),
-    )
-    return F.when((F.size(fields) == 6) & fused.rlike(COMPACT_FIELD_PATTERN), repaired).otherwise(raw)
+    return F.regexp_replace(clean_barcode(col), COMPACT_PATTERN, "$1-$2")
 
 
 def barcode_struct(col: Column, strict: bool = True) -> Column:
@@ -43,25 +33,31 @@ def barcode_struct(col: Column, strict: bool = True) -> Column:
     ``error`` names the reason.
     """
     raw = clean_barcode(col)
-    part = lambda group: F.nullif(F.regexp_extract(raw, BARCODE_PATTERN, group), F.lit(""))
-    participant, code = part(1), part(2)
     good = F.coalesce(raw.rlike(BARCODE_PATTERN), F.lit(False))
-    fields = F.split(raw, "-")
-    error = F.when(
-        ~good,
-        F.when(raw.isNull() | (F.size(fields) < 3), F.lit("too_few_fields"))
-        .when(~F.concat_ws("-", F.slice(fields, 1, 3)).rlike(PARTICIPANT_PATTERN), F.lit("bad_participant"))
-        .otherwise(F.lit("bad_sample_field")),
-    )
     if strict:
+        # every part derives from this column, so a bad barcode fails whichever part is used
         message = F.concat(F.lit("invalid barcode: "), F.coalesce(raw, F.lit("null")))
-        error = F.when(~good, F.raise_error(message).cast("string"))
+        valid = fail_when(~good, message, raw)
+        error = F.lit(None).cast("string")
+    else:
+        valid = F.when(good, raw)
+        fields = F.split(raw, "-")
+        error = F.when(
+            ~good,
+            F.when(raw.isNull() | (F.size(fields) < 3), F.lit("too_few_fields"))
+            .when(~F.concat_ws("-", F.slice(fields, 1, 3)).rlike(PARTICIPANT_PATTERN), F.lit("bad_participant"))
+            .otherwise(F.lit("bad_sample_field")),
+        )
+    # the checked pattern fixes the position of every part
+    has_sample = F.length(valid) > 12
+    code = F.when(has_sample, F.substring(valid, 14, 2))
+    vial = F.substring(valid, 16, 1)
     return F.struct(
         raw.alias("raw"),
-        participant.alias("participant"),
-        F.when(code.isNotNull(), F.concat_ws("-", participant, code)).alias("sample"),
+        F.substring(valid, 1, 12).alias("participant"),
+        F.when(has_sample, F.substring(valid, 1, 15)).alias("sample"),
         code.alias("sample_type_code"),
-        part(3).alias("vial"),
+        F.when(has_sample & ~vial.isin("-", ""), vial).alias("vial"),
         F.coalesce(code == PRIMARY_SAMPLE_CODE, F.lit(False)).alias("is_primary"),
         error.alias("error"),
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exprstudy.constants import EXCLUSION_REASONS, PRIMARY_SAMPLE_CODE, RNA_PLATFORM, TARGET_CLASSES
 from exprstudy.functions.barcodes import barcode_struct, clean_barcode
-from exprstudy.functions.checks import fail_when, require_columns
+from exprstudy.functions.checks import duplicates, fail_when, require_columns
 from exprstudy.functions.ranking import bucketed_row_number, index_bucket
 
 QUALITY_FIELDS = ("sample_barcode", "participant_barcode", "cancer_type", "do_not_use")
@@ -24,19 +24,14 @@ MANIFEST_COLUMNS = (
 
 
 def _distinct_quality(quality: DataFrame, platform: str) -> DataFrame:
-    """One row per aliquot of the platform with its number of different versions."""
+    """The different quality records per aliquot of one platform; copies collapse map-side."""
     require_columns(quality, ["aliquot_barcode", "platform", *QUALITY_FIELDS], "quality table")
-    record = F.struct(*QUALITY_FIELDS)
-    return (
-        quality.where(F.col("platform") == platform)
-        .groupBy("aliquot_barcode")
-        .agg(F.min(record).alias("record"), F.max(record).alias("other"))
-    )
+    return quality.where(F.col("platform") == platform).select("aliquot_barcode", *QUALITY_FIELDS).distinct()
 
 
 def quality_conflicts(quality: DataFrame, platform: str = RNA_PLATFORM) -> DataFrame:
     """Aliquots whose duplicate quality rows disagree (identical copies are fine)."""
-    return _distinct_quality(quality, platform).where("record <> other").select("aliquot_barcode")
+    return duplicates(_distinct_quality(quality, platform), "aliquot_barcode").select("aliquot_barcode")
 
 
 def classify(
@@ -54,20 +49,24 @@ def classify(
         clean_barcode(F.col("barcode")).alias("expression_barcode"),
         barcode_struct(F.col("barcode")).alias("parsed"),
     )
-    known = _distinct_quality(quality, platform).select(
-        F.col("aliquot_barcode").alias("expression_barcode"),
-        fail_when(
-            F.col("record") != F.col("other"),
-            F.concat(F.lit("conflicting quality rows for aliquot "), F.col("aliquot_barcode")),
-            F.col("record"),
-        ).alias("record"),
+    # the window sorts by the join key, so a large join reuses its order
+    versions = F.count(F.lit(1)).over(Window.partitionBy("aliquot_barcode"))
+    conflict = F.concat(F.lit("conflicting quality rows for aliquot "), F.col("aliquot_barcode"))
+    known = (
+        _distinct_quality(quality, platform)
+        .withColumn("versions", versions)
+        .select(
+            fail_when(F.col("versions") > 1, conflict, F.col("aliquot_barcode")).alias("expression_barcode"),
+            F.col("cancer_type"),
+            F.col("do_not_use"),
+        )
     )
     code = F.col("parsed.sample_type_code")
     reason = (
-        F.when(F.col("record").isNull(), EXCLUSION_REASONS[0])
-        .when(F.col("record.do_not_use"), EXCLUSION_REASONS[1])
+        F.when(F.col("do_not_use").isNull(), EXCLUSION_REASONS[0])
+        .when(F.col("do_not_use"), EXCLUSION_REASONS[1])
         .when(code.isNull() | (code != primary_code), EXCLUSION_REASONS[2])
-        .when(~F.coalesce(F.col("record.cancer_type").isin(*wanted), F.lit(False)), EXCLUSION_REASONS[3])
+        .when(~F.coalesce(F.col("cancer_type").isin(*wanted), F.lit(False)), EXCLUSION_REASONS[3])
     )
     return parsed.join(known, "expression_barcode", "left").select(
         "matrix_index",
@@ -75,7 +74,7 @@ def classify(
         F.col("parsed.sample").alias("sample_barcode"),
         F.col("parsed.participant").alias("participant_barcode"),
         F.col("parsed.sample_type_code").alias("sample_type_code"),
-        F.col("record.cancer_type").alias("cancer_type"),
+        "cancer_type",
         reason.alias("reason"),
     )
 
