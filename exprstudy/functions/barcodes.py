@@ -53,7 +53,7 @@ def barcode_struct(col: Column, strict: bool = True) -> Column:
     code = F.when(has_sample, F.substring(valid, 14, 2))
     vial = F.substring(valid, 16, 1)
     return F.struct(
-        raw.alias("raw"),
+        (valid if strict else raw).alias("raw"),
         F.substring(valid, 1, 12).alias("participant"),
         F.when(has_sample, F.substring(valid, 1, 15)).alias("sample"),
         code.alias("sample_type_code"),

@@ -29,14 +29,12 @@ def _class_sizes(samples: DataFrame) -> DataFrame:
     """``(class, n, total, before)``: class sizes, their sum, and rows of earlier classes."""
     sizes = samples.groupBy(CLASS).agg(F.count(F.lit(1)).alias("n"))
     one = Window.partitionBy(F.lit(0))
-    # the bound that makes the class tables below safe to broadcast
-    total = fail_when(
-        F.count(F.lit(1)).over(one) > MAX_CLASSES, f"more than {MAX_CLASSES} classes", F.sum("n").over(one)
-    )
+    # the bound that makes the class tables below safe to broadcast; every user reads n
+    bounded = fail_when(F.count(F.lit(1)).over(one) > MAX_CLASSES, f"more than {MAX_CLASSES} classes", F.col("n"))
     return sizes.select(
         CLASS,
-        "n",
-        total.alias("total"),
+        bounded.alias("n"),
+        F.sum("n").over(one).alias("total"),
         (F.sum("n").over(one.orderBy(CLASS)) - F.col("n")).alias("before"),
     )
 
@@ -44,14 +42,11 @@ def _class_sizes(samples: DataFrame) -> DataFrame:
 def holdout_quota(samples: DataFrame, fraction: float) -> DataFrame:
     """``(class, n, quota)``: ``ceil(total * fraction)`` rows spread by largest remainder."""
     share = F.col("n") * F.lit(float(fraction))
+    alone = F.concat(F.lit("each class needs at least two participants for stratification: "), F.col(CLASS))
     sized = _class_sizes(samples).select(
         CLASS,
-        fail_when(
-            F.col("n") < 2,
-            F.concat(F.lit("each class needs at least two participants for stratification: "), F.col(CLASS)),
-            F.col("n"),
-        ).alias("n"),
-        F.floor(share).alias("base"),
+        "n",
+        fail_when(F.col("n") < 2, alone, F.floor(share)).alias("base"),
         (share - F.floor(share)).alias("remainder"),
         F.ceil(F.col("total") * F.lit(float(fraction))).alias("wanted"),
     )
