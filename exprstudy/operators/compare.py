@@ -41,7 +41,7 @@ EVIDENCE_SCHEMA = T.StructType(
 
 def read_evidence(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole JSON files as ``(evidence_file, document)``."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("evidence_file"), F.col("value").alias("document"))
 
 

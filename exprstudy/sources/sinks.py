@@ -54,5 +54,5 @@ def create_document(spark: SparkSession, path: str, payload: Mapping) -> None:
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
-    rows = spark.read.option("wholetext", True).text(path).collect()  # one small document
+    rows = spark.read.text(path, wholetext=True).collect()  # one small document
     return json.loads(rows[0][0])
