@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERED_LIMIT = 1_000_000
+PREFIX_LEVELS = (6, 3)  # hex digits; a level above the leaves gathers at most 16 ** 3 digests
 
 
 def line_of(columns: Sequence[str | Column]) -> Column:
@@ -21,33 +22,27 @@ def line_of(columns: Sequence[str | Column]) -> Column:
     return F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
 
 
-def table_digest(df: DataFrame, columns: Sequence[str | Column], bucket_digits: int = 2) -> DataFrame:
+def _gather(parts: DataFrame, digits: int) -> DataFrame:
+    """Digest the entries that share a prefix of ``digits`` hex digits, in entry order."""
+    listed = F.array_join(F.array_sort(F.collect_list("entry")), "\n")
+    groups = parts.groupBy(F.substring("prefix", 1, digits).alias("prefix")) if digits else parts.groupBy()
+    return groups.agg(F.sum("n").alias("n"), F.sha2(listed, 256).alias("digest"))
+
+
+def table_digest(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     """One row ``(n_rows, sha256)``, independent of row order.
 
-    Equal rows are counted before anything is gathered, so copies cannot make a
-    bucket hot.  Each bucket of row hashes (a hash prefix) gets a digest; the final
-    digest covers the ``16 ** bucket_digits`` bucket digests.
+    A tree of digests over hash prefixes.  Equal rows are counted before anything is
+    gathered, so copies cannot make a prefix hot, and the leaf prefix is long enough
+    that a leaf stays small however large the table is.
     """
-    hashed = df.select(F.sha2(line_of(columns), 256).alias("row_hash"))
-    counted = hashed.groupBy("row_hash").agg(F.count(F.lit(1)).alias("copies"))
-    buckets = (
-        counted.select(
-            F.substring("row_hash", 1, bucket_digits).alias("bucket"),
-            F.concat_ws(":", "row_hash", F.col("copies").cast("string")).alias("entry"),
-            "copies",
-        )
-        .groupBy("bucket")
-        .agg(
-            F.sum("copies").alias("bucket_rows"),
-            F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256).alias("digest"),
-        )
-    )
-    return buckets.agg(
-        F.coalesce(F.sum("bucket_rows"), F.lit(0)).cast("bigint").alias("n_rows"),
-        F.sha2(
-            F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "digest"))), "\n"), 256
-        ).alias("sha256"),
-    )
+    hashed = df.select(F.sha2(line_of(columns), 256).alias("prefix"))
+    parts = hashed.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.withColumn("entry", F.concat_ws(":", "prefix", F.col("n").cast("string")))
+    for digits in PREFIX_LEVELS:
+        parts = _gather(parts, digits).withColumn("entry", F.concat_ws(":", "prefix", "digest"))
+    root = _gather(parts, 0)
+    return root.select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"), F.col("digest").alias("sha256"))
 
 
 def ordered_digest(df: DataFrame, columns: Sequence[str], order: str, limit: int = ORDERED_LIMIT) -> DataFrame:

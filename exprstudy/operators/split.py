@@ -16,7 +16,7 @@ from exprstudy.functions.ranking import rank_cuts
 
 ID = "participant_barcode"
 CLASS = "cancer_type"
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 4
 MAX_CLASSES = 10_000
 
 

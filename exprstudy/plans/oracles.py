@@ -234,12 +234,16 @@ melted AS (
 
 DIGEST_OF = """
 {name}_row AS (SELECT sha256({line}) AS h, count(*) AS n FROM {source} GROUP BY 1),
-{name}_bucket AS (
-  SELECT substr(h, 1, 2) AS b, sum(n) AS n, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS d
+{name}_leaf AS (
+  SELECT substr(h, 1, 6) AS b, sum(n) AS n, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS d
   FROM {name}_row GROUP BY 1
 ),
+{name}_branch AS (
+  SELECT substr(l.b, 1, 3) AS b, sum(n) AS n, sha256(string_agg(l.b || ':' || d, chr(10) ORDER BY l.b || ':' || d)) AS d
+  FROM {name}_leaf l GROUP BY 1
+),
 {name} AS (
-  SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b || ':' || d)) AS sha256 FROM {name}_bucket
+  SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b || ':' || d)) AS sha256 FROM {name}_branch
 )"""
 
 FEATURE_TEXT = "array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',')"
