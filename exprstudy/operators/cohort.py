@@ -11,6 +11,7 @@ from exprstudy.constants import EXCLUSION_REASONS, PRIMARY_SAMPLE_CODE, RNA_PLAT
 from exprstudy.functions.barcodes import barcode_struct, clean_barcode
 from exprstudy.functions.checks import duplicates, fail_when, require_columns
 from exprstudy.functions.ranking import bucketed_row_number, index_bucket
+from exprstudy.session import durable
 
 QUALITY_FIELDS = ("sample_barcode", "participant_barcode", "cancer_type", "do_not_use")
 MANIFEST_COLUMNS = (
@@ -119,8 +120,11 @@ def exclusion_counts(classified: DataFrame) -> DataFrame:
 
 
 def number_manifest(manifest: DataFrame) -> DataFrame:
-    """Add ``cache_index``: 0-based position in matrix order."""
-    bucketed = manifest.withColumn("_bucket", index_bucket(F.col("matrix_index")))
+    """Add ``cache_index``: 0-based position in matrix order.
+
+    The manifest is written first, so the cohort is built once and not per branch.
+    """
+    bucketed = durable(manifest, "manifest").withColumn("_bucket", index_bucket(F.col("matrix_index")))
     numbered = bucketed_row_number(bucketed, "cache_index", "_bucket", [F.col("matrix_index")])
     return numbered.withColumn("cache_index", F.col("cache_index") - 1).drop("_bucket")
 

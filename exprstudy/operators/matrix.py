@@ -68,19 +68,18 @@ def join_split(matrix: DataFrame, split: DataFrame, side: str) -> DataFrame:
     """Rows of one side of the split, with the manifest's labels.
 
     The side is chosen before the matrix is touched; a manifest index without a
-    matrix row fails the job.
+    matrix row is refused.
     """
     require_columns(split, ["cache_index", "participant_barcode", "cancer_type", "split"], "split manifest")
     if side not in SPLITS:
         raise ValueError(f"unknown split {side!r}")
     chosen = split.where(F.col("split") == side).select(*ROW_COLUMNS)
-    found = chosen.join(matrix.select("cache_index", "features"), "cache_index", "left")
-    features = fail_when(
-        F.col("features").isNull(),
-        F.concat(F.lit("split manifest index outside the matrix: "), F.col("cache_index").cast("string")),
-        F.col("features"),
-    )
-    return found.select(*ROW_COLUMNS, features.alias("features"))
+    # reads the index column only
+    lost = chosen.join(matrix.select("cache_index"), "cache_index", "left_anti").select("cache_index").limit(1).collect()
+    if lost:
+        raise ValueError(f"split manifest index outside the matrix: {lost[0][0]}")
+    # an inner join lets Spark broadcast the manifest or shuffle by size, whichever side is larger
+    return matrix.select("cache_index", "features").join(chosen, "cache_index").select(*ROW_COLUMNS, "features")
 
 
 def development_matrix(matrix: DataFrame, split: DataFrame) -> DataFrame:

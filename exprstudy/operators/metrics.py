@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.constants import LOG_LOSS_EPS
 from exprstudy.functions.ranking import quantile_bucket
+from exprstudy.session import durable
 
 OVERALL = ("macro_f1", "weighted_f1", "balanced_accuracy", "accuracy")
 
@@ -134,7 +135,8 @@ def ovr_auc(predictions: DataFrame, classes: Sequence[str], n_buckets: int = 256
         .groupBy(F.col("s.class").alias("class"), F.col("s.score").alias("score"))
         .agg(F.sum("s.positive").alias("pos"), (F.count(F.lit(1)) - F.sum("s.positive")).alias("neg"))
     )
-    placed = quantile_bucket(ties, "score", "bucket", n_buckets)
+    # written once: the bounds, the bucket totals and the windows all read it
+    placed = quantile_bucket(durable(ties, "score-ties"), "score", "bucket", n_buckets)
     per_bucket = placed.groupBy("class", "bucket").agg(F.sum("pos").alias("bucket_pos"), F.sum("neg").alias("bucket_neg"))
     whole = Window.partitionBy("class")
     offsets = per_bucket.select(

@@ -56,29 +56,42 @@ def holdout_quota(samples: DataFrame, fraction: float) -> DataFrame:
     return sized.select(CLASS, "n", (F.col("base") + (turn <= spare).cast("int")).cast("bigint").alias("quota"))
 
 
-def _assign(keyed: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Add ``_part``: how many of the class's cut keys lie below the row's key (null without cuts)."""
-    cuts = rank_cuts(keyed.select(CLASS, "_bucket", "_key"), ranks, CLASS, "_key", "_bucket")
+def _cut_keys(samples: DataFrame, ranks: DataFrame, seed: int) -> DataFrame:
+    return rank_cuts(_keyed(samples.select(ID, CLASS), seed), ranks, CLASS, "_key", "_bucket")
+
+
+def _part(rows: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+    """Add the class's cut table and ``_part``: how many of its cut keys lie below the row's key."""
     below = F.size(F.filter("cuts", lambda cut: cut < F.col("_key")))
-    # one row per class with at most k - 1 keys: small by construction
+    # one row per class with at most k keys, so it is broadcast; rows are not shuffled
     return (
-        keyed.join(F.broadcast(cuts), CLASS, "left")
+        _keyed(rows, seed)
+        .join(F.broadcast(table), CLASS, "left")
         .withColumn("_part", F.when(F.col("cuts").isNotNull(), below))
-        .drop("cuts")
     )
 
 
-def holdout(
+def holdout_cuts(
     samples: DataFrame, fraction: float = DEFAULT_HOLDOUT_FRACTION, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """Add ``split`` (development or holdout) to the samples."""
+    """``(class, cuts)``: the last hash key of each class that belongs to the holdout."""
     if not 0.0 < fraction < 1.0:
         raise ValueError("holdout_fraction must be between 0 and 1")
     require_columns(samples, [ID, CLASS], "samples table")
     quota = holdout_quota(samples.select(CLASS), fraction)
-    assigned = _assign(_keyed(samples, seed), quota.where("quota > 0").select(CLASS, F.col("quota").alias("rank")))
+    return _cut_keys(samples, quota.where("quota > 0").select(CLASS, F.col("quota").alias("rank")), seed)
+
+
+def assign_holdout(rows: DataFrame, cuts: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     split = F.when(F.col("_part") == 0, SPLITS[1]).otherwise(SPLITS[0])
-    return assigned.withColumn("split", split).drop("_key", "_bucket", "_part")
+    return _part(rows, cuts, seed).withColumn("split", split).drop("_key", "_bucket", "_part", "cuts")
+
+
+def holdout(
+    samples: DataFrame, fraction: float = DEFAULT_HOLDOUT_FRACTION, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """Add ``split`` (development or holdout) to the samples."""
+    return assign_holdout(samples, holdout_cuts(samples, fraction, seed), seed)
 
 
 def fold_layout(samples: DataFrame, k: int) -> DataFrame:
@@ -102,19 +115,25 @@ def fold_layout(samples: DataFrame, k: int) -> DataFrame:
     )
 
 
-def folds(development: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Add ``fold`` (0 .. k-1) to the development samples."""
+def fold_cuts(development: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED) -> DataFrame:
+    """``(class, cuts, _folds)``: the cut keys between the folds of a class, and the folds in key order."""
     if k < 2:
         raise ValueError("n_splits must be >= 2")
     require_columns(development, [ID, CLASS], "development table")
     layout = fold_layout(development.select(CLASS), k)
-    assigned = _assign(_keyed(development, seed), layout.where("rank < n").select(CLASS, "rank"))
     names = layout.groupBy(CLASS).agg(F.array_sort(F.collect_list("fold")).alias("_folds"))
-    return (
-        assigned.join(F.broadcast(names), CLASS)
-        .withColumn("fold", F.element_at("_folds", F.coalesce("_part", F.lit(0)) + 1).cast("int"))
-        .drop("_key", "_bucket", "_part", "_folds")
-    )
+    cuts = _cut_keys(development, layout.where("rank < n").select(CLASS, "rank"), seed)
+    return names.join(cuts, CLASS, "left").select(CLASS, "cuts", "_folds")
+
+
+def assign_folds(rows: DataFrame, cuts: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
+    fold = F.element_at("_folds", F.coalesce("_part", F.lit(0)) + 1).cast("int")
+    return _part(rows, cuts, seed).withColumn("fold", fold).drop("_key", "_bucket", "_part", "cuts", "_folds")
+
+
+def folds(development: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Add ``fold`` (0 .. k-1) to the development samples."""
+    return assign_folds(development, fold_cuts(development, k, seed), seed)
 
 
 def split_class_counts(split: DataFrame) -> DataFrame:

@@ -22,8 +22,6 @@ from exprstudy.functions.budgets import parse_budget, parse_budgets
 from exprstudy.operators import interpret, matrix, metrics, models, prep, split
 from exprstudy.session import durable
 
-MANIFEST = ("cache_index", "participant_barcode", "cancer_type", "fold")
-
 
 @dataclass(frozen=True)
 class Prepared:
@@ -57,9 +55,12 @@ class Outcome:
 
 
 def freeze_folds(development: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED) -> DataFrame:
-    """The development matrix with its folds; fold membership is written once."""
-    manifest = durable(split.folds(development.drop("features"), k, seed).select(*MANIFEST), "folds")
-    return manifest.join(development.select("cache_index", "features"), "cache_index")
+    """The development matrix with its folds.
+
+    Only the cut keys are written (a few per class); rows compare with them, so the
+    matrix is neither shuffled nor joined with a table of its own size.
+    """
+    return split.assign_folds(development, durable(split.fold_cuts(development, k, seed), "fold-cuts"), seed)
 
 
 def prepare(

@@ -110,21 +110,26 @@ def bad_rows(rows: DataFrame, n_samples: DataFrame) -> DataFrame:
 def melt(rows: DataFrame, cohort: DataFrame, n_samples: int | None = None) -> DataFrame:
     """Wide to long for the cohort's columns: ``(cache_index, gene_index, value FLOAT)``.
 
-    ``cohort`` holds ``(matrix_index, cache_index)``.  Picking happens on the text
-    cells, so only chosen cells are parsed to numbers.
+    ``cohort`` holds ``(matrix_index, cache_index)``.  Packed to one array it is no wider
+    than one line, which bounds the broadcast; each line then picks its cells by
+    position, so cells outside the cohort are never exploded, joined or parsed.
     """
-    values = F.col("values")
+    pick = F.struct(F.col("matrix_index").cast("int").alias("position"), F.col("cache_index").alias("cache_index"))
+    packed = cohort.agg(F.array_sort(F.collect_list(pick)).alias("picks")).withColumn("_k", F.lit(1))
+    joined = rows.withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k")
+    wrong = F.coalesce(F.try_element_at("picks", F.lit(-1))["position"] >= F.size("values"), F.lit(False))
     if n_samples is not None:
-        values = fail_when(
-            F.size("values") != n_samples,
-            F.concat(F.lit("gene row "), F.col("gene_index").cast("string"), F.lit(" has the wrong number of values")),
-            values,
-        )
-    cells = rows.select("gene_index", F.posexplode(values).alias("position", "text")).withColumn(
-        "matrix_index", F.col("position").cast("bigint")
+        wrong = wrong | (F.size("values") != n_samples)
+    message = F.concat(F.lit("gene row has the wrong number of values: "), F.col("gene_index").cast("string"))
+    cells = joined.select(
+        fail_when(wrong, message, F.col("gene_index")).alias("gene_index"),
+        F.explode(
+            F.transform(
+                "picks", lambda p: F.struct(p["cache_index"].alias("i"), F.get("values", p["position"]).alias("text"))
+            )
+        ).alias("c"),
     )
-    picked = cells.join(cohort.select("matrix_index", "cache_index"), "matrix_index")
-    return picked.select("cache_index", "gene_index", parse_number(F.col("text")).alias("value"))
+    return cells.select(F.col("c.i").alias("cache_index"), "gene_index", parse_number(F.col("c.text")).alias("value"))
 
 
 def manifest_header_mismatch(cohort: DataFrame, header_barcodes: DataFrame) -> DataFrame:

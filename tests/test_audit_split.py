@@ -140,8 +140,8 @@ def test_split_constraints_find_each_problem(spark):
         "class_on_one_side": 1,
         "empty_side": 0,
     }
-    with pytest.raises(PySparkException, match="outside the matrix"):
-        matrix.join_split(rows, manifest.withColumn("split", F.lit("development")), "development").collect()
+    with pytest.raises(ValueError, match="outside the matrix: 9"):
+        matrix.join_split(rows, manifest.withColumn("split", F.lit("development")), "development")
 
 
 def test_ordered_digest_is_the_line_digest(spark):
