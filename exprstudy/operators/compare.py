@@ -153,7 +153,7 @@ def tradeoff(fold_metrics: DataFrame, walls: DataFrame) -> DataFrame:
 
 
 def hardest_first(study_metrics: DataFrame) -> DataFrame:
-    """Study results with the lowest macro F1 first."""
+    """Study results with the lowest macro F1 first; one row per (pair, model), so the list is short."""
     order = Window.partitionBy(F.lit(0)).orderBy("macro_f1", "pair", "model")
     return study_metrics.withColumn("position", F.row_number().over(order))
 

@@ -99,14 +99,6 @@ def pair_filter(development: DataFrame, class_a: str, class_b: str, min_rows: in
     return checked.withColumn("cancer_type", label).drop("_k", "classes")
 
 
-def sorted_classes(rows: DataFrame, limit: int = 10_000) -> list[str]:
-    """Class names in sort order (a label set, size checked)."""
-    found = [r[0] for r in rows.select("cancer_type").distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} classes")
-    return sorted(found)
-
-
 def selected_matrix(long: DataFrame, selected: DataFrame) -> DataFrame:
     """Cells of the genes a fold selected: ``selected`` holds ``(eval_fold, gene_index)``."""
     return long.join(selected.select("eval_fold", "gene_index"), "gene_index")

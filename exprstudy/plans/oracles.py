@@ -302,6 +302,10 @@ def oracle_sql() -> dict[str, str]:
 SELECT i::BIGINT AS matrix_index,
        'TCGA-AA-' || lpad(i::VARCHAR, 4, '0') || CASE WHEN i % 4 = 3 THEN '-11A' ELSE '-01A' END || '-01R-A001-07' AS barcode
 FROM (SELECT unnest(range(max(len(embedding)))) AS i FROM embeddings)"""
+    sql["header_checks"] = f"""
+WITH {MESSY}
+SELECT 'duplicate_barcode' AS "check", count(*) AS n_violations FROM (SELECT raw FROM judged GROUP BY raw HAVING count(*) > 1)
+UNION ALL SELECT 'bad_barcode', count(*) FROM judged WHERE error IS NOT NULL"""
     sql["scan_stats"] = "SELECT max(len(embedding))::BIGINT AS n_samples, count(*) AS n_genes FROM embeddings"
     sql["melt_matrix"] = f"WITH {WIDE} SELECT cache_index, gene_index, round(v, 6) AS value FROM melted"
     sql["matrix_blocks"] = f"""
@@ -439,6 +443,9 @@ WITH {FOLDED} SELECT cache_index, pid AS participant_barcode, cls AS cancer_type
     sql["split_class_counts"] = f"""
 WITH {SPLIT} SELECT cls AS cancer_type, count_if(split = 'development')::BIGINT AS development,
        count_if(split = 'holdout')::BIGINT AS holdout FROM sp GROUP BY 1"""
+    sql["split_summary"] = f"""
+WITH {SPLIT} SELECT count(*) AS n_samples, count_if(split = 'development')::BIGINT AS n_development,
+       count_if(split = 'holdout')::BIGINT AS n_holdout FROM sp"""
     sql["split_overlap"] = f"""
 WITH {SPLIT} SELECT count(*) AS n_overlap FROM
   (SELECT pid FROM sp WHERE split = 'development' INTERSECT SELECT pid FROM sp WHERE split = 'holdout')"""

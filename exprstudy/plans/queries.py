@@ -40,6 +40,11 @@ def header_barcodes(spark, sf):
     return wide_text.header(roles.wide_lines(spark, sf))
 
 
+@query
+def header_checks(spark, sf):
+    return wide_text.header_checks(roles.messy_barcodes(spark, sf).select("matrix_index", F.upper(F.trim("barcode")).alias("barcode")))
+
+
 @query
 def scan_stats(spark, sf):
     return wide_text.scan_stats(roles.wide_lines(spark, sf))
@@ -310,6 +315,11 @@ def split_class_counts(spark, sf):
     return split.split_class_counts(split.holdout(roles.matrix(spark, sf).drop("features")))
 
 
+@query
+def split_summary(spark, sf):
+    return split.split_summary(split.holdout(roles.matrix(spark, sf).drop("features")))
+
+
 @query
 def split_overlap(spark, sf):
     return split.split_overlap(split.holdout(roles.matrix(spark, sf).drop("features")))
