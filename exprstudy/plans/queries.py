@@ -663,7 +663,7 @@ QUICK = {
 
 def _cross_validated(spark, sf, name: str) -> studies.Outcome:
     prepared = studies.prepare(roles.folded(spark, sf), roles.FOLDS, negative_policy="clip")
-    return studies.cross_validate(prepared, name, TOP, parallelism=3, **QUICK.get(name, {}))
+    return studies.cross_validate(prepared, name, TOP, parallelism=5, **QUICK.get(name, {}))
 
 
 def _scores(name: str) -> Query:
@@ -703,7 +703,7 @@ def cv_prior(spark, sf):
 def cv_benchmark(spark, sf):
     names = ("dummy", "logistic_l2", "elastic_net")
     found = studies.benchmark(
-        roles.development(spark, sf), names, roles.FOLDS, negative_policy="clip", model_params=QUICK, parallelism=3
+        roles.development(spark, sf), names, roles.FOLDS, negative_policy="clip", model_params=QUICK, parallelism=5
     )
     return rounded(found.drop("fold_values"), ["mean", "std"])
 
@@ -721,7 +721,7 @@ def _budgets(spark, sf) -> dict[str, DataFrame]:
         (5, TOP, "all"),
         roles.FOLDS,
         negative_policy="clip",
-        parallelism=3,
+        parallelism=5,
         max_iter=10,
     )
 
@@ -747,7 +747,7 @@ def _pair(spark, sf) -> dict[str, DataFrame]:
         TOP,
         roles.FOLDS,
         negative_policy="clip",
-        parallelism=3,
+        parallelism=5,
         max_iter=10,
     )
 
