@@ -4,7 +4,7 @@ A text is the sequence of its words and one end.  The tree predicts each of them
 longest suffix of the words before it that it holds as a state.  Its symbols are the
 frequent words, one symbol for all others, and the end; a word of the "others" is then
 predicted by its count and its spelling, and the spelling again by a suffix tree, whose
-symbols are bytes.  In both trees
+symbols are bytes; words unknown to the training texts are one outcome.  In both trees
 
 * a context becomes a candidate if it is frequent enough, as a share of all symbols, which
   bounds the number of states whatever the corpus;
@@ -329,7 +329,7 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
     words = blocks.where("place >= 0").groupBy("hash").agg(F.sum("n_train").alias("c"), F.first("word").alias("word"))
     words = durable(words, "words")
     n_texts = rows.where(~F.col("held_out")).count()
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     n_all = sums.n + n_texts
 
     spelled = words.where("c > 0").select("word").mapInArrow(_spelling_counts(options.byte_depth), _COUNT_SQL)
@@ -343,8 +343,10 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
     counts = bodies.select("body").mapInArrow(_word_counts(frequent, options.word_depth), _COUNT_SQL)
     tree = spark.sparkContext.broadcast(grow(counts, WORD_BITS, options.word_depth, n_symbols, options.word_share, options))
 
-    # a word's probability after the empty context; the rest of the discounts goes to its spelling
+    # What the discounts leave is shared: the part of words seen once goes to all unknown words together,
+    # which are one outcome as in the base score, the rest to known words by their spelling.
     spread = options.discount * sums.v / max(n_all, 1)
+    unknown = min(sums.once / max(options.discount * sums.v, 1), 0.9) if sums.v else 1.0
 
     def spell(batches):
         for batch in tx.slices(batches, "word", tx.SLICE_BYTES // 2):
@@ -352,9 +354,8 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
             logs = np.log10(probabilities(spelling.value, flat, place, 1))
             log_spelled = np.bincount(word, weights=logs, minlength=batch.num_rows)
             c = batch.column("c").to_numpy()
-            p = np.maximum(c - options.discount, 0) / max(n_all, 1) + spread * 10.0**log_spelled
-            # without any training word the spelling alone is left; a very long word may be below the smallest number
-            logp = np.where(p > 0, np.log10(np.where(p > 0, p, 1)), log_spelled + np.log10(spread or 1.0))
+            p = np.maximum(c - options.discount, 0) / max(n_all, 1) + spread * (1 - unknown) * 10.0**log_spelled
+            logp = np.log10(np.where(c > 0, p, max(spread * unknown, 1 / (n_all + 1))))
             yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("c"), pa.array(logp)], names=["hash", "c", "logp"])
 
     scored = words.select("hash", "c", "word").mapInArrow(spell, "hash bigint, c bigint, logp double")
