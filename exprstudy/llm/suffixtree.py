@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exprstudy.llm import textops as tx
@@ -53,7 +53,7 @@ class Options:
     """``word_share`` is at least 2**-16 and ``word_depth`` at most 3, ``byte_depth`` at most 7: a context fits into one integer."""
 
     word_depth: int = 2
-    word_share: float = 2e-5
+    word_share: float = 1e-4
     byte_depth: int = 7
     byte_share: float = 1e-6
     divergence: float = 10.0
@@ -111,14 +111,18 @@ def _shortened(depth: str, bits: int) -> str:
     return f"(context & (shiftleft(1L, {bits} * cast({depth} as int)) - 1)) | shiftleft(cast({depth} as bigint), 56)"
 
 
-def grow(counts: DataFrame, bits: int, depth: int, n_symbols: int, share: float, options: Options) -> Tree:
-    """The tree of ``(context, symbol, n)``; rows may repeat.  At most ``depth / share`` states reach the driver."""
+def grow(counts: DataFrame, n_all: int, bits: int, depth: int, n_symbols: int, share: float, options: Options) -> Tree:
+    """The tree of ``(context, symbol, n)``, ``n_all`` in sum for the empty context; rows may repeat.
+
+    At most ``depth / share`` states reach the driver.  A context has no more followers than
+    there are symbols, so its window is bounded.
+    """
     spark = counts.sparkSession
-    counts = durable(counts.groupBy("context", "symbol").agg(F.sum("n").alias("n")), "tree-counts")
-    totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    total = counts.where("context = 0").agg(F.sum("n").alias("n")).first().n or 0
+    of_context = Window.partitionBy("context")
+    counts = counts.repartition("context").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    counts = counts.withColumns({"total": F.sum("n").over(of_context), "kinds": F.count("*").over(of_context)})
     # every suffix of a frequent context is frequent
-    frequent = durable(counts.join(totals.where(F.col("total") >= max(2, share * total)), "context"), "tree-frequent")
+    frequent = durable(counts.where(F.col("total") >= max(2, share * n_all)), "tree-frequent")
     shorter = F.expr(_shortened("shiftright(context, 56) - 1", bits))
     child = frequent.where("context <> 0").select("context", "symbol", "n", "total", "kinds", shorter.alias("parent"))
     parent = frequent.select(F.col("context").alias("parent"), "symbol", (F.col("n") / F.col("total")).alias("parent_share"))
@@ -185,9 +189,9 @@ def probabilities(tree: Tree, flat: np.ndarray, place: np.ndarray, first: int) -
 
 # --- blocks ----------------------------------------------------------------
 
-_BLOCK = "block string, place int, hash bigint, word binary, n_train bigint, body binary"
+_BLOCK = "block bigint, place int, hash bigint, word binary, n_train bigint, body binary"
 _BLOCK_SCHEMA = pa.schema(
-    [("block", pa.string()), ("place", pa.int32()), ("hash", pa.int64()), ("word", pa.binary()), ("n_train", pa.int64()), ("body", pa.binary())]
+    [("block", pa.int64()), ("place", pa.int32()), ("hash", pa.int64()), ("word", pa.binary()), ("n_train", pa.int64()), ("body", pa.binary())]
 )
 
 
@@ -203,8 +207,10 @@ class Block:
     distinct: np.ndarray
 
     def pack(self) -> bytes:
+        """The word numbers byte by byte of their four, since most numbers are small; then all compressed."""
+        planes = np.ascontiguousarray(self.words.astype("<u4").view(np.uint8).reshape(-1, 4).T).reshape(-1)
         sink = pa.BufferOutputStream()
-        for a in vars(self).values():
+        for a in (self.ids, self.valid, self.held, self.n_words, planes, self.distinct):
             batch = pa.record_batch([pa.array(a)], names=["a"])
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
@@ -214,52 +220,47 @@ class Block:
     def unpack(cls, body: bytes) -> "Block":
         source = pa.BufferReader(body)
         read = [pa.ipc.open_stream(source).read_all().column(0).to_numpy() for _ in range(6)]
+        read[4] = np.ascontiguousarray(read[4].reshape(4, -1).T).reshape(-1).view("<u4")
         return cls(*read)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block one row with its documents, and one row for each distinct word."""
     for rows in tx.slices(batches, "text", BLOCK_BYTES):
-        hashes, counts, spelled = [], [], []
+        hashes, starts, lengths, counts = [], [], [], []
+        whole, _ = tx.buffer(rows.column("text"))
+        before = 0
         for part in tx.slices(iter([rows]), "text"):
             data, offsets = tx.buffer(part.column("text"))
             data = tx.LOWER[data]
-            starts, ends, at = tx.words(data, offsets)
-            found = tx.hash_words(data, starts)
-            counts.append(np.diff(at))
-            hashes.append(found)
-            new, first = np.unique(found, return_index=True)
-            lengths = ends[first] - starts[first]
-            spelled.append((new, data[tx.ragged(starts[first], lengths)], tx.offsets_of(lengths)))
-        distinct, words = np.unique(np.concatenate(hashes), return_inverse=True)
+            at, ends, of_text = tx.words(data, offsets)
+            hashes.append(tx.hash_words(data, at))
+            starts.append(at + before)
+            lengths.append(ends - at)
+            counts.append(np.diff(of_text))
+            before += len(data)
+        distinct, words, first = tx.numbered(np.concatenate(hashes))
         ids = rows.column("doc_id").cast(pa.int64())
         held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         valid = ids.is_valid().to_numpy(zero_copy_only=False)
         n_words = np.concatenate(counts)
-        block = Block(ids.fill_null(0).to_numpy(), valid, held, n_words, words.astype(np.uint32), distinct)
+        block = Block(ids.fill_null(0).to_numpy(), valid, held, n_words, words, distinct)
         trained = np.bincount(words[np.repeat(~held, n_words)], minlength=len(distinct))
-        name = pa.array([uuid.uuid4().hex])
+        starts, lengths = np.concatenate(starts)[first], np.concatenate(lengths)[first]
+        spelled = tx.LOWER[whole[tx.ragged(starts, lengths)]]
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(tx.offsets_of(lengths)), pa.py_buffer(spelled)])
+        name = uuid.uuid4().int >> 65
         empty = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([name, pa.array([-1], pa.int32()), *empty, pa.array([block.pack()], pa.binary())], schema=_BLOCK_SCHEMA)
-        seen = np.zeros(len(distinct), bool)
-        for new, data, offsets in spelled:
-            here = np.searchsorted(distinct, new)
-            fresh = np.flatnonzero(~seen[here])
-            seen[here] = True
-            lengths = np.diff(offsets)[fresh]
-            text = data[tx.ragged(offsets[fresh], lengths)]
-            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(fresh), [None, pa.py_buffer(tx.offsets_of(lengths)), pa.py_buffer(text)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    name.take(pa.array(np.zeros(len(fresh), np.int32))),
-                    pa.array(here[fresh].astype(np.int32)),
-                    pa.array(new[fresh].view(np.int64)),
-                    column.cast(pa.binary()),
-                    pa.array(trained[here[fresh]].astype(np.int64)),
-                    pa.nulls(len(fresh), pa.binary()),
-                ],
-                schema=_BLOCK_SCHEMA,
-            )
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), *empty, pa.array([block.pack()], pa.binary())], schema=_BLOCK_SCHEMA)
+        words_of_block = [
+            pa.array(np.full(len(first), name)),
+            pa.array(np.arange(len(first), dtype=np.int32)),
+            pa.array(distinct.view(np.int64)),
+            column.cast(pa.binary()),
+            pa.array(trained.astype(np.int64)),
+            pa.nulls(len(first), pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(words_of_block, schema=_BLOCK_SCHEMA)
 
 
 # --- spelling --------------------------------------------------------------
@@ -281,7 +282,7 @@ def _spelling(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _spelling_counts(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, "word", tx.SLICE_BYTES // 2):
+        for batch in tx.slices(batches, "word", tx.SLICE_BYTES):
             flat, place, _ = _spelling(batch.column("word"))
             for _, at, key in _contexts(flat, place, 1, BYTE_BITS, depth):
                 yield _counted(key, flat[at], None)
@@ -294,7 +295,7 @@ def _spelling_counts(depth: int):
 
 def _sequence(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all texts of a block (frequent words, one for others, one for the end), place, and number of the text."""
-    number, known = _find(frequent, block.distinct.view(np.int64))
+    number, known = _find(frequent, np.asarray(block.distinct).view(np.int64))
     symbol = np.where(known, number, len(frequent)).astype(np.uint64)
     lengths = block.n_words + 1
     at = tx.offsets_of(lengths)
@@ -329,11 +330,16 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
     words = blocks.where("place >= 0").groupBy("hash").agg(F.sum("n_train").alias("c"), F.first("word").alias("word"))
     words = durable(words, "words")
     n_texts = rows.where(~F.col("held_out")).count()
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    sums = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+        F.count_if(F.col("c") > 0).alias("v"),
+        F.count_if(F.col("c") == 1).alias("once"),
+        F.sum(F.when(F.col("c") > 0, F.length("word") + 1)).alias("bytes"),
+    ).first()
     n_all = sums.n + n_texts
 
     spelled = words.where("c > 0").select("word").mapInArrow(_spelling_counts(options.byte_depth), _COUNT_SQL)
-    spelling = spark.sparkContext.broadcast(grow(spelled, BYTE_BITS, options.byte_depth, 256, options.byte_share, options))
+    spelling = spark.sparkContext.broadcast(grow(spelled, sums.bytes or 0, BYTE_BITS, options.byte_depth, 256, options.byte_share, options))
 
     # no more than 1 / word_share words are that frequent
     found = words.where(F.col("c") >= max(2, options.word_share * n_all)).select("hash", "c").toArrow()
@@ -341,7 +347,7 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
     frequent = spark.sparkContext.broadcast(found.column("hash").to_numpy()[order])
     n_symbols = len(order) + 2
     counts = bodies.select("body").mapInArrow(_word_counts(frequent, options.word_depth), _COUNT_SQL)
-    tree = spark.sparkContext.broadcast(grow(counts, WORD_BITS, options.word_depth, n_symbols, options.word_share, options))
+    tree = spark.sparkContext.broadcast(grow(counts, n_all, WORD_BITS, options.word_depth, n_symbols, options.word_share, options))
 
     # What the discounts leave is shared: the part of words seen once goes to all unknown words together,
     # which are one outcome as in the base score, the rest to known words by their spelling.
