@@ -242,32 +242,31 @@ class LibraryFile:
             self.odd[(self.lower == 0) | (self.lower >= LATIN)] = True
             self.odd[0] = False
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and the offsets of the texts."""
+    def encode_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and lengths of distinct words, and which word stands where; a text for the library is a word of its own."""
         far = self._library_texts(texts)
-        if far.any():
-            return self._mixed(texts, far)
-        units = distinct_units(texts, unit_starts)
+        units = distinct_units(pc.if_else(pa.array(far), "", texts) if far.any() else texts, unit_starts)
         ids, lengths = self._units(units.data, units.offsets)
-        return expand(units, ids, lengths)
+        if not far.any():
+            return ids, lengths, units.which, units.per_text
+        lists = [e.ids for e in self.library.encode_batch(texts.filter(pa.array(far)).to_pylist(), add_special_tokens=False)]
+        at = tx.offsets_of(units.per_text + far)
+        which = np.zeros(at[-1], np.int64)
+        which[tx.ragged(at[:-1], units.per_text)] = units.which
+        which[at[1:][far] - 1] = len(lengths) + np.arange(len(lists))
+        ids = np.append(ids, [i for x in lists for i in x]).astype(np.int64)
+        return ids, np.append(lengths, [len(x) for x in lists]), which, units.per_text + far
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the offsets of the texts."""
+        ids, lengths, which, per_text = self.encode_units(texts)
+        return expand(Units(np.zeros(0, np.uint8), np.zeros(1, np.int64), which, per_text), ids, lengths)
 
     def _library_texts(self, texts: pa.Array) -> np.ndarray:
         """Texts with white space outside ASCII, which may join a unit's own: they are encoded whole by the library."""
         found = pc.match_substring_regex(pc.fill_null(texts, ""), "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
         return found.to_numpy(zero_copy_only=False).astype(bool)
 
-    def _mixed(self, texts: pa.Array, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near_ids, near_at = self.encode(texts.filter(pa.array(~far)))
-        lists = [e.ids for e in self.library.encode_batch(texts.filter(pa.array(far)).to_pylist(), add_special_tokens=False)]
-        far_ids = np.array([i for x in lists for i in x], near_ids.dtype)
-        lengths = np.zeros(len(texts), np.int64)
-        lengths[~far], lengths[far] = np.diff(near_at), [len(x) for x in lists]
-        at = tx.offsets_of(lengths)
-        out = np.zeros(at[-1], near_ids.dtype)
-        out[tx.ragged(at[:-1][~far], lengths[~far])] = near_ids
-        out[tx.ragged(at[:-1][far], lengths[far])] = far_ids
-        return out, at
-
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
         lead = np.flatnonzero((data & 0xC0) != 0x80)

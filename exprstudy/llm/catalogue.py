@@ -33,6 +33,34 @@ def op1_suffix_tree_scores(spark, folder):
     return suffixtree.scores(_table(spark, folder, "documents"), F.coalesce(remainder(7) == 2, F.lit(False)))
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_pair_grammar(spark, folder):
+    from exprstudy.llm import grammar
+
+    return grammar.round_trip(_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), 2)
+
+
+@query
+def op6_piece_digests(spark, folder):
+    from exprstudy.llm import pieces
+
+    return pieces.digests(_table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op9_best_fit_packing(spark, folder):
+    from exprstudy.llm import packing
+
+    return packing.pack(packing.pieces(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), 2))
+
+
 @query
 def op10_quality_rules(spark, folder):
     from exprstudy.llm import quality
