@@ -33,6 +33,13 @@ def op1_suffix_tree_scores(spark, folder):
     return suffixtree.scores(_table(spark, folder, "documents"), F.coalesce(remainder(7) == 2, F.lit(False)))
 
 
+@query
+def op2_near_duplicates(spark, folder):
+    from exprstudy.llm import neardup
+
+    return neardup.groups(_table(spark, folder, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer's file; operators take the path as a parameter."""
     import public_tokenizers

@@ -39,7 +39,9 @@ SHARDS = (
     "rounds binary, rules binary, expansions binary, body binary"
 )
 #: A pair is frequent from this many occurrences on, and from this share of the most frequent pair of its round.
-MIN_PAIRS, MIN_SHARE = 24, 1 / 16
+MIN_PAIRS, MIN_SHARE = 32, 1 / 64
+#: Rounds end when one saves less than this share of the symbols.
+MIN_SAVED = 1 / 50
 
 
 @dataclass
@@ -95,7 +97,12 @@ def _round(symbols: np.ndarray, owner: np.ndarray | None, weight: np.ndarray | N
     if len(symbols) < 2:
         return None
     left, right = symbols[:-1], symbols[1:]
-    where = np.arange(len(left)) if owner is None else np.flatnonzero(owner[1:] == owner[:-1])
+    # a frequent pair has two frequent symbols
+    common = np.bincount(symbols, weights=None if weight is None else weight[owner]) >= min_pairs
+    possible = common[left] & common[right]
+    if owner is not None:
+        possible &= owner[1:] == owner[:-1]
+    where = np.flatnonzero(possible)
     keys, code, _ = tx.numbered(left[where] << np.int64(32) | right[where])
     if not len(keys):
         return None
@@ -118,7 +125,12 @@ def _round(symbols: np.ndarray, owner: np.ndarray | None, weight: np.ndarray | N
 
 
 def _rounds(symbols, owner, weight, made: list, first_new: int, min_pairs: int):
-    while (found := _round(symbols, owner, weight, first_new, min_pairs)) is not None:
+    before = np.inf
+    while len(symbols) <= before * (1 - MIN_SAVED):
+        before = len(symbols)
+        found = _round(symbols, owner, weight, first_new, min_pairs)
+        if found is None:
+            break
         symbols, owner, left, right = found
         made.append((left, right))
         first_new += len(left)

@@ -42,7 +42,7 @@ RESULT = pa.schema(
 RESULT_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 #: Text bytes of a block; its distinct words are what is shuffled.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 BOUNDARY = 0x20
 BYTE_BITS, WORD_BITS = 8, 17
@@ -54,8 +54,8 @@ class Options:
 
     word_depth: int = 2
     word_share: float = 1e-4
-    byte_depth: int = 7
-    byte_share: float = 1e-6
+    byte_depth: int = 4
+    byte_share: float = 1e-5
     divergence: float = 10.0
     discount: float = 0.75
 
@@ -282,7 +282,7 @@ def _spelling(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _spelling_counts(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, "word", tx.SLICE_BYTES):
+        for batch in tx.slices(batches, "word", tx.SLICE_BYTES // 2):
             flat, place, _ = _spelling(batch.column("word"))
             for _, at, key in _contexts(flat, place, 1, BYTE_BITS, depth):
                 yield _counted(key, flat[at], None)
@@ -355,7 +355,7 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
     unknown = min(sums.once / max(options.discount * sums.v, 1), 0.9) if sums.v else 1.0
 
     def spell(batches):
-        for batch in tx.slices(batches, "word", tx.SLICE_BYTES // 2):
+        for batch in tx.slices(batches, "word", tx.SLICE_BYTES // 4):
             flat, place, word = _spelling(batch.column("word"))
             logs = np.log10(probabilities(spelling.value, flat, place, 1))
             log_spelled = np.bincount(word, weights=logs, minlength=batch.num_rows)
