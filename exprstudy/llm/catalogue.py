@@ -61,6 +61,21 @@ def op6_piece_digests(spark, folder):
     return pieces.digests(_table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@query
+def op7_line_alignment(spark, folder):
+    from exprstudy.llm import linealign
+
+    cut = linealign.without_blocks(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_deleted", "words_deleted", "text")
+
+
+@query
+def op8_byte_languages(spark, folder):
+    from exprstudy.llm import langid
+
+    return langid.predictions(_table(spark, folder, "documents"), F.coalesce(remainder(3) == 1, F.lit(False)))
+
+
 @query
 def op9_best_fit_packing(spark, folder):
     from exprstudy.llm import packing
