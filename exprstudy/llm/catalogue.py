@@ -40,6 +40,20 @@ def op2_near_duplicates(spark, folder):
     return neardup.groups(_table(spark, folder, "documents"))
 
 
+@query
+def op3_layout_text(spark, folder):
+    from exprstudy.llm import htmltext
+
+    return htmltext.texts(_table(spark, folder, "pages"))
+
+
+@query
+def op4_permutation_search(spark, folder):
+    from exprstudy.llm import permindex
+
+    return permindex.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer's file; operators take the path as a parameter."""
     import public_tokenizers
