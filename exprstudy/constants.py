@@ -44,7 +44,6 @@ FINAL_SCOPE = "locked_final_holdout_once"
 
 AUDIT_PROBABILITIES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
 AUDIT_QUANTILE_NAMES = ("q0", "q01", "q25", "q50", "q75", "q99", "q100")
-AUDIT_MAX_QUANTILE_VALUES = 1_000_000
 
 GENE_BUDGETS = (20, 50, 100, 200, 500, 1_000, 5_000, "all")
 FOCUSED_PAIRS = {

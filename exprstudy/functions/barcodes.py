@@ -14,8 +14,11 @@ from exprstudy.constants import (
     PRIMARY_SAMPLE_CODE,
     TRUE_WORDS,
 )
+from exprstudy.functions.budgets import ALL, BUDGET
 from exprstudy.functions.checks import fail_when
 
+NUMBER_PATTERN = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+
 
 def clean_barcode(col: Column) -> Column:
     return F.upper(F.trim(col))
@@ -87,18 +90,23 @@ def gene_id_struct(col: Column) -> Column:
 
 
 def parse_number(col: Column, strict: bool = True) -> Column:
-    """Text to FLOAT with blank, NA and nan as NaN; other junk fails (strict) or is null."""
+    """Text to FLOAT with blank, NA and nan as NaN; other junk fails (strict) or is null.
+
+    Only decimal numbers and infinities are numbers: a cast alone would also take Java's
+    type suffixes and hexadecimal floats.
+    """
     text = F.trim(col)
     missing = F.lower(text).isin(*MISSING_WORDS)
-    value = F.when(missing, F.lit("NaN")).otherwise(text)
-    return value.cast("float") if strict else value.try_cast("float")
+    plain = F.when(text.rlike(NUMBER_PATTERN), text)
+    value = F.when(missing, F.lit("NaN")).otherwise(plain).try_cast("float")
+    if not strict:
+        return value
+    unreadable = col.isNotNull() & value.isNull()
+    return fail_when(unreadable, F.concat(F.lit("not a number: "), text), value)
 
 
 def budget_value(col: Column) -> Column:
     """Text budget to ``kind`` (all, count, invalid) and ``k`` (null unless a count)."""
-    text = F.lower(F.trim(col))
-    k = text.try_cast("int")
-    return F.struct(
-        F.when(text == "all", F.lit("all")).when(k >= 1, F.lit("count")).otherwise(F.lit("invalid")).alias("kind"),
-        F.when((text != "all") & (k >= 1), k).alias("k"),
-    )
+    k = F.regexp_extract(col, BUDGET, 2).try_cast("int")
+    kind = F.when(k.isNotNull(), F.lit("count")).when(col.rlike(BUDGET), F.lit(ALL)).otherwise(F.lit("invalid"))
+    return F.struct(kind.alias("kind"), k.alias("k"))

@@ -1,9 +1,4 @@
-"""SHA-256 digests of tables.
-
-Two forms: an ordered digest of the lines of a small manifest (size checked, the
-lines meet in one task) and a bucketed digest for tables of any size, where rows
-are hashed first and only hashes move.
-"""
+"""SHA-256 digests of tables of any size: rows are hashed first and only hashes move."""
 
 from __future__ import annotations
 
@@ -12,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDERED_LIMIT = 1_000_000
 PREFIX_LEVELS = (6, 3)  # hex digits; a level above the leaves gathers at most 16 ** 3 digests
 
 
@@ -43,18 +37,3 @@ def table_digest(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
         parts = _gather(parts, digits).withColumn("entry", F.concat_ws(":", "prefix", "digest"))
     root = _gather(parts, 0)
     return root.select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"), F.col("digest").alias("sha256"))
-
-
-def ordered_digest(df: DataFrame, columns: Sequence[str], order: str, limit: int = ORDERED_LIMIT) -> DataFrame:
-    """Digest of the newline-ended lines in ``order``, for manifests of at most ``limit`` rows.
-
-    The line order is part of the digest, so the lines must meet in one task;
-    larger tables are refused here and go through :func:`table_digest`.
-    """
-    n_rows = df.count()
-    if n_rows > limit:
-        raise ValueError(f"{n_rows} rows exceed the ordered-digest limit {limit}; use table_digest")
-    lines = df.select(F.struct(F.col(order).alias("k"), line_of(columns).alias("line")).alias("entry"))
-    ordered = lines.agg(F.array_sort(F.collect_list("entry")).alias("entries"), F.count(F.lit(1)).alias("n_rows"))
-    text = F.concat(F.array_join(F.transform("entries", lambda e: e["line"]), "\n"), F.lit("\n"))
-    return ordered.select("n_rows", F.sha2(text, 256).alias("sha256"))

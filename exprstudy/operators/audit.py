@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exprstudy.constants import AUDIT_MAX_QUANTILE_VALUES, AUDIT_PROBABILITIES, AUDIT_QUANTILE_NAMES
+from exprstudy.constants import AUDIT_PROBABILITIES, AUDIT_QUANTILE_NAMES
 from exprstudy.operators.matrix import is_finite, long_form
+from exprstudy.operators.quantiles import count_training_values, training_quantiles
 
 
 def partial_counters(matrix: DataFrame) -> DataFrame:
@@ -75,12 +76,26 @@ def _sampled_cells(matrix: DataFrame, shape_row: DataFrame, max_values: int) ->
     )
 
 
-def quantiles(matrix: DataFrame, max_values: int = AUDIT_MAX_QUANTILE_VALUES) -> DataFrame:
-    """One row of exact quantiles over the strided sample, and whether it was all values.
+def _all_quantiles(matrix: DataFrame) -> DataFrame:
+    """Exact quantiles of all finite cells, by the binned operator that no single task has to hold."""
+    cells = matrix.select(F.explode("features").alias("value")).select(F.lit(0).alias("gene_index"), F.lit(-1).alias("fold"), "value")
+    n_cells = matrix.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0]
+    counted = count_training_values(cells.where(is_finite(F.col("value").cast("double"))), 1)
+    found = training_quantiles(counted, AUDIT_PROBABILITIES, 1, n_cells).agg(F.first("q").alias("q"))
+    return found.select(
+        *[F.coalesce(F.col("q")[i], F.lit(float("nan"))).alias(n) for i, n in enumerate(AUDIT_QUANTILE_NAMES)],
+        F.lit(True).alias("quantiles_exact"),
+    )
+
+
+def quantiles(matrix: DataFrame, max_values: int | None = None) -> DataFrame:
+    """One row of exact quantiles of all finite cells, and whether it was all values.
 
-    The stride keeps the sample at ``max_values``, so the quantile state is bounded
-    however large the matrix is.  ``cache_index`` must be the 0-based row number.
+    Only if ``max_values`` is given, every n-th cell is taken instead, so that no more than
+    that many are read; ``cache_index`` must then be the 0-based row number.
     """
+    if max_values is None:
+        return _all_quantiles(matrix)
     if max_values < 1:
         raise ValueError("max_quantile_values must be >= 1")
     cells = _sampled_cells(matrix, shape(matrix), max_values)
@@ -95,7 +110,7 @@ def quantiles(matrix: DataFrame, max_values: int = AUDIT_MAX_QUANTILE_VALUES) ->
     )
 
 
-def profile(matrix: DataFrame, max_values: int = AUDIT_MAX_QUANTILE_VALUES) -> DataFrame:
+def profile(matrix: DataFrame, max_values: int | None = None) -> DataFrame:
     """The full one-row audit: shape, counters and quantiles."""
     one = F.lit(1).alias("_k")
     parts = [shape(matrix), counters(matrix), quantiles(matrix, max_values)]

@@ -8,6 +8,8 @@ balanced weights that sum is the number of training rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import math
 
 import numpy as np
@@ -41,10 +43,9 @@ def logistic(n_train: int, l1_ratio: float, max_iter: int, C: float = 1.0) -> Lo
     )
 
 
-def pca_components(requested: int, n_features: int, n_rows: int, k: int) -> int:
-    """Components capped by features and by the smallest training fold less one."""
-    smallest_train = n_rows - math.ceil(n_rows / k)
-    return min(requested, n_features, max(1, smallest_train - 1))
+def pca_components(requested: int, n_features: int, training_sizes: Sequence[int]) -> int:
+    """Centred rows of the smallest training set span one dimension less than they are; at least one is kept."""
+    return max(1, min(requested, n_features, min(training_sizes) - 1))
 
 
 def estimator(name: str, n_train: int, n_classes: int, seed: int = DEFAULT_SEED, **params) -> Estimator:

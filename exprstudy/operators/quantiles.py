@@ -1,8 +1,9 @@
 """Exact quantiles per gene and training fold.
 
-Copies of a value are combined map-side first.  While a gene has few rows its
-values fit one ``percentile`` buffer; beyond that they are cut into equal-width
-bins that are ordered separately, so no gene has to fit one task.
+Copies of a value are combined map-side first.  The values of a gene are cut into bins at
+bounds from a quantile sketch, so an outlier does not crowd the others into one bin.
+Counts of bins are exact; only bins that hold a wanted rank are ordered, each for itself,
+so no gene has to fit one task.
 """
 
 from __future__ import annotations
@@ -31,24 +32,12 @@ def training_quantiles(
     upper bound of the rows behind one gene.  Interpolation between neighbouring
     order statistics is linear.
     """
-    if rows_per_gene > rows_per_bin:
-        return _binned_quantiles(values, probabilities, k, rows_per_bin)
-    per_fold = F.array(*[F.struct(F.lit(f).alias("eval_fold"), F.col(f"t{f}").alias("copies")) for f in range(k)])
-    spread = values.select("gene_index", "value", F.explode(per_fold).alias("s")).where("s.copies > 0")
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    return spread.groupBy(F.col("s.eval_fold").alias("eval_fold"), "gene_index").agg(
-        F.percentile("value", wanted, F.col("s.copies")).alias("q")
-    )
-
-
-def _binned_quantiles(values: DataFrame, probabilities: Sequence[float], k: int, rows_per_bin: int) -> DataFrame:
-    ranges = values.groupBy("gene_index").agg(
-        F.min("value").alias("lowest"),
-        F.max("value").alias("highest"),
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bin)).cast("int").alias("bins"),
-    )
-    share = F.try_divide(F.col("value") - F.col("lowest"), F.col("highest") - F.col("lowest"))
-    bin_ = F.coalesce(F.least(F.floor(share * F.col("bins")).cast("int"), F.col("bins") - 1), F.lit(0))
+    n_bins = max(1, -(-rows_per_gene // rows_per_bin))
+    cuts = [i / n_bins for i in range(1, n_bins)]
+    # enough accuracy to make bins about equal; the bounds only balance the work
+    bounds = F.percentile_approx("value", cuts, 20 * n_bins) if cuts else F.first(F.array().cast("array<double>"))
+    ranges = values.groupBy("gene_index").agg(bounds.alias("bounds"))
+    bin_ = F.size(F.filter("bounds", lambda b: b < F.col("value")))
     counted = (
         values.join(ranges, "gene_index")
         .groupBy("gene_index", bin_.alias("bin"), "value")
@@ -61,15 +50,17 @@ def _binned_quantiles(values: DataFrame, probabilities: Sequence[float], k: int,
         "bin",
         *[(F.sum(f"b{f}").over(gene.orderBy("bin")) - F.col(f"b{f}")).alias(f"b{f}") for f in range(k)],
         *[F.sum(f"b{f}").over(gene).alias(f"n{f}") for f in range(k)],
+        *[F.col(f"b{f}").alias(f"size{f}") for f in range(k)],
     )
+    wanted = F.lit(False)
+    for f in range(k):
+        for p in probabilities:
+            for rank in (F.floor(F.lit(float(p)) * (F.col(f"n{f}") - 1)), F.ceil(F.lit(float(p)) * (F.col(f"n{f}") - 1))):
+                wanted = wanted | ((F.col(f"b{f}") <= rank) & (rank < F.col(f"b{f}") + F.col(f"size{f}")))
+    bins = bins.where(wanted).drop(*[f"size{f}" for f in range(k)])
     in_bin = Window.partitionBy("gene_index", "bin").orderBy("value")
-    placed = counted.select(
-        "gene_index",
-        "bin",
-        "value",
-        *[F.col(f"t{f}") for f in range(k)],
-        *[(F.sum(f"t{f}").over(in_bin) - F.col(f"t{f}")).alias(f"c{f}") for f in range(k)],
-    ).join(bins, ["gene_index", "bin"])
+    running = {f"c{f}": F.sum(f"t{f}").over(in_bin) - F.col(f"t{f}") for f in range(k)}
+    placed = counted.join(bins, ["gene_index", "bin"]).withColumns(running)
     per_fold = F.array(
         *[
             F.struct(

@@ -471,11 +471,12 @@ FROM dev JOIN raw ON vec_id = cache_index GROUP BY 1, 2, 3"""
 WITH {DEV} SELECT cache_index, pid AS participant_barcode, cls AS cancer_type FROM dev WHERE cls IN ('C3', 'C9')"""
 
     # integrity
-    sql["split_digest"] = f"""
-WITH {SPLIT} SELECT count(*) AS n_rows,
-  sha256(string_agg(cache_index || chr(9) || pid || chr(9) || cls || chr(9) || split || chr(10), '' ORDER BY pid)) AS sha256 FROM sp"""
+    line = "cache_index || chr(9) || pid || chr(9) || cls || chr(9) || split"
+    sql["split_digest"] = f"WITH {SPLIT}, " + DIGEST_OF.format(name="d", line=line, source="sp") + " SELECT * FROM d"
     sql["matrix_digest"] = "WITH " + DIGEST_OF.format(name="d", line=MATRIX_LINE, source="embeddings") + " SELECT * FROM d"
-    line = "l_returnflag || chr(9) || l_linestatus || chr(9) || l_quantity::INT || chr(9) || l_linenumber"
+    scaled = [f"round({c} * 100)::BIGINT" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    line = " || chr(9) || ".join([*keys, *scaled, "l_returnflag", "l_linestatus", "epoch(l_shipdate)::BIGINT"])
     sql["lines_digest"] = "WITH " + DIGEST_OF.format(name="d", line=line, source="lineitem") + " SELECT * FROM d"
     sql["lock_verify"] = (
         f"WITH {SPLIT}, "

@@ -52,8 +52,9 @@ def scan_stats(spark, sf):
 
 def _melted(spark, sf) -> DataFrame:
     lines = roles.wide_lines(spark, sf)
-    primary = wide_text.header(lines).where(bc.barcode_struct(F.col("barcode"))["is_primary"])
-    return wide_text.melt(wide_text.gene_rows(lines), cohort.number_manifest(primary))
+    barcodes = wide_text.header(lines)
+    primary = barcodes.where(bc.barcode_struct(F.col("barcode"))["is_primary"])
+    return wide_text.melt(wide_text.gene_rows(lines), cohort.number_manifest(primary), barcodes.count())
 
 
 @query
@@ -370,7 +371,7 @@ def file_fingerprints(spark, sf):
 @query
 def split_digest(spark, sf):
     manifest = split.holdout(roles.matrix(spark, sf).drop("features"))
-    return digest.ordered_digest(manifest, ["cache_index", "participant_barcode", "cancer_type", "split"], "participant_barcode")
+    return digest.table_digest(manifest, ["cache_index", "participant_barcode", "cancer_type", "split"])
 
 
 def _feature_text() -> Column:
@@ -386,7 +387,11 @@ def matrix_digest(spark, sf):
 @query
 def lines_digest(spark, sf):
     rows = roles.table(spark, sf, "lineitem")
-    return digest.table_digest(rows, ["l_returnflag", "l_linestatus", F.col("l_quantity").cast("int"), "l_linenumber"])
+    scaled = [F.round(F.col(c) * 100).cast("bigint") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    seconds = F.unix_timestamp("l_shipdate")
+    return digest.table_digest(
+        rows, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *scaled, "l_returnflag", "l_linestatus", seconds]
+    )
 
 
 @query

@@ -98,7 +98,7 @@ def fit_experiment(prepared: Prepared, packed: DataFrame, name: str, experiment:
             width = packed.where(F.col("eval_fold") == experiment).select(F.size("params")).first()[0]
             if "components" not in wanted:
                 requested = wanted.pop("pca_components", 100)
-                wanted["components"] = models.pca_components(requested, width, prepared.n_rows(), max(prepared.k, 2))
+                wanted["components"] = models.pca_components(requested, width, [sum(prepared.training_counts(i)) for i in range(prepared.k)])
             if width > models.GRAM_LIMIT:
                 project = models.wide_projection(train, wanted["components"])
                 classifier = models.logistic(sum(counts), 0.0, wanted.get("max_iter", 2_000)).setFeaturesCol("pc")

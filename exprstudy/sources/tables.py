@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.constants import SPLITS
 from exprstudy.functions.barcodes import barcode_struct, expand_compact, parse_bool
-from exprstudy.functions.checks import duplicates, fail_when, require_columns, resolve_column, violations
+from exprstudy.functions.checks import duplicates, fail_when, find_columns, require_columns, violations
 
 COHORT_COLUMNS = ("matrix_index", "expression_barcode", "participant_barcode", "cancer_type")
 SAMPLE_COLUMNS = ("cache_index", *COHORT_COLUMNS)
@@ -15,6 +15,15 @@ SPLIT_COLUMNS = ("cache_index", "participant_barcode", "cancer_type", "split")
 GENE_COLUMNS = ("gene_index", "source_gene_id", "symbol", "entrez_id")
 
 
+#: Names that the columns of a quality table may bear; case and separators do not matter.
+QUALITY_NAMES = {
+    "aliquot": ("aliquot_barcode",),
+    "class": ("cancer_type", "acronym"),
+    "platform": ("platform",),
+    "flag": ("do_not_use",),
+}
+
+
 def read_text_table(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
     """A tab-separated table, every column text; typed casts follow and fail on junk."""
     table = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
@@ -23,10 +32,8 @@ def read_text_table(spark: SparkSession, path: str, required: tuple[str, ...] =
 
 def quality_records(raw: DataFrame) -> DataFrame:
     """Typed quality rows from a raw text table with tolerant column names."""
-    aliquot = resolve_column(raw.columns, "aliquot_barcode", "aliquot barcode")
-    cancer = resolve_column(raw.columns, "cancer type", "cancer_type", "acronym")
-    platform = resolve_column(raw.columns, "platform")
-    flag = resolve_column(raw.columns, "Do_not_use", "Do not use", "do_not_use")
+    names = find_columns(raw.columns, QUALITY_NAMES)
+    aliquot, cancer, platform, flag = (names[key] for key in QUALITY_NAMES)
     rows = raw.select(
         expand_compact(F.coalesce(raw[f"`{aliquot}`"], F.lit(""))).alias("aliquot_barcode"),
         F.upper(F.trim(F.coalesce(raw[f"`{cancer}`"], F.lit("")))).alias("cancer_type"),

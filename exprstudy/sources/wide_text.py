@@ -25,12 +25,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                 ":", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
             ).alias("_block"),
             F.monotonically_increasing_id().alias("_order"),
-            F.rtrim(F.regexp_replace("value", BYTE_ORDER_MARK, ""), F.lit("\r\n")).alias("line"),
+            F.rtrim("value", F.lit("\r\n")).alias("line"),
         )
         .where("line <> ''")
     )
     numbered = bucketed_row_number(lines, "line_index", "_block", [F.col("_order")])
-    return numbered.select((F.col("line_index") - 1).alias("line_index"), "line")
+    # a mark belongs to the encoding only where the text begins
+    marked = (F.col("line_index") == 1) & F.col("line").startswith(BYTE_ORDER_MARK)
+    line = F.when(marked, F.expr("substring(line, 2)")).otherwise(F.col("line"))
+    return numbered.select((F.col("line_index") - 1).alias("line_index"), line.alias("line"))
 
 
 def fields(line: Column) -> Column:
@@ -107,9 +110,11 @@ def bad_rows(rows: DataFrame, n_samples: DataFrame) -> DataFrame:
     )
 
 
-def melt(rows: DataFrame, cohort: DataFrame, n_samples: int | None = None) -> DataFrame:
+def melt(rows: DataFrame, cohort: DataFrame, n_samples: int) -> DataFrame:
     """Wide to long for the cohort's columns: ``(cache_index, gene_index, value FLOAT)``.
 
+    Every line must have the header's ``n_samples`` values, no more and no fewer.
+
     ``cohort`` holds ``(matrix_index, cache_index)``.  Packed to one array it is no wider
     than one line, which bounds the broadcast; each line then picks its cells by
     position, so cells outside the cohort are never exploded, joined or parsed.
@@ -117,9 +122,7 @@ def melt(rows: DataFrame, cohort: DataFrame, n_samples: int | None = None) -> Da
     pick = F.struct(F.col("matrix_index").cast("int").alias("position"), F.col("cache_index").alias("cache_index"))
     packed = cohort.agg(F.array_sort(F.collect_list(pick)).alias("picks")).withColumn("_k", F.lit(1))
     joined = rows.withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k")
-    wrong = F.coalesce(F.try_element_at("picks", F.lit(-1))["position"] >= F.size("values"), F.lit(False))
-    if n_samples is not None:
-        wrong = wrong | (F.size("values") != n_samples)
+    wrong = F.size("values") != n_samples
     message = F.concat(F.lit("gene row has the wrong number of values: "), F.col("gene_index").cast("string"))
     cells = joined.select(
         fail_when(wrong, message, F.col("gene_index")).alias("gene_index"),

@@ -144,15 +144,21 @@ def test_split_constraints_find_each_problem(spark):
         matrix.join_split(rows, manifest.withColumn("split", F.lit("development")), "development")
 
 
-def test_ordered_digest_is_the_line_digest(spark):
-    frame, _ = samples(spark, {"A": 7, "B": 5})
-    rows = split.holdout(frame)
-    columns = ["cache_index", "participant_barcode", "cancer_type", "split"]
-    got = digest.ordered_digest(rows, columns, "participant_barcode").first()["sha256"]
-    lines = "".join("\t".join(str(r[c]) for c in columns) + "\n" for r in sorted(rows.collect(), key=lambda r: r["participant_barcode"]))
-    assert got == hashlib.sha256(lines.encode()).hexdigest()
-    with pytest.raises(ValueError, match="table_digest"):
-        digest.ordered_digest(rows, columns, "participant_barcode", limit=3)
+def test_split_of_many_classes(spark):
+    """Classes are a table like any other; there is no largest number of them."""
+    frame, _ = samples(spark, {f"K{i:05d}": 2 for i in range(20_000)})
+    sides = split.holdout(frame).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in sides} == {"holdout": 8_000, "development": 32_000}
+
+
+def test_quantiles_with_an_outlier(spark):
+    """One far value does not change the way; many bins give what one gives."""
+    values = [float(i) for i in range(1, 2_000)] + [1e300]
+    rows = [(i, [values[2 * i], values[2 * i + 1]]) for i in range(1_000)]
+    frame = spark.createDataFrame(rows, "cache_index bigint, features array<double>")
+    got = audit.quantiles(frame).first()
+    expected = np.quantile(np.array(values), [0, 0.01, 0.25, 0.5, 0.75, 0.99])
+    assert list(got)[:6] == pytest.approx(list(expected)) and got["q100"] == 1e300 and got["quantiles_exact"]
 
 
 def test_table_digest_sees_order_free_content(spark):

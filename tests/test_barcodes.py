@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.functions import barcodes as bc
 from exprstudy.functions.budgets import parse_budget, parse_budgets
-from exprstudy.functions.checks import require_columns, resolve_column
+from exprstudy.functions.checks import find_columns, require_columns
 
 
 def one(spark, column, value):
@@ -83,7 +83,7 @@ def test_gene_ids_and_quotes(spark):
 
 def test_budgets(spark):
     assert [parse_budget(v) for v in (5, "20", " ALL ")] == [5, 20, "all"]
-    for bad in (0, "-3", "many", True):
+    for bad in (0, "-3", "many", True, "1.5", "", None):
         with pytest.raises(ValueError):
             parse_budget(bad)
     with pytest.raises(ValueError, match="duplicates"):
@@ -94,8 +94,10 @@ def test_budgets(spark):
 
 
 def test_column_aliases(spark):
-    assert resolve_column(["Aliquot Barcode", "Do-Not_use"], "do_not_use") == "Do-Not_use"
-    with pytest.raises(ValueError, match="required column"):
-        resolve_column(["a"], "b")
+    columns = ["Aliquot Barcode", "Do-Not_use", "Acronym"]
+    wanted = {"flag": ("do_not_use",), "class": ("cancer type", "acronym")}
+    assert find_columns(columns, wanted) == {"flag": "Do-Not_use", "class": "Acronym"}
+    with pytest.raises(ValueError, match="flag .* class"):
+        find_columns(["a"], wanted)
     with pytest.raises(ValueError, match="must contain"):
         require_columns(spark.range(1), ["x"])
