@@ -30,6 +30,9 @@ WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
+#: Text bytes counted at once; counting takes some 50 bytes for each.
+COUNTED_BYTES = 1 << 20
+
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other")
 
 
@@ -136,30 +139,38 @@ def _repeated_words(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return tx.segment_sum(np.cumsum(edge[:-1]) > 0, at)
 
 
+_REFERENCE_SCHEMA = pa.schema([("lang", pa.string()), ("is_class", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+#: Text bytes whose counts are summed before they leave the task.
+SUMMED_BYTES = 24 << 20
+
+
 def _reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each language of a slice: counts by class (kind -1-class) and by word hash (kind 0)."""
-    schema = pa.schema([("lang", pa.string()), ("is_class", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
-    for batch in tx.slices(batches, "text", 4 * tx.SLICE_BYTES):
+    """Counts of each language by class and by word hash, of some slices together."""
+    held: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+    for batch in tx.slices(batches, "text", COUNTED_BYTES):
         langs = batch.column("lang").dictionary_encode()
-        names, code = langs.dictionary.to_pylist(), langs.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        code = langs.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         found = Counted(batch.column("text"))
         good = ~found.failed & (code >= 0)
-        for c, name in enumerate(names):
+        for c, name in enumerate(langs.dictionary.to_pylist()):
             mine = good & (code == c)
-            if not mine.any():
-                continue
-            keys, counts = np.unique(found.lowered[mine[found.doc]], return_counts=True)
-            sums = found.classes[mine].sum(axis=0)
-            key = np.concatenate([np.arange(len(CLASSES)), keys.view(np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(key), pa.string()),
-                    pa.array(np.arange(len(key)) < len(CLASSES)),
-                    pa.array(key),
-                    pa.array(np.concatenate([sums, counts]).astype(np.int64)),
-                ],
-                schema=schema,
-            )
+            held.setdefault((name, False), []).append(np.unique(found.lowered[mine[found.doc]], return_counts=True))
+            held.setdefault((name, True), []).append((np.arange(len(CLASSES), dtype=np.uint64), found.classes[mine].sum(axis=0)))
+        size += tx.buffer(batch.column("text"))[1][-1]
+        if size >= SUMMED_BYTES:
+            yield from _summed(held)
+            held, size = {}, 0
+    yield from _summed(held)
+
+
+def _summed(held: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    for (name, is_class), parts in held.items():
+        keys, code = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        n = np.bincount(code, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+        if len(keys):
+            columns = [pa.array([name] * len(keys), pa.string()), pa.array([is_class] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_REFERENCE_SCHEMA)
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> References:
@@ -232,7 +243,7 @@ def verdicts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     refs = references(docs, rules)
 
     def run(batches):
-        for batch in tx.slices(batches, "text"):
+        for batch in tx.slices(batches, "text", COUNTED_BYTES):
             found = Counted(batch.column("text"))
             kept, classes, words, near = judge(found, refs, rules)
             names = pa.array([refs.names[i] if i >= 0 else None for i in near], pa.string())
@@ -250,7 +261,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for batch in tx.slices(batches, "text"):
+        for batch in tx.slices(batches, "text", COUNTED_BYTES):
             kept, *_ = judge(Counted(batch.column("text")), refs, rules)
             yield batch.filter(pa.array(kept)).select(names)
 
