@@ -9,6 +9,7 @@ from __future__ import annotations
 import posixpath
 from datetime import datetime, timezone
 
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from exprstudy.functions.checks import assert_no_violations
 from exprstudy.operators import lock, matrix, metrics, models, prep, split
 from exprstudy.plans import studies
 from exprstudy.session import durable
-from exprstudy.sources.sinks import create_document, exists, write_summary, write_table
+from exprstudy.sources.sinks import create_document, exists, read_document, write_summary, write_table
 
 MODEL_OF_FAMILY = {"pca_logistic": "pca_logistic", "xgboost": "boosted_trees"}
 
@@ -69,6 +70,8 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
         )
     return {
         "model": fitted,
+        "parameters": packed,
+        "description": {"model": name, "classes": prepared.classes, "negative_policy": policy, "scaled": name != "boosted_trees"},
         "predictions": predictions,
         "metrics": overall.drop("_k"),
         "per_class": metrics.per_class(predictions),
@@ -77,6 +80,25 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
     }
 
 
+def save_model(spark: SparkSession, results: dict, outdir: str) -> None:
+    """Write what scoring new rows needs: the model, the parameters of its features, and how they are used."""
+    results["model"].write().save(f"{outdir}/model")
+    write_table(results["parameters"], f"{outdir}/parameters")
+    create_document(spark, f"{outdir}/model.json", results["description"])
+
+
+def load_and_score(spark: SparkSession, outdir: str, rows: DataFrame) -> DataFrame:
+    """Predictions of a saved model for matrix rows with ``cancer_type`` (null where it is not known)."""
+    how = read_document(spark, f"{outdir}/model.json")
+    packed = spark.read.parquet(f"{outdir}/parameters")
+    model = DefaultParamsReader.loadParamsInstance(f"{outdir}/model", spark)
+    if model.hasParam("featuresCol") and model.getOrDefault("featuresCol") == "pc":
+        raise ValueError("this model needs principal axes that were not saved with it")
+    design = prep.transform(rows.withColumn("fold", F.lit(0)), packed, [0], how["negative_policy"], how["scaled"])
+    design = models.as_vectors(studies.labelled(design, how["classes"]))
+    return studies.predict(model, design, how["classes"])
+
+
 def artifacts_of(rows: DataFrame, split_manifest: DataFrame, genes: DataFrame) -> DataFrame:
     features = F.array_join(F.transform("features", lambda v: v.cast("string")), ",", "NULL")
     return lock.artifact_digests(
@@ -118,7 +140,7 @@ def run(
         for name in ("predictions", "confusion", "per_class", "errors"):
             write_table(results[name], f"{outdir}/{name}")
         write_summary(results["metrics"], f"{outdir}/metrics")
-        results["model"].write().save(f"{outdir}/model")
+        save_model(spark, results, outdir)
         digests = lock.artifact_digests(
             {name: (results[name], list(results[name].columns)) for name in ("confusion", "per_class")}
         )
@@ -126,6 +148,6 @@ def run(
         create_document(spark, f"{receipt_dir}/completed.json", {**head, "status": "completed", "at_utc": _stamp(), "outputs": outputs})
         return results
     except Exception as problem:
-        failure = {"status": "failed_after_holdout_reservation", "error_type": type(problem).__name__, "error": str(problem)[:2000]}
+        failure = {"status": "failed_after_holdout_reservation", "error_type": type(problem).__name__, "error": str(problem)}
         create_document(spark, f"{receipt_dir}/failed.json", {**head, **failure, "at_utc": _stamp()})
         raise

@@ -73,7 +73,7 @@ def prepare(
     return Prepared(rows, params, sorted({name for _, name in sizes}), sizes, k, negative_policy)
 
 
-def _labelled(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
+def labelled(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cancer_type"))
     return rows.withColumn("label", (position - 1).cast("double"))
 
@@ -87,7 +87,7 @@ def _weighted(rows: DataFrame, counts: Sequence[int]) -> DataFrame:
 def fit_experiment(prepared: Prepared, packed: DataFrame, name: str, experiment: int, seed: int, scaled: bool, params: dict):
     """Fit one model on the rows outside the fold; returns it with the labelled rows of the fold."""
     design = prep.transform(prepared.rows, packed, [experiment], prepared.negative_policy, scaled)
-    design = models.as_vectors(_labelled(design, prepared.classes))
+    design = models.as_vectors(labelled(design, prepared.classes))
     counts = prepared.training_counts(experiment)
     train = _weighted(design.where(F.col("fold") != experiment), counts).select("x", "label", "weight")
     held_out = design.where(F.col("fold") == experiment)

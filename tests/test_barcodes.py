@@ -70,7 +70,11 @@ def test_numbers(spark):
     assert one(spark, bc.parse_number, " 1.5 ") == 1.5
     with pytest.raises(PySparkException):
         one(spark, bc.parse_number, "abc")
-    assert one(spark, lambda c: bc.parse_number(c, strict=False), "abc") is None
+    # words that a cast takes but that are no decimal numbers
+    for text in ("abc", "1d", "1.5f", "0x1p3", "1e", ".", "1 2"):
+        assert one(spark, lambda c: bc.parse_number(c, strict=False), text) is None
+    for text, value in (("-2", -2.0), ("1e3", 1000.0), (".5", 0.5), ("5.", 5.0), ("-inf", float("-inf"))):
+        assert one(spark, bc.parse_number, text) == value
 
 
 def test_gene_ids_and_quotes(spark):

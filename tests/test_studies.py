@@ -143,6 +143,12 @@ def test_holdout_is_evaluated_once(spark, world, tmp_path):
     row = results["metrics"].first()
     assert row["macro_f1"] > 0.7 and 0 < row["multiclass_log_loss"] < 2 and row["ovr_roc_auc_macro"] > 0.8
     assert spark.read.parquet(out + "/predictions").count() == len(scored)
+    # the saved model gives the same predictions again
+    again = final.load_and_score(spark, out, matrix.join_split(rows, manifest, "holdout"))
+    answers = {r[0]: (r[1], r[2]) for r in again.select("participant_barcode", "predicted_label", "scores").collect()}
+    first = {r[0]: (r[1], r[2]) for r in results["predictions"].select("participant_barcode", "predicted_label", "scores").collect()}
+    assert answers.keys() == first.keys() and all(answers[k][0] == first[k][0] for k in first)
+    assert all(answers[k][1] == pytest.approx(first[k][1]) for k in first)
     with pytest.raises(FileExistsError):
         final.run(spark, path, rows, manifest, genes, out, receipt, proof)
     with pytest.raises(FileExistsError, match="started"):
