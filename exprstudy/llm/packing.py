@@ -28,6 +28,8 @@ from exprstudy.llm import textops as tx
 from exprstudy.session import durable
 
 CAPACITY = 1024
+#: Pieces of one length that a task orders, on average, if all had that length.
+PART_PIECES = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -131,10 +133,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Each combination of the plan uses up a length, so the plan that goes to the tasks has
     at most ``capacity`` combinations.
     """
-    spark = found.sparkSession
-    # a length may hold most pieces; its ranks are counted in so many parts
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = durable(found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts))), "pieces")
+    found = durable(found, "pieces")
+    # a length may hold most pieces; its ranks are counted in parts whose number follows the pieces
+    parts = max(64, found.count() // PART_PIECES)
+    found = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
     sizes = found.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     sizes = durable(sizes.withColumn("before", before), "piece-counts")
