@@ -27,7 +27,7 @@ from exprstudy.llm import textops as tx
 NO_RANK = np.int64(1 << 62)
 
 #: Text bytes whose distinct units are encoded together.
-UNIT_BYTES = 10 << 20
+UNIT_BYTES = 8 << 20
 
 
 class PairTable:

@@ -8,6 +8,7 @@ inside a longer UTF-8 sequence, hence words can be cut on bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Text bytes worked on at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: One 64-bit value for each byte value; a space counts nothing, so it can follow a word.
@@ -40,6 +41,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library keeps its own rules
+        return None
+
+
+_LIBC = _libc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``limit`` bytes a slice, or one row."""
     for batch in batches:
@@ -52,6 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+        give_back()
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
