@@ -42,7 +42,7 @@ RESULT = pa.schema(
 RESULT_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 #: Text bytes of a block; its distinct words are what is shuffled.
-BLOCK_BYTES = 22 << 20
+BLOCK_BYTES = 18 << 20
 
 BOUNDARY = 0x20
 BYTE_BITS, WORD_BITS = 8, 17
