@@ -4,7 +4,8 @@ A text is the sequence of its words and one end.  The tree predicts each of them
 longest suffix of the words before it that it holds as a state.  Its symbols are the
 frequent words, one symbol for all others, and the end; a word of the "others" is then
 predicted by its count and its spelling, and the spelling again by a suffix tree, whose
-symbols are bytes; words unknown to the training texts are one outcome.  In both trees
+symbols are bytes; a word unknown to the training texts has the share of all unknown words
+times its spelling.  In both trees
 
 * a context becomes a candidate if it is frequent enough, as a share of all symbols, which
   bounds the number of states whatever the corpus;
@@ -321,8 +322,11 @@ def _word_counts(frequent, depth: int):
 # --- scores ----------------------------------------------------------------
 
 
-def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> DataFrame:
-    """Score every document; those for which ``held_out`` is true teach nothing."""
+def scores(docs: DataFrame, held_out: Column, options: Options = Options(), apart: bool = False) -> DataFrame:
+    """Score every document; those for which ``held_out`` is true teach nothing.
+
+    ``apart`` adds ``unknown_score``, the part of ``score`` that is due to unknown words.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     blocks = durable(rows.mapInArrow(_blocks, _BLOCK), "blocks")
@@ -350,7 +354,7 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
     tree = spark.sparkContext.broadcast(grow(counts, n_all, WORD_BITS, options.word_depth, n_symbols, options.word_share, options))
 
     # What the discounts leave is shared: the part of words seen once goes to all unknown words together,
-    # which are one outcome as in the base score, the rest to known words by their spelling.
+    # the rest to known words, and within both a word has its part by its spelling.
     spread = options.discount * sums.v / max(n_all, 1)
     unknown = min(sums.once / max(options.discount * sums.v, 1), 0.9) if sums.v else 1.0
 
@@ -361,7 +365,7 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
             log_spelled = np.bincount(word, weights=logs, minlength=batch.num_rows)
             c = batch.column("c").to_numpy()
             p = np.maximum(c - options.discount, 0) / max(n_all, 1) + spread * (1 - unknown) * 10.0**log_spelled
-            logp = np.log10(np.where(c > 0, p, max(spread * unknown, 1 / (n_all + 1))))
+            logp = np.where(c > 0, np.log10(np.maximum(p, 1e-300)), np.log10(max(spread * unknown, 1 / (n_all + 1))) + log_spelled)
             yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("c"), pa.array(logp)], names=["hash", "c", "logp"])
 
     scored = words.select("hash", "c", "word").mapInArrow(spell, "hash bigint, c bigint, logp double")
@@ -371,9 +375,11 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
     others = np.log10(max(1 - kept - n_texts / max(n_all, 1), spread, 1e-300))
     floor = np.log10(n_all + sums.v + (n_texts > 0) + 1)
 
+    result = RESULT.append(pa.field("unknown_score", pa.float64())) if apart else RESULT
+
     def add_up(body: pa.Table, found: pa.Table) -> pa.Table:
         if not body.num_rows:
-            return RESULT.empty_table()
+            return result.empty_table()
         block = Block.unpack(body.column("body")[0].as_buffer())
         here = found.column("place").to_numpy()
         c, logp = np.zeros(len(here), np.int64), np.zeros(len(here))
@@ -385,8 +391,9 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options()) -> D
         logs = np.log10(probabilities(tree.value, flat, place, 0))
         logs[place < block.n_words[text]] += np.where(flat[place < block.n_words[text]] == n_symbols - 2, np.minimum(logp - others, 0)[block.words], 0)
         model = tx.segment_sum(logs, tx.offsets_of(block.n_words + 1))
+        new = tx.segment_sum(np.where((c > 0)[block.words], 0, logs[place < block.n_words[text]]), at)
         ids = pa.array(block.ids, mask=~block.valid)
-        values = [ids, block.held, block.n_words + 1, known, np.full(len(block.ids), n_all), base, model]
-        return pa.table([pa.array(v).cast(f.type) for v, f in zip(values, RESULT)], schema=RESULT)
+        values = [ids, block.held, block.n_words + 1, known, np.full(len(block.ids), n_all), base, model, new]
+        return pa.table([pa.array(v).cast(f.type) for v, f in zip(values, result)], schema=result)
 
-    return bodies.groupBy("of_block").cogroup(back.groupBy("block")).applyInArrow(add_up, RESULT_SQL)
+    return bodies.groupBy("of_block").cogroup(back.groupBy("block")).applyInArrow(add_up, RESULT_SQL + (", unknown_score double" if apart else ""))

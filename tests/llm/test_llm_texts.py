@@ -123,6 +123,18 @@ def test_scores_beat_the_base_on_held_out_texts(given):
     assert rows[0] > rows[1]
 
 
+def test_unknown_words_pay_for_their_spelling(spark, given):
+    """Held-out gibberish has a lower score per token than held-out text, and long unknown words a lower one than short."""
+    ids = [i for i in range(10**9, 10**9 + 100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    odd = [(ids[0], "xqzjv kqwpz vvxqj zzkqx " * 20), (ids[1], "xqzjvkqwpzvvxqj zzkqxqjvvzpwqk " * 20)]
+    rows = given.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
+    got = suffixtree.scores(rows, held_out(), apart=True).where("held_out").collect()
+    per = {r.doc_id: r.score / r.n_tokens for r in got}
+    text = sum(r.score for r in got if r.doc_id not in ids) / sum(r.n_tokens for r in got if r.doc_id not in ids)
+    assert per[ids[1]] < per[ids[0]] < text
+    assert all(r.score - 1e-6 <= r.unknown_score <= 0 for r in got)
+
+
 def test_scores_of_nothing(empty):
     assert suffixtree.scores(empty, held_out()).count() == 0
 
