@@ -2,13 +2,14 @@
 
 A text is the sequence of its words and one end.  The tree predicts each of them from the
 longest suffix of the words before it that it holds as a state.  Its symbols are the
-frequent words, one symbol for all others, and the end; a word of the "others" is then
+words seen twice or more, one symbol for all others, and the end; a word of the "others" is then
 predicted by its count and its spelling, and the spelling again by a suffix tree, whose
 symbols are bytes; a word unknown to the training texts has the share of all unknown words
 times its spelling.  In both trees
 
-* a context becomes a candidate if it is frequent enough, as a share of all symbols, which
-  bounds the number of states whatever the corpus;
+* a word context is a candidate from two occurrences on, so the tree of words grows with the
+  corpus; a byte context from a share of all bytes of distinct words on, which bounds the
+  number of spelling states;
 * it is retained if what follows it diverges from what follows its own suffix: the sum of
   log ratios of the two distributions over its occurrences, each left out of the counts
   that predict it, must reach a threshold;
@@ -17,7 +18,9 @@ times its spelling.  In both trees
 
 The corpus is read once, into blocks that hold numbered words.  Counts of words and of
 contexts are summed by block before they are shuffled; each distinct word is spelled once,
-and its count and probability go back to the blocks that hold it.
+and its count and probability go back to the blocks that hold it.  So do the counts of word
+contexts and of what follows them: both are numbered in each block and joined by 64-bit
+hashes, and no part of the word tree is gathered.
 
 Cases: a null or empty text is the end alone; ties cannot occur; a repeated row counts and
 is scored again; an empty table gives an empty result; further columns are not read.
@@ -43,20 +46,22 @@ RESULT = pa.schema(
 RESULT_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 #: Text bytes of a block; its distinct words are what is shuffled.
-BLOCK_BYTES = 18 << 20
+BLOCK_BYTES = 8 << 20
 
 BOUNDARY = 0x20
-BYTE_BITS, WORD_BITS = 8, 17
+BYTE_BITS = 8
+#: Word symbols that are no word's hash.
+OTHER, END = np.uint64(1), np.uint64(2)
 
 
 @dataclass(frozen=True)
 class Options:
-    """``word_share`` is at least 2**-16 and ``word_depth`` at most 3, ``byte_depth`` at most 7: a context fits into one integer."""
+    """``word_count`` is at least 2, since a context is tested without one occurrence; ``byte_depth`` is at most 7: a context fits into one integer."""
 
     word_depth: int = 2
-    word_share: float = 1e-4
-    byte_depth: int = 4
-    byte_share: float = 1e-5
+    word_count: int = 2
+    byte_depth: int = 7
+    byte_share: float = 1e-6
     divergence: float = 10.0
     discount: float = 0.75
 
@@ -294,31 +299,128 @@ def _spelling_counts(depth: int):
 # --- words in context ------------------------------------------------------
 
 
+_ASK = "block bigint, slot int, key bigint, depth int, context bigint, parent bigint, parent_key bigint, n bigint"
+_ASK_SCHEMA = pa.schema(
+    [("block", pa.int64()), ("slot", pa.int32()), ("key", pa.int64()), ("depth", pa.int32())]
+    + [(c, pa.int64()) for c in ("context", "parent", "parent_key", "n")]
+)
+
+
 def _sequence(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts of a block (frequent words, one for others, one for the end), place, and number of the text."""
-    number, known = _find(frequent, np.asarray(block.distinct).view(np.int64))
-    symbol = np.where(known, number, len(frequent)).astype(np.uint64)
+    """Symbols of all texts of a block (``frequent`` words, one for others, one for the end), place, and number of the text."""
+    symbol = np.where(frequent, block.distinct.astype(np.uint64), OTHER)
     lengths = block.n_words + 1
     at = tx.offsets_of(lengths)
-    flat = np.full(at[-1], len(frequent) + 1, np.uint64)
+    flat = np.full(at[-1], END, np.uint64)
     flat[tx.ragged(at[:-1], block.n_words)] = symbol[block.words]
     text = np.repeat(np.arange(len(lengths)), lengths)
     return flat, np.arange(at[-1]) - at[text], text
 
 
-def _word_counts(frequent, depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column("body"):
-                block = Block.unpack(body.as_buffer())
-                flat, place, text = _sequence(block, frequent.value)
-                place = np.where(block.held[text], -1, place)
-                for _, at, key in _contexts(flat, place, 0, WORD_BITS, depth):
-                    yield _counted(key, flat[at], None)
+def _follower(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Key of a symbol after a context."""
+    return tx.mix(context ^ tx.mix(symbol ^ np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _histories(flat: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth: the positions with so many symbols before them, their contexts, and those of one symbol less (0 is the empty one)."""
+    at = np.arange(len(flat))
+    context = np.zeros(len(flat), np.uint64)
+    yield 0, at, context, context
+    for d in range(1, depth + 1):
+        far = place[at] >= d
+        at, shorter = at[far], context[far]
+        context = tx.mix(tx.mix(shorter + np.uint64(d)) + flat[at - d])
+        yield d, at, context, shorter
+
+
+def _asks(depth: int):
+    """One row for each distinct context of a block (depth -1) and one for each distinct follower, with its training count."""
+
+    def run(body: pa.Table, found: pa.Table) -> pa.Table:
+        if not body.num_rows:
+            return _ASK_SCHEMA.empty_table()
+        block = Block.unpack(body.column("body")[0].as_buffer())
+        frequent = np.zeros(len(block.distinct), bool)
+        frequent[found.column("place").to_numpy()] = True
+        flat, place, text = _sequence(block, frequent)
+        trains = ~block.held[text]
+        name, slot, parts = body.column("of_block")[0].as_py(), 0, []
+        for d, at, context, shorter in _histories(flat, place, depth):
+            contexts = np.unique(context)
+            key, first, number = np.unique(_follower(context, flat[at]), return_index=True, return_inverse=True)
+            n = np.bincount(number, weights=trains[at], minlength=len(key)).astype(np.int64)
+            of = [context[first], shorter[first], _follower(shorter[first], flat[at][first])]
+            for keys, level, columns in ((contexts, -1, None), (key, d, [*of, n])):
+                size = len(keys)
+                tail = [pa.nulls(size, pa.int64())] * 4 if columns is None else [pa.array(c.view(np.int64)) for c in columns]
+                head = [np.full(size, name), np.arange(slot, slot + size, dtype=np.int32), keys.view(np.int64), np.full(size, level, np.int32)]
+                parts.append(pa.Table.from_arrays([*map(pa.array, head), *tail], schema=_ASK_SCHEMA))
+                slot += size
+        return pa.concat_tables(parts)
 
     return run
 
 
+def word_tree(asks: DataFrame, options: Options) -> DataFrame:
+    """``(key, a, b)``: total and kinds of followers of each state, and the count of each of its followers."""
+    counts = (
+        asks.where("depth >= 0 AND n > 0")
+        .groupBy("key")
+        .agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("depth", "context", "parent", "parent_key")])
+    )
+    counts = durable(counts, "tree-counts")
+    totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.first("parent").alias("parent"), F.first("depth").alias("depth"))
+    # every suffix of a frequent context is frequent
+    totals = durable(totals.where(F.col("total") >= options.word_count), "tree-totals")
+    frequent = durable(counts.drop("parent", "depth").join(totals.drop("parent"), "context"), "tree-frequent")
+    parent = frequent.select(F.col("key").alias("parent_key"), (F.col("n") / F.col("total")).alias("parent_share"))
+    left = F.greatest(F.col("n") - 1 - options.discount, F.lit(0)) + options.discount * F.col("kinds") * F.col("parent_share")
+    gain = F.sum(F.col("n") * F.log(left / (F.col("total") - 1) / F.col("parent_share")))
+    kept = (
+        frequent.where("depth > 0").join(parent, "parent_key").groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= options.divergence)
+    ).select("context")
+    # a state needs its suffixes, down to the empty one, as states
+    kept = kept.unionByName(totals.where("depth = 0").select("context"))
+    for d in range(options.word_depth, 1, -1):
+        kept = durable(kept, "tree-kept")
+        kept = kept.unionByName(totals.where(F.col("depth") == d).join(kept, "context", "semi").select(F.col("parent").alias("context")))
+    kept = durable(kept.distinct(), "tree-kept")
+    states = totals.join(kept, "context").select(F.col("context").alias("key"), F.col("total").alias("a"), F.col("kinds").alias("b"))
+    followers = frequent.join(kept, "context", "semi").select("key", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    return states.unionByName(followers)
+
+
+def _tree_logs(block: Block, frequent: np.ndarray, slot: np.ndarray, a: np.ndarray, b: np.ndarray, n_symbols: int, options: Options):
+    """Logarithm of each symbol's probability under its longest state, from the answers to the block's asks; symbols, place, text."""
+    flat, place, text = _sequence(block, frequent)
+    p = np.full(len(flat), 1 / n_symbols)
+    alive = np.ones(len(flat), bool)
+    order = np.argsort(slot)
+    slot, a, b = slot[order], a[order], b[order]
+    first = 0
+
+    def answers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal first
+        _, number = np.unique(keys, return_inverse=True)
+        size = int(number.max()) + 1 if len(number) else 0
+        here = slice(*np.searchsorted(slot, [first, first + size]))
+        total, kinds = np.zeros(size), np.zeros(size)
+        total[slot[here] - first], kinds[slot[here] - first] = a[here], b[here]
+        first += size
+        return total[number], kinds[number]
+
+    for _, at, context, _ in _histories(flat, place, options.word_depth):
+        total, kinds = answers(context)
+        n, _ = answers(_follower(context, flat[at]))
+        on = alive[at] & (total > 0)
+        alive[:] = False
+        alive[at[on]] = True
+        at, total, kinds, n = at[on], total[on], kinds[on], n[on]
+        p[at] = options.discount * kinds / total * p[at] + np.maximum(n - options.discount, 0) / total
+    return np.log10(p), flat, place, text
+
+
 # --- scores ----------------------------------------------------------------
 
 
@@ -338,6 +440,8 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options(), apar
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
         F.count_if(F.col("c") > 0).alias("v"),
         F.count_if(F.col("c") == 1).alias("once"),
+        F.count_if(F.col("c") >= options.word_count).alias("symbols"),
+        F.coalesce(F.sum(F.when(F.col("c") >= options.word_count, F.col("c") - options.discount)), F.lit(0.0)).alias("kept"),
         F.sum(F.when(F.col("c") > 0, F.length("word") + 1)).alias("bytes"),
     ).first()
     n_all = sums.n + n_texts
@@ -345,13 +449,12 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options(), apar
     spelled = words.where("c > 0").select("word").mapInArrow(_spelling_counts(options.byte_depth), _COUNT_SQL)
     spelling = spark.sparkContext.broadcast(grow(spelled, sums.bytes or 0, BYTE_BITS, options.byte_depth, 256, options.byte_share, options))
 
-    # no more than 1 / word_share words are that frequent
-    found = words.where(F.col("c") >= max(2, options.word_share * n_all)).select("hash", "c").toArrow()
-    order = np.argsort(found.column("hash").to_numpy())
-    frequent = spark.sparkContext.broadcast(found.column("hash").to_numpy()[order])
-    n_symbols = len(order) + 2
-    counts = bodies.select("body").mapInArrow(_word_counts(frequent, options.word_depth), _COUNT_SQL)
-    tree = spark.sparkContext.broadcast(grow(counts, n_all, WORD_BITS, options.word_depth, n_symbols, options.word_share, options))
+    n_symbols = sums.symbols + 2
+    places = blocks.where("place >= 0").select("hash", "block", "place")
+    frequent = places.join(words.where(F.col("c") >= options.word_count).select("hash"), "hash").select("block", "place")
+    asks = bodies.groupBy("of_block").cogroup(frequent.groupBy("block")).applyInArrow(_asks(options.word_depth), _ASK)
+    asks = durable(asks, "asks")
+    tree = word_tree(asks, options)
 
     # What the discounts leave is shared: the part of words seen once goes to all unknown words together,
     # the rest to known words, and within both a word has its part by its spelling.
@@ -369,9 +472,12 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options(), apar
             yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("c"), pa.array(logp)], names=["hash", "c", "logp"])
 
     scored = words.select("hash", "c", "word").mapInArrow(spell, "hash bigint, c bigint, logp double")
-    back = blocks.where("place >= 0").select("hash", "block", "place").join(scored, "hash").select("block", "place", "c", "logp")
+    back = places.join(scored, "hash").select("block", F.lit(True).alias("word"), "place", F.col("c").cast("double").alias("a"), F.col("logp").alias("b"))
+    told = asks.select("block", "slot", "key").join(tree, "key")
+    told = told.select("block", F.lit(False).alias("word"), F.col("slot").alias("place"), F.col("a").cast("double"), F.col("b").cast("double"))
+    back = back.unionByName(told)
     # the share of all words outside the frequent ones, to turn a word's probability into one among the others
-    kept = np.maximum(found.column("c").to_numpy() - options.discount, 0).sum() / max(n_all, 1)
+    kept = sums.kept / max(n_all, 1)
     others = np.log10(max(1 - kept - n_texts / max(n_all, 1), spread, 1e-300))
     floor = np.log10(n_all + sums.v + (n_texts > 0) + 1)
 
@@ -381,15 +487,16 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options(), apar
         if not body.num_rows:
             return result.empty_table()
         block = Block.unpack(body.column("body")[0].as_buffer())
-        here = found.column("place").to_numpy()
-        c, logp = np.zeros(len(here), np.int64), np.zeros(len(here))
-        c[here], logp[here] = found.column("c").to_numpy(), found.column("logp").to_numpy()
+        of_word = found.column("word").to_numpy()
+        here, a, b = (found.column(name).to_numpy() for name in ("place", "a", "b"))
+        c, logp = np.zeros(len(block.distinct), np.int64), np.zeros(len(block.distinct))
+        c[here[of_word]], logp[here[of_word]] = a[of_word], b[of_word]
         at = tx.offsets_of(block.n_words)
         known = tx.segment_sum((c > 0)[block.words], at) + (n_texts > 0)
         base = tx.segment_sum((np.log10(c + 1.0) - floor)[block.words], at) + np.log10(n_texts + 1.0) - floor
-        flat, place, text = _sequence(block, frequent.value)
-        logs = np.log10(probabilities(tree.value, flat, place, 0))
-        logs[place < block.n_words[text]] += np.where(flat[place < block.n_words[text]] == n_symbols - 2, np.minimum(logp - others, 0)[block.words], 0)
+        told = ~of_word
+        logs, flat, place, text = _tree_logs(block, c >= options.word_count, here[told], a[told], b[told], n_symbols, options)
+        logs[place < block.n_words[text]] += np.where(flat[place < block.n_words[text]] == OTHER, np.minimum(logp - others, 0)[block.words], 0)
         model = tx.segment_sum(logs, tx.offsets_of(block.n_words + 1))
         new = tx.segment_sum(np.where((c > 0)[block.words], 0, logs[place < block.n_words[text]]), at)
         ids = pa.array(block.ids, mask=~block.valid)

@@ -135,6 +135,55 @@ def test_unknown_words_pay_for_their_spelling(spark, given):
     assert all(r.score - 1e-6 <= r.unknown_score <= 0 for r in got)
 
 
+def plain_tree(texts, scored, n_symbols, discount=0.75, divergence=10.0):
+    """Scores of texts of repeated words with contexts of up to two words, kept from two occurrences on."""
+    after = defaultdict(Counter)
+    for text in texts:
+        for i, w in enumerate(text):
+            for d in range(min(i, 2) + 1):
+                after[tuple(text[i - d : i])][w] += 1
+
+    def gain(context):
+        here, parent = after[context], after[context[1:]]
+        total, up = sum(here.values()), sum(parent.values())
+        left = {w: max(n - 1 - discount, 0) + discount * len(here) * parent[w] / up for w, n in here.items()}
+        return sum(n * math.log(left[w] / (total - 1) / (parent[w] / up)) for w, n in here.items())
+
+    kept = {c for c in list(after) if c and sum(after[c].values()) > 1 and gain(c) >= divergence}
+    kept |= {c[1:] for c in kept} | {()}
+    out = []
+    for text in scored:
+        log = 0
+        for i, w in enumerate(text):
+            p = 1 / n_symbols
+            for d in range(min(i, 2) + 1):
+                context = tuple(text[i - d : i])
+                if context not in kept:
+                    break
+                total = sum(after[context].values())
+                p = discount * len(after[context]) / total * p + max(after[context][w] - discount, 0) / total
+            log += math.log10(p)
+        out.append(log)
+    return out, kept
+
+
+def test_rare_contexts_are_states(spark):
+    """The word tree is that of the plain version in one block and in many; a context below 1 in 10,000 words teaches."""
+    rng = np.random.default_rng(5)
+    texts = [[f"w{x}" for x in rng.integers(0, 60, 30_000)] for _ in range(8)]
+    texts += [["alpha", f"w{i % 7}", "beta", "gamma", "delta", "omega"] * 2 for i in range(8)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    new = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    probe = ["w1", "beta", "gamma", "delta", "omega", "alpha"]
+    rows = [*zip(ids, map(" ".join, texts)), (new, " ".join(probe))]
+    want, kept = plain_tree([[*t, None] for t in texts], [[*t, None] for t in [*texts, probe]], len({w for t in texts for w in t}) + 2)
+    assert ("beta", "gamma") in kept or ("gamma",) in kept
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for split in (frame.coalesce(1), frame.repartition(6)):
+        got = {r.doc_id: r.score for r in suffixtree.scores(split, held_out()).collect()}
+        assert [got[i] for i in [*ids, new]] == pytest.approx(want, rel=1e-9)
+
+
 def test_scores_of_nothing(empty):
     assert suffixtree.scores(empty, held_out()).count() == 0
 
