@@ -3,7 +3,8 @@
 A page is tokenised, built into a tree with the end tags and parents that HTML implies, and
 rendered: all visible text, blocks on lines of their own with blank lines between
 paragraphs, list items with bullets or numbers and indented by depth, table cells in
-aligned columns, preformatted text as it is.  Hidden are ``script``, ``style``, ``head``
+aligned columns, preformatted text as it is, the shown option of a list, the text elements of
+a drawing on lines of their own.  Hidden are ``script``, ``style``, ``head``
 and the like, the ``hidden`` attribute, ``aria-hidden="true"``, and inline ``display:none`` or
 ``visibility:hidden``.
 
@@ -28,8 +29,10 @@ RESULT = "page_id bigint, title string, text string, n_blocks int"
 
 # HTML's element kinds; names are fixed values
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style head template noscript title iframe object svg math select datalist audio video canvas".split())
+HIDDEN = frozenset("script style head template noscript title iframe object datalist audio video canvas annotation annotation-xml mphantom".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Parts of a drawing that are not drawn where they stand.
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
 BLOCK = PARAGRAPH | frozenset(
     "html body address article aside div footer header main nav section form fieldset li dt dd tr caption thead tbody tfoot details summary figcaption center dialog".split()
@@ -48,15 +51,21 @@ ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 #: An end tag does not look for its element beyond these.
 FENCES = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "p": {"table", "td", "th"}}
 
+# a quote opens a value right after "=" only; elsewhere it belongs to a name or to a value without quotes
+ATTRIBUTES = r"(?>[ \t\n\r\f/]+|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+)?+)?+)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|</([A-Za-z][^ \t\n\r\f/>]*+){ATTRIBUTES}(?:>|\Z)|<([A-Za-z][^ \t\n\r\f/>]*+)({ATTRIBUTES})(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+ATTRIBUTE = re.compile(
+    r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>\"'][^ \t\n\r\f>]*+))?+)?+"
+)
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -326,6 +335,10 @@ def render(root: Node) -> tuple[str, int]:
             out.words(node.attributes.get("alt", ""))
         elif name == "table":
             _table(node, out, depth, stack)
+        elif name == "select":
+            stack.extend(("visit", shown, out, False, depth) for shown in reversed(_options(node)))
+        elif name == "svg":
+            stack.extend(("visit", shown, out, False, depth) for shown in reversed(_drawn(node)))
         elif name in BLOCK:
             gap = 2 if name in PARAGRAPH and not (name in ("ul", "ol") and depth) else 1
             stack.append(("call", _closer(out, gap, name)))
@@ -339,6 +352,47 @@ def render(root: Node) -> tuple[str, int]:
     return page.result(), page.blocks
 
 
+def _options(node: Node) -> list[Node]:
+    """What a list shows: the last selected option or else the first that is not disabled; all on lines of their own if it is open."""
+    size = re.match(r"\s*(\d{1,9})", node.attributes.get("size", ""))
+    opened = "multiple" in node.attributes or (size is not None and int(size[1]) > 1)
+    shown, first, selected = [], None, None
+    stack = [(child, False) for child in reversed(node.children)]
+    while stack:
+        child, disabled = stack.pop()
+        if isinstance(child, str) or (opened and child.hidden):
+            continue
+        disabled = disabled or "disabled" in child.attributes
+        label = child.attributes.get("label", "")
+        if child.name == "option":
+            content = [label] if label else child.children
+            shown.append(Node("div", {}, content))
+            first = Node("span", {}, content) if first is None and not disabled else first
+            selected = Node("span", {}, content) if "selected" in child.attributes else selected
+        else:
+            if child.name == "optgroup" and label:
+                shown.append(Node("div", {}, [label]))
+            stack.extend((c, disabled) for c in reversed(child.children))
+    return shown if opened else [n for n in (selected or first,) if n is not None]
+
+
+def _drawn(node: Node) -> list[Node]:
+    """The text elements of a drawing, each a block; other text in it is not drawn."""
+    shown, stack = [], list(reversed(node.children))
+    while stack:
+        child = stack.pop()
+        if isinstance(child, str) or child.hidden or child.name in UNDRAWN:
+            continue
+        a = child.attributes
+        if a.get("display", "").strip() == "none" or a.get("visibility", "").strip() in ("hidden", "collapse"):
+            continue
+        if child.name in ("text", "foreignobject"):
+            shown.append(Node("div", {}, child.children))
+        else:
+            stack.extend(reversed(child.children))
+    return shown
+
+
 def _closer(out: Renderer, gap: int, name: str):
     def close() -> None:
         out.need(gap)
@@ -401,7 +455,8 @@ def title_of(root: Node) -> str:
             continue
         if node.name == "title":
             return BLANKS.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
-        stack.extend(reversed(node.children))
+        if node.name != "svg":  # its titles are those of its parts
+            stack.extend(reversed(node.children))
     return ""
 
 

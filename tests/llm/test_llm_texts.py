@@ -308,6 +308,31 @@ def test_layout(page, text):
     assert htmltext.extract(page)[1] == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<table><tr><td width=10">Visible</td><td class="a">B</td></table>', "Visible  B"),
+        ("<p title=it's>Hello world</p><p>Second</p>", "Hello world\n\nSecond"),
+        ('<p class="a"">x</p><p \'>y</p>', "x\n\ny"),
+        ('<p title = "a > b" id=x"y>z</p>', "z"),
+        ("<p title='a > b'hidden>no</p><i a=>b</i>", "b"),
+        ('<b style="display:none">no</b><p a="x>lost', ""),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+        ("<svg>no<title>no</title><defs><text>no</text></defs><g><text>Axis <tspan>one</tspan></text><text>Two</text></g></svg>z", "Axis one\nTwo\nz"),
+        ("<p>Size: <select><option disabled>no<option>S<optgroup label=no><option>M<option selected>L</select> ok", "Size: L ok"),
+        ("<p>Size: <select><option disabled>no<option>S<option>M</select> ok", "Size: S ok"),
+        ("<select multiple><optgroup label=G><option>S<option label=M>no</select>", "G\nS\nM"),
+    ],
+)
+def test_visible_text_of_odd_pages(page, text):
+    assert htmltext.extract(page)[1] == text
+
+
+def test_titles_and_broken_tags():
+    assert htmltext.extract("<svg><title>no</title></svg><p>x")[0] == ""
+    assert htmltext.extract("<p " + "a=\"'" * 200_000)[1] == ""
+
+
 def test_pages(spark):
     rows = [(1, "<title>A  b</title><p>x"), (2, None), (3, ""), (1, "<title>A  b</title><p>x"), (4, "<div>" * 20_000 + "deep")]
     frame = spark.createDataFrame([(i, h, "t", "u") for i, h in rows], "page_id bigint, html string, text string, title string")
