@@ -11,14 +11,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import math
+import uuid
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import PCA
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from exprstudy.constants import BOOSTED_DEFAULTS, CLASSICAL_MODELS, DEFAULT_SEED
 
-GRAM_LIMIT = 4_096  # widest matrix whose d x d Gram matrix may sit on the driver
 MODEL_NAMES = (*CLASSICAL_MODELS, "boosted_trees")
 WITH_PROBABILITY = ("logistic_l2", "elastic_net", "pca_logistic")
 
@@ -49,14 +49,11 @@ def pca_components(requested: int, n_features: int, training_sizes: Sequence[int
 
 
 def estimator(name: str, n_train: int, n_classes: int, seed: int = DEFAULT_SEED, **params) -> Estimator:
-    """The estimator of one model name; ``params`` override its defaults."""
+    """The estimator of one model name except ``pca_logistic``; ``params`` override its defaults."""
     if name == "logistic_l2":
         return logistic(n_train, 0.0, params.get("max_iter", 2_000), params.get("C", 1.0))
     if name == "elastic_net":
         return logistic(n_train, params.get("l1_ratio", 0.5), params.get("max_iter", 5_000), params.get("C", 1.0))
-    if name == "pca_logistic":
-        reduce = PCA(k=params["components"], inputCol="x", outputCol="pc")
-        return Pipeline(stages=[reduce, logistic(n_train, 0.0, params.get("max_iter", 2_000)).setFeaturesCol("pc")])
     if name == "linear_svm":
         binary = LinearSVC(
             featuresCol="x",
@@ -133,25 +130,29 @@ def feature_importances(fitted: Model) -> np.ndarray | None:
     return np.mean([part.featureImportances.toArray() for part in parts], axis=0)
 
 
-def wide_projection(train: DataFrame, components: int):
-    """Principal axes of a matrix too wide for a Gram matrix on the driver, as a row-wise projection.
+def principal_axes(train: DataFrame, components: int) -> list[Model]:
+    """Stages that centre ``x`` and project it onto the principal axes of ``train``, as ``pc``.
 
-    The truncated SVD runs over the distributed rows; only the ``d x components`` axes
-    come back.  Returns a function DataFrame -> DataFrame that adds ``pc``.
+    The truncated SVD runs over the distributed rows, whatever their width; only the
+    ``d x components`` axes come back.
     """
-    mean = train.select(Summarizer.mean(F.col("x"))).first()[0].toArray()
+    centre = StandardScaler(withMean=True, withStd=False, inputCol="x", outputCol="centred").fit(train)
+    rows = MLUtils.convertVectorColumnsFromML(centre.transform(train).select("centred"), "centred")
+    svd = RowMatrix(rows).computeSVD(components)
+    axes, spread = svd.V.toArray(), svd.s.toArray() ** 2
+    jvm = train.sparkSession.sparkContext._jvm
+    arguments = DenseMatrix(*axes.shape, axes.ravel(order="F")), DenseVector(spread / max(spread.sum(), 1e-300))
+    java = jvm.org.apache.spark.ml.feature.PCAModel(f"PCA_{uuid.uuid4().hex[:12]}", *[_py2java(train.sparkSession.sparkContext, a) for a in arguments])
+    return [centre, PCAModel(java)._set(k=axes.shape[1], inputCol="centred", outputCol="pc")]
 
-    @F.pandas_udf("array<double>")
-    def centred(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(x.to_numpy()) - mean))
 
-    rows = train.select(array_to_vector(centred(vector_to_array("x"))).alias("v"))
-    old_vectors = MLUtils.convertVectorColumnsFromML(rows, "v").select("v")
-    axes = RowMatrix(old_vectors).computeSVD(components).V.toArray()
-    shared = train.sparkSession.sparkContext.broadcast(axes)  # d x components numbers
+def wide_projection(train: DataFrame, components: int):
+    """A function DataFrame -> DataFrame that adds ``pc``, the row on the principal axes of ``train``."""
+    return PipelineModel(principal_axes(train, components)).transform
 
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        return pd.Series(list((np.stack(x.to_numpy()) - mean) @ shared.value))
 
-    return lambda df: df.withColumn("pc", array_to_vector(project(vector_to_array("x"))))
+def pca_logistic(train: DataFrame, n_train: int, components: int, max_iter: int = 2_000) -> PipelineModel:
+    """Centring, principal axes and the classifier as one model, which is saved and loaded whole."""
+    stages = principal_axes(train, components)
+    projected = PipelineModel(stages).transform(train)
+    return PipelineModel([*stages, logistic(n_train, 0.0, max_iter).setFeaturesCol("pc").fit(projected)])

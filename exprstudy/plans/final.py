@@ -92,8 +92,6 @@ def load_and_score(spark: SparkSession, outdir: str, rows: DataFrame) -> DataFra
     how = read_document(spark, f"{outdir}/model.json")
     packed = spark.read.parquet(f"{outdir}/parameters")
     model = DefaultParamsReader.loadParamsInstance(f"{outdir}/model", spark)
-    if model.hasParam("featuresCol") and model.getOrDefault("featuresCol") == "pc":
-        raise ValueError("this model needs principal axes that were not saved with it")
     design = prep.transform(rows.withColumn("fold", F.lit(0)), packed, [0], how["negative_policy"], how["scaled"])
     design = models.as_vectors(studies.labelled(design, how["classes"]))
     return studies.predict(model, design, how["classes"])

@@ -99,10 +99,7 @@ def fit_experiment(prepared: Prepared, packed: DataFrame, name: str, experiment:
             if "components" not in wanted:
                 requested = wanted.pop("pca_components", 100)
                 wanted["components"] = models.pca_components(requested, width, [sum(prepared.training_counts(i)) for i in range(prepared.k)])
-            if width > models.GRAM_LIMIT:
-                project = models.wide_projection(train, wanted["components"])
-                classifier = models.logistic(sum(counts), 0.0, wanted.get("max_iter", 2_000)).setFeaturesCol("pc")
-                return classifier.fit(project(train)), project(held_out)
+            return models.pca_logistic(train, sum(counts), wanted["components"], wanted.get("max_iter", 2_000)), held_out
         estimator = models.estimator(name, sum(counts), len(prepared.classes), seed, **wanted)
         return estimator.fit(train), held_out
     finally:

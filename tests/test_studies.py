@@ -155,6 +155,19 @@ def test_holdout_is_evaluated_once(spark, world, tmp_path):
         final.run(spark, path, rows, manifest, genes, out + "2", receipt, proof)
 
 
+def test_saved_axes_score_new_rows_of_a_wide_matrix(spark, tmp_path):
+    rows, _, _ = planted(spark, n_per_class=10, n_genes=4_200, strength=5.0)
+    manifest = durable(split.holdout(rows.drop("features")))
+    chosen = {"family": "pca_logistic", "pca_components": 4, "gene_budget": "all", "negative_policy": "error", "scaler": "standard", "seed": 1}
+    results = final.fit_and_score(rows, manifest, chosen, max_iter=30)
+    final.save_model(spark, results, str(tmp_path / "out"))
+    again = final.load_and_score(spark, str(tmp_path / "out"), matrix.join_split(rows, manifest, "holdout"))
+    want = {r[0]: (r[1], r[2]) for r in results["predictions"].select("participant_barcode", "predicted_label", "scores").collect()}
+    got = {r[0]: (r[1], r[2]) for r in again.select("participant_barcode", "predicted_label", "scores").collect()}
+    assert got.keys() == want.keys() and results["metrics"].first()["macro_f1"] > 0.7
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
 def test_failure_after_reservation_is_recorded(spark, world, tmp_path):
     rows, manifest, genes = world
     path, receipt = str(tmp_path / "lock.json"), str(tmp_path / "receipt")
