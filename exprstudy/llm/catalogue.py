@@ -102,3 +102,10 @@ def op10_quality_rules(spark, folder):
     from exprstudy.llm import quality
 
     return quality.verdicts(_table(spark, folder, "documents"))
+
+
+@query
+def op11_turn_repair(spark, folder):
+    from exprstudy.llm import turnrepair
+
+    return turnrepair.reports(turnrepair.damaged(_table(spark, folder, "conversations")))
