@@ -109,3 +109,10 @@ def op11_turn_repair(spark, folder):
     from exprstudy.llm import turnrepair
 
     return turnrepair.reports(turnrepair.damaged(_table(spark, folder, "conversations")))
+
+
+@query
+def op12_count_rtree_join(spark, folder):
+    from exprstudy.llm import countrtree
+
+    return countrtree.groups(_table(spark, folder, "documents"))
