@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exprstudy.llm import oracles
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +118,8 @@ def op12_count_rtree_join(spark, folder):
     from exprstudy.llm import countrtree
 
     return countrtree.groups(_table(spark, folder, "documents"))
+
+
+ORACLES["op2_near_duplicates"] = oracles.linked_components(5, 75, kept=True)
+ORACLES["op11_turn_repair"] = oracles.repaired_conversations()
+ORACLES["op12_count_rtree_join"] = oracles.linked_components(3, 90, kept=False)
