@@ -120,6 +120,13 @@ def op12_count_rtree_join(spark, folder):
     return countrtree.groups(_table(spark, folder, "documents"))
 
 
+@query
+def op13_lockstep_alignment(spark, folder):
+    from exprstudy.llm import tokenalign
+
+    return tokenalign.reports(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 ORACLES["op2_near_duplicates"] = oracles.linked_components(5, 75, kept=True)
 ORACLES["op11_turn_repair"] = oracles.repaired_conversations()
 ORACLES["op12_count_rtree_join"] = oracles.linked_components(3, 90, kept=False)
