@@ -36,7 +36,7 @@ from exprstudy.llm import textops as tx
 from exprstudy.session import durable
 
 #: Text bytes that are encoded and aligned together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Tokens of the first list that a lane walks.
 LANE = 1024
 #: Bits of the second id in a pair.
@@ -114,14 +114,18 @@ def _encoded(texts: pa.Array, path_a: str, path_b: str) -> tuple[Tokens, Tokens]
     inner[at_b[:-1]] = inner[at_b[1:] - 1] = False
     ids_b, at_b = framed[inner].astype(np.int64), at_b - 2 * np.arange(len(at_b))
     data, offsets = tx.buffer(led)
-    raw, whole = data.tobytes(), np.ones(len(offsets) - 1, bool)
+    whole = np.ones(len(offsets) - 1, bool)
     found = []
     for ids, at, (spelled, spelled_at) in ((ids_a, at_a, _spelled(path_a)), (ids_b, at_b, (file_b.spelled, file_b.spelled_at))):
         lengths = np.diff(spelled_at)[ids]
-        byte_at = tx.offsets_of(lengths)[at]
-        flat = spelled[tx.ragged(spelled_at[:-1][ids], lengths)].tobytes()
-        if flat != raw or not np.array_equal(byte_at, offsets):
-            whole &= [flat[byte_at[k] : byte_at[k + 1]] == raw[offsets[k] : offsets[k + 1]] for k in range(len(whole))]
+        byte_at = tx.offsets_of(lengths)
+        whole &= byte_at[at[1:]] - byte_at[at[:-1]] == np.diff(offsets)
+        flat = np.empty(byte_at[-1], np.uint8)
+        for low, high in tx.parts(byte_at, tx.HASH_BYTES):
+            flat[byte_at[low] : byte_at[high]] = spelled[tx.ragged(spelled_at[ids[low:high]], lengths[low:high])]
+        if len(flat) != len(data) or not whole.all() or not np.array_equal(flat, data):
+            where = byte_at[at]
+            whole &= [np.array_equal(flat[where[k] : where[k + 1]], data[offsets[k] : offsets[k + 1]]) for k in range(len(whole))]
         found.append((ids, at, lengths))
     out = []
     for ids, at, lengths in found:
