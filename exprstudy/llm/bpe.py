@@ -27,7 +27,10 @@ from exprstudy.llm import textops as tx
 NO_RANK = np.int64(1 << 62)
 
 #: Text bytes whose distinct units are encoded together.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
+
+#: Bytes of distinct units that are merged together: the arrays of a round take some 100 bytes for each.
+MERGE_BYTES = 1 << 18
 
 
 class PairTable:
@@ -179,6 +182,16 @@ def distinct_units(texts: pa.Array, cut: Callable[[np.ndarray, np.ndarray], np.n
     return Units(data[tx.ragged(starts, lengths)], tx.offsets_of(lengths), which, np.concatenate(per_text))
 
 
+def in_parts(encode, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of all units, a bounded number of bytes at a time; units do not depend on each other."""
+    ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for low, high in tx.parts(offsets, MERGE_BYTES):
+        some, n = encode(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        ids.append(some.astype(np.int32))
+        lengths.append(n)
+    return np.concatenate(ids), np.concatenate(lengths)
+
+
 def expand(units: Units, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts from those of the distinct units, and the offsets of the texts."""
     at = tx.offsets_of(lengths)
@@ -246,7 +259,7 @@ class LibraryFile:
         """Ids and lengths of distinct words, and which word stands where; a text for the library is a word of its own."""
         far = self._library_texts(texts)
         units = distinct_units(pc.if_else(pa.array(far), "", texts) if far.any() else texts, unit_starts)
-        ids, lengths = self._units(units.data, units.offsets)
+        ids, lengths = in_parts(self._units, units.data, units.offsets)
         if not far.any():
             return ids, lengths, units.which, units.per_text
         lists = [e.ids for e in self.library.encode_batch(texts.filter(pa.array(far)).to_pylist(), add_special_tokens=False)]
@@ -254,7 +267,7 @@ class LibraryFile:
         which = np.zeros(at[-1], np.int64)
         which[tx.ragged(at[:-1], units.per_text)] = units.which
         which[at[1:][far] - 1] = len(lengths) + np.arange(len(lists))
-        ids = np.append(ids, [i for x in lists for i in x]).astype(np.int64)
+        ids = np.append(ids, [i for x in lists for i in x]).astype(np.int32)
         return ids, np.append(lengths, [len(x) for x in lists]), which, units.per_text + far
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -403,7 +416,7 @@ class PieceFile:
         texts = pc.replace_substring(pc.fill_null(texts, ""), "▁", " ")
         texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, ""))
         units = distinct_units(texts, self._cut)
-        ids, lengths = self._units(units.data, units.offsets)
+        ids, lengths = in_parts(self._units, units.data, units.offsets)
         ids, at = expand(units, ids, lengths)
         n = np.diff(at) + 2
         out_at = tx.offsets_of(n)

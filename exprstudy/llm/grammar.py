@@ -38,6 +38,8 @@ SHARDS = (
     "part int, seq int, n_tokens bigint, doc_ids binary, doc_valid binary, doc_lengths binary, "
     "rounds binary, rules binary, expansions binary, body binary"
 )
+#: Text bytes of a shard.
+SHARD_BYTES = 8 << 20
 #: A pair is frequent from this many occurrences on, and from this share of the most frequent pair of its round.
 MIN_PAIRS, MIN_SHARE = 32, 1 / 64
 #: Rounds end when one saves less than this share of the symbols.
@@ -175,7 +177,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
         file = bpe.library_file(tokenizer_path)
         n_terminals = file.table.n_symbols
         part = TaskContext.get().partitionId()
-        for seq, rows in enumerate(tx.slices(_joined(batches), "text", bpe.UNIT_BYTES)):
+        for seq, rows in enumerate(tx.slices(_joined(batches), "text", SHARD_BYTES)):
             ids, lengths, which, per_text = file.encode_units(rows.column("text"))
             # the end id is a word of its own after each text
             lengths, ids = np.append(lengths, 1), np.append(ids, end_id)
@@ -217,7 +219,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= bpe.UNIT_BYTES:
+        if size >= SHARD_BYTES:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0
     if size:

@@ -25,6 +25,9 @@ LOWER[65:91] += 32
 #: Text bytes worked on at once; a longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
 
+#: Bytes hashed at once.
+HASH_BYTES = 1 << 18
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: One 64-bit value for each byte value; a space counts nothing, so it can follow a word.
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -124,21 +127,33 @@ def powers(n: int) -> np.ndarray:
 
 def hash_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each word; equal words have equal hashes in every slice."""
-    return _hash(_WORD_VALUES[data], starts, len(data))
+    return _hash(_WORD_VALUES, data, starts)
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span from one start to the next (the spans are not empty and cover the bytes)."""
-    return _hash(_BYTE_VALUES[data], starts, len(data))
-
-
-def _hash(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    lengths = np.diff(np.append(starts, n))
-    place = np.arange(starts[0], n) - np.repeat(starts, lengths)
-    summed = np.add.reduceat(values[starts[0] :] * powers(int(lengths.max()))[place], starts - starts[0])
-    return mix(summed)
+    return _hash(_BYTE_VALUES, data, starts)
+
+
+def _hash(table: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Spans are hashed in runs of a bounded number of bytes, since the arrays take 40 bytes for each of them."""
+    out = np.zeros(len(starts), np.uint64)
+    for low, high in parts(np.append(starts, len(data)), HASH_BYTES):
+        first, last = starts[low], starts[high] if high < len(starts) else len(data)
+        lengths = np.diff(np.append(starts[low:high], last))
+        value = table[data[first:last]]
+        value *= powers(int(lengths.max()))[np.arange(last - first) - np.repeat(starts[low:high] - first, lengths)]
+        out[low:high] = np.add.reduceat(value, starts[low:high] - first)
+    return mix(out)
+
+
+def parts(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of spans of at most ``limit`` in all, or of one span, as first and next span."""
+    low, n = 0, len(offsets) - 1
+    while low < n:
+        high = min(max(int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1, low + 1), n)
+        yield low, high
+        low = high
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
