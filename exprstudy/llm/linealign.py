@@ -1,22 +1,27 @@
 """Line deduplication by pairwise alignment.
 
-Every line with a word is shared by the documents that hold it.  Lines that occur once in a
-document are its rare lines; a further occurrence of a line in the same document is a line
-of its own kind (its second, its third), so each kind stands at one place in a document.
-The first document that holds a kind of line is its owner.  A later document is aligned with
-each owner of its lines, as patience diff does: first the lines that are unique in both,
-along the longest chain that ascends in both, then, between two of them, the repeated lines
-in order.  Runs of aligned lines that follow each other in both documents are common blocks;
-blocks of enough words are deleted from the later document.
-
-Each line leads to one owner, however many documents share it, so hot lines make no pairs;
-only places of lines are moved, no texts.
+Lines are rare by themselves or in company: every line with a word begins a run, the shortest
+one of at least ``min_words`` words, and the first document that holds a run is its owner.  A
+document is paired with each earlier owner of its runs, which is how overlapping documents
+are found; a block of enough words begins with a run that both documents hold.  Each pair is
+then aligned on the full line sequences of both, as patience diff does: equal lines at both
+ends, then the lines that are unique in both, along the longest chain that ascends in both,
+and the same again between two of them; where no line is unique, the k-th occurrence of a
+line goes with the k-th.  Runs of aligned lines that follow each other in both documents are
+common blocks; blocks of enough words are deleted from the later document.  What is left of
+it is aligned with the same document again until no such block is found, at last without the
+lines that are in no common run, so that moved blocks go as well.
+
+A run leads to one owner, however many documents share it, so hot lines make no pairs; only
+hashes of lines are moved for finding and aligning.  The texts are joined with the blocks by
+a merge join at every size.
 
 Cases: a null or empty text has no lines and is unchanged; lines without a word are never
 deleted alone (an empty line inside a deleted block goes with it); equal documents: the
-first row stays, later ones lose all their lines; rows with one ``doc_id`` are one document
-for owning and for deleting, so nothing is deleted among them; a null ``doc_id`` owns and
-loses nothing; an empty table gives an empty result; further columns pass through.
+smallest id stays, later ones lose all their lines, if those have enough words; rows with one
+``doc_id`` are one document for owning, are each aligned for itself, and lose nothing to each
+other; a null ``doc_id`` owns and loses nothing; an empty table gives an empty result; further
+columns pass through, but for those named like one of the result's own three.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -36,42 +42,80 @@ from exprstudy.session import durable
 #: A block of fewer words may be a coincidence or a formula, and stays.
 MIN_BLOCK_WORDS = 10
 
-_LINES = "doc_id bigint, place int, words int, hash bigint, kind bigint, unique boolean"
+COUNTS = ("n_lines", "n_deleted", "words_deleted")
+
+_SEQUENCES = "doc_id bigint, digest bigint, lines array<bigint>, words array<int>"
+
+
+def _line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    edges = np.unique(np.concatenate([starts, ends[ends < len(data)]]))
+    return tx.hash_spans(data, edges)[np.searchsorted(edges, starts)]
+
+
+def _worded_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end and text of all lines, their words, and the places of those with a word."""
+    word_at, _, _ = tx.words(data, offsets)
+    starts, ends, at = tx.lines(data, offsets)
+    words = np.searchsorted(word_at, ends) - np.searchsorted(word_at, starts)
+    return starts, ends, np.repeat(np.arange(len(at) - 1), np.diff(at)), words, np.flatnonzero(words > 0)
 
 
-def line_kinds(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place among those of its document, words, hash, the hash of its kind, and whether it is unique there."""
+def _digests(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each sequence of lines."""
+    place = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
+    return tx.segment_sum(tx.mix(hashes ^ tx.mix(place.astype(np.uint64))).view(np.int64), at)
+
+
+def sequences(docs: DataFrame) -> DataFrame:
+    """The lines with a word of each row, as hashes, with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in tx.slices(batches, "text"):
             data, offsets = tx.buffer(rows.column("text"))
-            word_at, _, _ = tx.words(data, offsets)
-            starts, ends, at = tx.lines(data, offsets)
-            doc = np.repeat(np.arange(rows.num_rows), np.diff(at))
-            n_words = np.searchsorted(word_at, ends) - np.searchsorted(word_at, starts)
-            worded = np.flatnonzero(n_words > 0)
-            starts, ends, doc, n_words = starts[worded], ends[worded], doc[worded], n_words[worded]
-            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            if not len(starts):
-                continue
-            edges = np.unique(np.concatenate([starts, ends[ends < len(data)]]))
-            hashes = tx.hash_spans(data, edges)[np.searchsorted(edges, starts)]
-            order = np.lexsort((place, hashes, doc))
-            new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))
-            run_start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-            times = np.zeros(len(order), np.uint64)
-            times[order] = np.arange(len(order)) - run_start
-            size = np.diff(np.append(np.flatnonzero(new), len(order)))
-            unique = np.zeros(len(order), bool)
-            unique[order] = np.repeat(size == 1, size)
-            kind = tx.mix(hashes + times * np.uint64(0x9E3779B97F4A7C15))
-            ids = rows.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(place.astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(unique)],
-                names=[f.split(" ")[0] for f in _LINES.split(", ")],
-            )
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, _LINES)
+            starts, ends, doc, words, worded = _worded_lines(data, offsets)
+            hashes = _line_hashes(data, starts[worded], ends[worded]) if len(worded) else np.zeros(0, np.uint64)
+            at = np.searchsorted(doc[worded], np.arange(rows.num_rows + 1))
+            where = pa.array(at.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(where, pa.array(v)) for v in (hashes.view(np.int64), words[worded].astype(np.int32))]
+            columns = [rows.column("doc_id").cast(pa.int64()), pa.array(_digests(hashes, at)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in _SEQUENCES.split(", ")])
+
+    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, _SEQUENCES)
+    return found.where(F.size("lines") > 0)
+
+
+def _run_keys(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, length and hash of the shortest run of enough words from each line on, within sequences."""
+    total = tx.offsets_of(words)
+    last = np.searchsorted(total, total[:-1] + min_words, side="left") - 1
+    first = np.flatnonzero(last < np.repeat(at[1:], np.diff(at)))
+    length = last[first] - first + 1
+    key = tx.mix(length.astype(np.uint64))
+    for k in range(int(length.max(initial=0))):
+        inside = np.flatnonzero(length > k)
+        key[inside] = tx.mix(key[inside] * np.uint64(0x9E3779B97F4A7C15) + hashes[first[inside] + k])
+    return first, length, key
+
+
+def runs(found: DataFrame, min_words: int) -> DataFrame:
+    """``(run, doc_id)``: the runs of each document, once for each line they begin with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, words = batch.column("lines"), batch.column("words").flatten().to_numpy()
+            at = tx.offsets_of(lines.value_lengths().to_numpy())
+            first, _, key = _run_keys(lines.flatten().to_numpy().view(np.uint64), words, at, min_words)
+            ids = batch.column("doc_id").take(pa.array(np.searchsorted(at, first, side="right") - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], names=["run", "doc_id"])
+
+    return found.mapInArrow(run, "run bigint, doc_id bigint")
+
+
+def document_pairs(found: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """``(doc_id, owner)``: each document and the earlier documents that first held one of its runs."""
+    held = runs(found, min_words)
+    firsts = held.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").select("run", "owner")
+    return held.join(firsts.hint("merge"), "run").where("doc_id > owner").select("doc_id", "owner").distinct()
 
 
 def longest_chain(places: np.ndarray) -> np.ndarray:
@@ -96,102 +140,158 @@ def longest_chain(places: np.ndarray) -> np.ndarray:
     return np.array(chain[::-1], np.int64)
 
 
-def align(mine: np.ndarray, theirs: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """Which of the shared lines (``mine`` ascending) are aligned: rare ones first, then others between them."""
-    if (np.diff(theirs) > 0).all():
-        return np.ones(len(mine), bool)
-    out = np.zeros(len(mine), bool)
-    anchors = np.flatnonzero(rare)
-    anchors = anchors[longest_chain(theirs[anchors])]
-    out[anchors] = True
-    edges = np.concatenate([[-1], anchors, [len(mine)]])
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if b - a < 2:
+def _unique_pairs(mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lines that are unique in both, by place in the first."""
+    (a, a_at, a_n), (b, b_at, b_n) = (np.unique(x, return_index=True, return_counts=True) for x in (mine, theirs))
+    a, a_at, b, b_at = a[a_n == 1], a_at[a_n == 1], b[b_n == 1], b_at[b_n == 1]
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    order = np.argsort(a_at[i])
+    return a_at[i][order], b_at[j][order]
+
+
+def _numbered_pairs(mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k-th occurrences of lines that are in both, by place in the first."""
+
+    def kinds(x: np.ndarray) -> np.ndarray:
+        order = np.argsort(x, kind="stable")
+        new = np.append(True, x[order][1:] != x[order][:-1])
+        number = np.zeros(len(x), np.int64)
+        number[order] = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        return tx.mix(x.view(np.uint64) + tx.mix(number.astype(np.uint64)))
+
+    return _unique_pairs(kinds(mine), kinds(theirs))
+
+
+def patience(mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of aligned lines in both sequences, ascending."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    todo = [(0, len(mine), 0, len(theirs))]
+    while todo:
+        a, a_end, b, b_end = todo.pop()
+        n = min(a_end - a, b_end - b)
+        if not n:
             continue
-        low = theirs[a] if a >= 0 else -1
-        high = theirs[b] if b < len(mine) else np.iinfo(np.int64).max
-        gap = np.arange(a + 1, b)
-        gap = gap[~rare[gap] & (theirs[gap] > low) & (theirs[gap] < high)]
-        out[gap[longest_chain(theirs[gap])]] = True
+        differ = mine[a : a + n] != theirs[b : b + n]
+        head = int(differ.argmax()) if differ.any() else n
+        found.append((np.arange(a, a + head), np.arange(b, b + head)))
+        a, b, n = a + head, b + head, n - head
+        differ = (mine[a_end - n : a_end] != theirs[b_end - n : b_end])[::-1]
+        tail = int(differ.argmax()) if differ.any() else n
+        found.append((np.arange(a_end - tail, a_end), np.arange(b_end - tail, b_end)))
+        a_end, b_end = a_end - tail, b_end - tail
+        if a == a_end or b == b_end:
+            continue
+        i, j = _unique_pairs(mine[a:a_end], theirs[b:b_end])
+        chain = longest_chain(j)
+        if len(chain):
+            i, j = i[chain] + a, j[chain] + b
+            found.append((i, j))
+            edges = zip(np.append(a, i + 1), np.append(i, a_end), np.append(b, j + 1), np.append(j, b_end))
+            todo.extend(edge for edge in edges if edge[0] < edge[1] and edge[2] < edge[3])
+        else:
+            i, j = _numbered_pairs(mine[a:a_end], theirs[b:b_end])
+            chain = longest_chain(j)
+            found.append((i[chain] + a, j[chain] + b))
+    i, j = (np.concatenate([f[side] for f in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
+    order = np.argsort(i)
+    return i[order], j[order]
+
+
+def _in_common_runs(mine: np.ndarray, words: np.ndarray, theirs: np.ndarray, their_words: np.ndarray, min_words: int) -> np.ndarray:
+    """Whether each line is in a run that the other sequence holds."""
+    (first, length, key), (_, _, other) = (
+        _run_keys(lines.view(np.uint64), n, np.array([0, len(lines)]), min_words) for lines, n in ((mine, words), (theirs, their_words))
+    )
+    shared = np.isin(key, other)
+    out = np.zeros(len(mine), bool)
+    out[tx.ragged(first[shared], length[shared])] = True
     return out
 
 
-_SHARED = "array<struct<owner:bigint,place:int,theirs:int,words:int,rare:boolean>>"
+def common_blocks(mine: np.ndarray, words: np.ndarray, theirs: np.ndarray, their_words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line, in the first sequence, of the aligned blocks of enough words.
+
+    What is left of the first sequence is aligned again, until no block is found, then without
+    the lines that are in no common run, which can only stand in the way.
+    """
+    firsts, lasts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, bare = np.arange(len(mine)), False
+    while len(left):
+        i, j = patience(mine[left], theirs)
+        # next to each other in the whole first sequence and in the second one
+        starts = np.flatnonzero(np.append(True, (np.diff(left[i]) != 1) | (np.diff(j) != 1))) if len(i) else i
+        good = np.add.reduceat(words[left[i]], starts) >= min_words if len(i) else np.zeros(0, bool)
+        if good.any():
+            ends = np.append(starts[1:], len(i)) - 1
+            firsts.append(left[i[starts[good]]])
+            lasts.append(left[i[ends[good]]])
+            left = np.delete(left, i[tx.ragged(starts[good], (ends - starts + 1)[good])])
+        elif bare:
+            break
+        else:
+            left, bare = left[_in_common_runs(mine, words, theirs, their_words, min_words)[left]], True
+    return np.concatenate(firsts), np.concatenate(lasts)
+
+
+_BLOCKS = "array<struct<digest:bigint,first:int,last:int>>"
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """``(doc_id, blocks)``: the first and last line, counting lines with a word, of each common block that a later document loses."""
-    lines = durable(line_kinds(docs), "lines")
-    first = F.min(F.struct("doc_id", "place", "unique"))
-    owners = lines.groupBy("kind").agg(first.alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select("kind", "o")
-    shared = lines.join(owners, "kind").where("doc_id > o.doc_id")
-    row = F.struct(
-        F.col("o.doc_id").alias("owner"), "place", F.col("o.place").alias("theirs"), "words", (F.col("unique") & F.col("o.unique")).alias("rare")
-    )
-    # a document's own lines; one that comes in several rows may hold a place twice
-    grouped = shared.groupBy("doc_id").agg(F.collect_list(row).alias("shared"))
+    """``(doc_id, blocks)``: the common blocks that a later document loses.
+
+    ``first`` and ``last`` count lines with a word; ``digest`` names the row among those with this id.
+    """
+    found = durable(sequences(docs), "lines")
+    pairs = document_pairs(found, min_words)
+    mine = found.select("doc_id", "digest", "lines", "words").distinct()
+    theirs = found.select(F.col("doc_id").alias("owner"), F.col("lines").alias("other"), F.col("words").alias("other_words"))
+    both = pairs.join(mine.hint("merge"), "doc_id").join(theirs.hint("merge"), "owner").select("doc_id", "digest", "lines", "words", "other", "other_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("shared")
-            flat = lists.flatten()
-            owner, place, theirs, words, rare = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            order = np.lexsort((theirs, place, owner, doc))
-            owner, place, theirs, words, rare, doc = owner[order], place[order], theirs[order], words[order], rare[order].astype(bool), doc[order]
-            pair = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])))
-            aligned = np.ones(len(doc), bool)
-            # most pairs ascend already; only the others need a chain
-            falls = np.append(False, (np.diff(theirs) <= 0) & (doc[1:] == doc[:-1]) & (owner[1:] == owner[:-1]))
-            for k in np.unique(np.searchsorted(pair, np.flatnonzero(falls), side="right") - 1):
-                rows = slice(pair[k], pair[k + 1] if k + 1 < len(pair) else len(doc))
-                aligned[rows] = align(place[rows], theirs[rows], rare[rows])
-            owner, place, theirs, words, doc = owner[aligned], place[aligned], theirs[aligned], words[aligned], doc[aligned]
-            # next to each other in both documents, but for lines without a word
-            joined = (doc[1:] == doc[:-1]) & (owner[1:] == owner[:-1]) & (np.diff(place) == 1) & (np.diff(theirs) == 1)
-            starts = np.flatnonzero(np.append(True, ~joined))
-            ends = np.append(starts[1:], len(doc)) - 1
-            total = np.add.reduceat(words, starts) if len(starts) else words
-            good = total >= min_words
-            starts, ends = starts[good], ends[good]
-            by = np.lexsort((place[starts], doc[starts]))
-            starts, ends = starts[by], ends[by]
-            at = np.searchsorted(doc[starts], np.arange(batch.num_rows + 1))
-            blocks = pa.StructArray.from_arrays([pa.array(place[starts].astype(np.int32)), pa.array(place[ends].astype(np.int32))], ["first", "last"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), blocks)], names=["doc_id", "blocks"])
-
-    found = grouped.mapInArrow(run, "doc_id bigint, blocks array<struct<first:int,last:int>>")
-    return found.where(F.size("blocks") > 0)
+            lists = [batch.column(c) for c in ("lines", "words", "other", "other_words")]
+            flats = [x.flatten().to_numpy() for x in lists]
+            at = [tx.offsets_of(x.value_lengths().to_numpy()) for x in lists]
+            row, first, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(batch.num_rows):
+                a, b = common_blocks(*(f[o[k] : o[k + 1]] for f, o in zip(flats, at)), min_words)
+                row.append(np.full(len(a), k))
+                first.append(a)
+                last.append(b)
+            rows = pa.array(np.concatenate(row))
+            places = [pa.array(np.concatenate(x).astype(np.int32)) for x in (first, last)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("digest").take(rows), *places], names=["doc_id", "digest", "first", "last"])
+
+    blocks = both.mapInArrow(run, "doc_id bigint, digest bigint, first int, last int")
+    # no more blocks than lines of the document for each of its owners
+    return blocks.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first", "last")).alias("blocks"))
 
 
 def without_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``docs`` with common blocks cut from later documents, and the columns ``n_lines``, ``n_deleted`` and ``words_deleted``."""
     cut = durable(deletions(docs, min_words), "blocks")
-    names = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    names = {f"_c{i}": c for i, c in enumerate(docs.columns) if c not in COUNTS}
     plain = docs.select(*(F.col(c).alias(a) for a, c in names.items()))
     key, text = (next(a for a, c in names.items() if c == wanted) for wanted in ("doc_id", "text"))
-    rows = plain.join(cut.select(F.col("doc_id").alias("_id"), F.col("blocks").alias("_blocks")), F.col(key) == F.col("_id"), "left").drop("_id")
+    found = cut.select(F.col("doc_id").alias("_id"), F.col("blocks").alias("_blocks"))
+    rows = plain.join(found.hint("merge"), F.col(key) == F.col("_id"), "left").drop("_id")
     out = plain.schema
-    for name in ("n_lines", "n_deleted", "words_deleted"):
+    for name in COUNTS:
         out = out.add(f"_{name}", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.slices(batches, text):
             data, offsets = tx.buffer(batch.column(text))
-            starts, ends, at = tx.lines(data, offsets)
-            word_at, _, _ = tx.words(data, offsets)
-            lists = batch.column("_blocks")
-            sizes = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
-            flat = lists.flatten()
-            doc = np.repeat(np.arange(batch.num_rows), sizes)
-            words = np.searchsorted(word_at, ends) - np.searchsorted(word_at, starts)
-            of_line = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            worded = np.flatnonzero(words > 0)
+            starts, ends, of_line, words, worded = _worded_lines(data, offsets)
+            at = np.searchsorted(of_line, np.arange(batch.num_rows + 1))
             worded_at = np.searchsorted(of_line[worded], np.arange(batch.num_rows + 1))
-            first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) + worded_at[:-1][doc] for i in (0, 1))
-            # rows of one id may have fewer lines than the row that was aligned
-            real = last < worded_at[1:][doc]
-            first, last, doc = worded[first[real]], worded[last[real]], doc[real]
+            hashes = _line_hashes(data, starts[worded], ends[worded]) if len(worded) else np.zeros(0, np.uint64)
+            lists = batch.column("_blocks")
+            doc = np.repeat(np.arange(batch.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy())
+            digest, first, last = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            # of the rows with one id, those that this block was found in
+            real = digest == _digests(hashes, worded_at)[doc]
+            first, last = (worded[x[real] + worded_at[:-1][doc[real]]] for x in (first, last))
             edge = np.zeros(len(starts) + 1, np.int64)
             np.add.at(edge, first, 1)
             np.add.at(edge, last + 1, -1)
@@ -214,5 +314,5 @@ def without_blocks(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "_n_lines", "_n_deleted", "_words_deleted"])
 
     done = rows.mapInArrow(run, out)
-    extra = [F.col(f"_{n}").alias(n) for n in ("n_lines", "n_deleted", "words_deleted")]
+    extra = [F.col(f"_{n}").alias(n) for n in COUNTS]
     return done.select(*(F.col(a).alias(c) for a, c in names.items()), *extra)

@@ -506,50 +506,79 @@ def test_fullest_combination_is_found():
 # --- op7 -------------------------------------------------------------------
 
 
-def plain_deletions(rows, min_words=linealign.MIN_BLOCK_WORDS):
-    """The lines that stay of each text, with one row for each id."""
-    kinds, owner = {}, {}
-    for i, text in sorted((i, t) for i, t in rows if i is not None and t):
-        mine, seen = [], Counter()
-        for line in text.split("\n"):
-            if words(line):
-                mine.append((line, seen[line]))
-                seen[line] += 1
-        kinds[i] = (mine, seen)
-        for place, kind in enumerate(mine):
-            owner.setdefault(kind, (i, place))
+def plain_chain(places):
+    """A longest ascending subsequence, by patience piles."""
+    piles, link = [], {}
+    for i, p in enumerate(places):
+        k = next((k for k, (top, _) in enumerate(piles) if top >= p), len(piles))
+        link[i] = piles[k - 1][1] if k else None
+        piles[k:k + 1] = [(p, i)]
+    i, out = piles[-1][1] if piles else None, []
+    while i is not None:
+        out.append(i)
+        i = link[i]
+    return out[::-1]
+
+
+def plain_patience(a, b, i0=0, j0=0):
+    """Aligned places of two lists of lines."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    out = [(i0 + k, j0 + k) for k in range(head)]
+    a, b, i0, j0 = a[head:], b[head:], i0 + head, j0 + head
+    tail = 0
+    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out += [(i0 + len(a) - 1 - k, j0 + len(b) - 1 - k) for k in range(tail)]
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return sorted(out)
+    once = [Counter(x) for x in (a, b)]
+    anchors = [(i, b.index(x)) for i, x in enumerate(a) if once[0][x] == once[1][x] == 1]
+    if anchors:
+        anchors = [anchors[k] for k in plain_chain([j for _, j in anchors])]
+        edges = [(-1, -1), *anchors, (len(a), len(b))]
+        for (i, j), (i2, j2) in zip(edges, edges[1:]):
+            out += plain_patience(a[i + 1 : i2], b[j + 1 : j2], i0 + i + 1, j0 + j + 1)
+        out += [(i0 + i, j0 + j) for i, j in anchors]
+    else:
+        kinds = [[(x, y[:k].count(x)) for k, x in enumerate(y)] for y in (a, b)]
+        pairs = [(i, kinds[1].index(x)) for i, x in enumerate(kinds[0]) if x in kinds[1]]
+        out += [(i0 + pairs[k][0], j0 + pairs[k][1]) for k in plain_chain([j for _, j in pairs])]
+    return sorted(out)
+
+
+def plain_deletions(rows, min_words=10):
+    """The lines that stay of each text, with one row for each id: repeated patience diffs of all pairs of documents."""
+    lines = {i: [x for x in (t or "").split("\n") if words(x)] for i, t in rows if i is not None}
+    held = {i: set(x) for i, x in lines.items()}
     out = {}
-    for i, (mine, seen) in kinds.items():
-        shared = defaultdict(list)
-        for place, kind in enumerate(mine):
-            o, theirs = owner[kind]
-            if o != i:
-                shared[o].append((place, theirs, seen[kind[0]] == 1 and kinds[o][1][kind[0]] == 1))
-        gone = set()
-        for o, lines in shared.items():
-            mask = linealign.align(*(np.array(x) for x in zip(*lines)))
-            run = []
-            for (a, b, _), ok in [*zip(lines, mask), ((None, None, None), True)]:
-                if not ok:
-                    continue
-                if run and (a is None or a != run[-1][0] + 1 or b != run[-1][1] + 1):
-                    if sum(len(words(mine[x][0])) for x, _ in run) >= min_words:
-                        gone.add((run[0][0], run[-1][0]))
-                    run = []
-                if a is not None:
-                    run.append((a, b))
-        out[i] = gone
+    for i, mine in lines.items():
+        out[i] = gone = set()
+        for o, theirs in lines.items():
+            if o >= i or held[o].isdisjoint(held[i]):
+                continue
+            left = list(range(len(mine)))
+            while True:
+                run, new = [], []
+                for pair in [*((left[x], y) for x, y in plain_patience([mine[x] for x in left], theirs)), None]:
+                    if run and (pair is None or pair != (run[-1][0] + 1, run[-1][1] + 1)):
+                        if sum(len(words(mine[x])) for x, _ in run) >= min_words:
+                            new.append((run[0][0], run[-1][0]))
+                        run = []
+                    run.append(pair)
+                if not new:
+                    break
+                gone.update(new)
+                left = [x for x in left if not any(a <= x <= b for a, b in new)]
     result = {}
     for i, text in rows:
         kept, nth = [], -1
-        lines = (text or "").split("\n")
-        place = []
-        for line in lines:
-            nth += bool(words(line))
-            place.append((nth, bool(words(line))))
-        for (n, worded), line in zip(place, lines):
-            inside = any(a <= n <= b if worded else a <= n < b for a, b in out.get(i, ()))
-            if not inside:
+        for line in (text or "").split("\n"):
+            worded = bool(words(line))
+            nth += worded
+            if not any(a <= nth <= b if worded else a <= nth < b for a, b in out.get(i, ())):
                 kept.append(line)
         result[i] = None if text is None else "\n".join(kept)
     return result
@@ -576,6 +605,48 @@ def test_alignment_of_moved_and_repeated_lines(spark):
     assert got[3].split("\n")[-1] == "y"
 
 
+def test_alignment_with_documents_that_are_not_the_first_holders(spark):
+    """A passage is found as one block although another document holds its middle line, or its owner holds a line twice."""
+    p, x, q = ("p1 p2 p3 p4 p5", "x1 x2 x3 x4 x5", "q1 q2 q3 q4 q5")
+    a, b, c = ("a1 a2 a3 a4 a5 a6", "b1 b2 b3 b4 b5 b6", "c1 c2 c3 c4 c5 c6")
+    texts = [(1, f"own\n{b}\nline"), (2, f"two\n{a}\n{b}\n{c}"), (3, f"{a}\n\n{b}\n{c}\nthree"), (4, f"{x}\nfour\n{p}\n{x}\n{q}"), (5, f"five\n{p}\n{x}\n{q}\nsix")]
+    frame = spark.createDataFrame([(*t, 7, "n", 8) for t in texts], "doc_id bigint, text string, n_lines int, n_deleted string, words_deleted int")
+    rows = {r.doc_id: r for r in linealign.without_blocks(frame).collect()}
+    assert {i: r.words_deleted for i, r in rows.items()} == {1: 0, 2: 0, 3: 18, 4: 0, 5: 15}
+    assert rows[3].text == "three" and rows[5].text == "five\nsix" and rows[5].n_deleted == 3
+    assert {i: r.text for i, r in rows.items()} == plain_deletions(texts)
+
+
+def test_alignment_of_random_documents(spark):
+    """Documents made of shared runs of lines, whole and shuffled, against the diff of all pairs: it finds nothing that is not found here."""
+    rng = np.random.default_rng(11)
+    passages = [[" ".join(f"v{x}" for x in rng.integers(0, 40, int(rng.integers(1, 9)))) for _ in range(int(rng.integers(1, 7)))] for _ in range(12)]
+    texts = []
+    for i in range(40):
+        lines = []
+        for k in rng.integers(0, 12, int(rng.integers(1, 6))):
+            lines += [*passages[k], *([""] if rng.random() < 0.3 else []), f"own line {i} {k} " + "w " * int(rng.integers(0, 8))]
+        texts.append((i, "\n".join(lines)))
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.text for r in linealign.without_blocks(frame).collect()}
+    want = plain_deletions(texts)
+    # lines in no common run may stand in the way of the plain diff
+    assert all(len(got[i]) <= len(want[i]) for i, _ in texts)
+    assert sum(got[i] == want[i] for i, _ in texts) >= 38
+    first, lines = {}, [[x for x in t.split("\n") if words(x)] for _, t in texts]
+
+    def spans(mine):
+        return [(a, b) for a in range(len(mine)) for b in range(a + 1, len(mine) + 1) if sum(len(words(x)) for x in mine[a:b]) >= 10]
+
+    for i, mine in enumerate(lines):
+        for a, b in spans(mine):
+            first.setdefault(tuple(mine[a:b]), i)
+    for i, mine in enumerate(lines):
+        # no run of an earlier document is left, and no line goes that is in none
+        gone = {x for a, b in spans(mine) if first[tuple(mine[a:b])] < i for x in range(a, b)}
+        assert [x for x in got[i].split("\n") if words(x)] == [x for k, x in enumerate(mine) if k not in gone]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_longest_chain(seed):
     places = np.random.default_rng(seed).permutation(12)
