@@ -29,9 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later documents lose the blocks they share with earlier ones; a document that loses its last word goes."""
-    cut = linealign.without_blocks(docs)
+    # given columns with the names of the operator's counts step aside
+    aside = {c: f"given {c}" for c in linealign.COUNTS if c in docs.columns}
+    cut = linealign.without_blocks(docs.withColumnsRenamed(aside))
     emptied = (F.col("words_deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    kept = cut.where(~F.coalesce(emptied, F.lit(False))).drop("n_lines", "n_deleted", "words_deleted")
+    kept = cut.where(~F.coalesce(emptied, F.lit(False))).drop(*linealign.COUNTS)
+    kept = kept.withColumnsRenamed({there: c for c, there in aside.items()})
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return kept.select(docs.columns)
