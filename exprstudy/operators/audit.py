@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.constants import AUDIT_PROBABILITIES, AUDIT_QUANTILE_NAMES
 from exprstudy.operators.matrix import is_finite, long_form
-from exprstudy.operators.quantiles import count_training_values, training_quantiles
+from exprstudy.operators.quantiles import training_quantiles, training_weights
 
 
 def partial_counters(matrix: DataFrame) -> DataFrame:
@@ -77,11 +77,10 @@ def _sampled_cells(matrix: DataFrame, shape_row: DataFrame, max_values: int) ->
 
 
 def _all_quantiles(matrix: DataFrame) -> DataFrame:
-    """Exact quantiles of all finite cells, by the binned operator that no single task has to hold."""
+    """Exact quantiles of all finite cells, from counters of digits."""
     cells = matrix.select(F.explode("features").alias("value")).select(F.lit(0).alias("gene_index"), F.lit(-1).alias("fold"), "value")
-    n_cells = matrix.agg(F.coalesce(F.sum(F.size("features")), F.lit(0))).first()[0]
-    counted = count_training_values(cells.where(is_finite(F.col("value").cast("double"))), 1)
-    found = training_quantiles(counted, AUDIT_PROBABILITIES, 1, n_cells).agg(F.first("q").alias("q"))
+    weighed = training_weights(cells.where(is_finite(F.col("value").cast("double"))), 1)
+    found = training_quantiles(weighed, AUDIT_PROBABILITIES, 1).agg(F.first("q").alias("q"))
     return found.select(
         *[F.coalesce(F.col("q")[i], F.lit(float("nan"))).alias(n) for i, n in enumerate(AUDIT_QUANTILE_NAMES)],
         F.lit(True).alias("quantiles_exact"),

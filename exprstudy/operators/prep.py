@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from exprstudy.functions.budgets import parse_budget
 from exprstudy.functions.transforms import log2p1
 from exprstudy.operators.matrix import long_form
-from exprstudy.operators.quantiles import count_training_values, training_quantiles
+from exprstudy.operators.quantiles import training_quantiles, training_weights
 from exprstudy.session import durable
 
 SCALERS = ("standard", "robust")
@@ -77,11 +77,11 @@ def training_moments(moments: DataFrame, k: int) -> DataFrame:
     )
 
 
-def impute_medians(cells: DataFrame, moments: DataFrame, k: int, rows_per_gene: int) -> DataFrame:
+def impute_medians(cells: DataFrame, moments: DataFrame, k: int) -> DataFrame:
     """``(eval_fold, gene_index, median)`` for genes with any missing value."""
     missing = moments.where("n_missing > 0").select("gene_index").distinct()
     observed = cells.join(missing, "gene_index", "left_semi").where(_present())
-    found = training_quantiles(count_training_values(observed, k), [0.5], k, rows_per_gene)
+    found = training_quantiles(training_weights(observed, k), [0.5], k)
     return found.select("eval_fold", "gene_index", F.col("q")[0].alias("median"))
 
 
@@ -157,11 +157,10 @@ def fit(matrix: DataFrame, k: int, scaler: str = "standard", negative_policy: st
         raise ValueError("scaler must be 'standard' or 'robust'")
     cells = logged_cells(matrix, negative_policy)
     moments = durable(cell_moments(cells), "moments")  # the one full pass; all else reads this summary
-    sizes = moments.groupBy("gene_index").agg(F.sum(F.col("n") + F.col("n_missing")).alias("n"), F.sum("n_missing").alias("m"))
-    facts = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+    has_missing = not moments.where("n_missing > 0").isEmpty()
     train = training_moments(moments, k)
-    if facts["m"]:
-        train = _imputed(train, impute_medians(cells, moments, k, facts["rows"]))
+    if has_missing:
+        train = _imputed(train, impute_medians(cells, moments, k))
     else:
         train = train.withColumn("median", F.lit(None).cast("double"))
     statistics = gene_statistics(train)
@@ -170,7 +169,7 @@ def fit(matrix: DataFrame, k: int, scaler: str = "standard", negative_policy: st
         return statistics.select(
             "eval_fold", "gene_index", "median", F.col("mean").alias("center"), scale.alias("scale"), "f_score", "eligible"
         )
-    quartiles = robust_quartiles(cells, statistics, k, facts["rows"])
+    quartiles = robust_quartiles(cells, statistics, k)
     spread = F.col("q")[2] - F.col("q")[0]
     return statistics.join(quartiles, ["eval_fold", "gene_index"], "left").select(
         "eval_fold",
@@ -183,14 +182,14 @@ def fit(matrix: DataFrame, k: int, scaler: str = "standard", negative_policy: st
     )
 
 
-def robust_quartiles(cells: DataFrame, statistics: DataFrame, k: int, rows_per_gene: int) -> DataFrame:
+def robust_quartiles(cells: DataFrame, statistics: DataFrame, k: int) -> DataFrame:
     """Exact training quartiles after imputation: missing cells count as copies of the median."""
-    observed = count_training_values(cells.where(_present()), k)
+    observed = training_weights(cells.where(_present()), k)
     copies = [F.when(F.col("eval_fold") == f, F.col("n_missing")).otherwise(0).alias(f"t{f}") for f in range(k)]
     imputed = statistics.where("n_missing > 0 AND median IS NOT NULL").select(
         "gene_index", F.col("median").alias("value"), *copies
     )
-    return training_quantiles(observed.unionByName(imputed), [0.25, 0.5, 0.75], k, rows_per_gene)
+    return training_quantiles(observed.unionByName(imputed), [0.25, 0.5, 0.75], k)
 
 
 def rank_features(params: DataFrame, largest: int | None = None) -> DataFrame:

@@ -1,93 +1,106 @@
-"""Exact quantiles per gene and training fold.
+"""Exact quantiles per gene and training fold by radix selection.
 
-Copies of a value are combined map-side first.  The values of a gene are cut into bins at
-bounds from a quantile sketch, so an outlier does not crowd the others into one bin.
-Counts of bins are exact; only bins that hold a wanted rank are ordered, each for itself,
-so no gene has to fit one task.
+A value has an integer key of the same order, made of its exponent and fraction.  The first
+pass counts the exponents of every gene; a wanted rank falls into one of them, and the next
+pass counts the following digits of only those values that share it, until the values that
+hold the rank are all equal.  A counter belongs to (gene, prefix, digit) and has one number
+for each training fold, so one pass serves all folds and quantiles, and counters are added
+up map-side: what moves is bounded by genes x wanted prefixes x digits, never a value.
+Measurements kept as 32-bit floats need three passes, any 64-bit float at most six.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BIN = 200_000
+from exprstudy.session import durable
 
+#: What is left of a key after each pass: 12 bits of sign and exponent, then 12 bits of the fraction at a time.
+SHIFTS = (52, 40, 28, 16, 4, 0)
 
-def count_training_values(cells: DataFrame, k: int) -> DataFrame:
-    """Distinct values of ``(gene_index, fold, value)`` with their copies outside each fold (t0 .. tk-1)."""
-    outside = [F.count_if(F.col("fold") != f).cast("bigint").alias(f"t{f}") for f in range(k)]
-    value = F.col("value").cast("double").alias("value")
-    return cells.select("gene_index", "fold", value).groupBy("gene_index", "value").agg(*outside)
+#: Wanted prefixes up to this many are sent to the tasks that hold the values (at 16 bytes each); more are joined by a shuffle.
+BROADCAST_PREFIXES = 2_000_000
 
 
-def training_quantiles(
-    values: DataFrame, probabilities: Sequence[float], k: int, rows_per_gene: int, rows_per_bin: int = ROWS_PER_BIN
-) -> DataFrame:
-    """``(eval_fold, gene_index, q ARRAY<DOUBLE>)`` over the rows outside each fold.
+def training_weights(cells: DataFrame, k: int) -> DataFrame:
+    """``(gene_index, value, t0 .. tk-1)``: whether each cell counts for the training rows of each fold."""
+    outside = [(F.col("fold") != f).cast("bigint").alias(f"t{f}") for f in range(k)]
+    return cells.select("gene_index", F.col("value").cast("double").alias("value"), *outside)
 
-    ``values`` is the output of :func:`count_training_values`, ``rows_per_gene`` an
-    upper bound of the rows behind one gene.  Interpolation between neighbouring
-    order statistics is linear.
+
+def order_key(value: Column) -> Column:
+    """A 64-bit integer in the order of finite doubles; equal values have equal keys.
+
+    The powers of two and the division by them are exact, so no digit is lost.
     """
-    n_bins = max(1, -(-rows_per_gene // rows_per_bin))
-    cuts = [i / n_bins for i in range(1, n_bins)]
-    # enough accuracy to make bins about equal; the bounds only balance the work
-    bounds = F.percentile_approx("value", cuts, 20 * n_bins) if cuts else F.first(F.array().cast("array<double>"))
-    ranges = values.groupBy("gene_index").agg(bounds.alias("bounds"))
-    bin_ = F.size(F.filter("bounds", lambda b: b < F.col("value")))
-    counted = (
-        values.join(ranges, "gene_index")
-        .groupBy("gene_index", bin_.alias("bin"), "value")
-        .agg(*[F.sum(f"t{f}").alias(f"t{f}") for f in range(k)])
-    )
-    per_bin = counted.groupBy("gene_index", "bin").agg(*[F.sum(f"t{f}").alias(f"b{f}") for f in range(k)])
-    gene = Window.partitionBy("gene_index")
-    bins = per_bin.select(
-        "gene_index",
-        "bin",
-        *[(F.sum(f"b{f}").over(gene.orderBy("bin")) - F.col(f"b{f}")).alias(f"b{f}") for f in range(k)],
-        *[F.sum(f"b{f}").over(gene).alias(f"n{f}") for f in range(k)],
-        *[F.col(f"b{f}").alias(f"size{f}") for f in range(k)],
-    )
-    wanted = F.lit(False)
-    for f in range(k):
-        for p in probabilities:
-            for rank in (F.floor(F.lit(float(p)) * (F.col(f"n{f}") - 1)), F.ceil(F.lit(float(p)) * (F.col(f"n{f}") - 1))):
-                wanted = wanted | ((F.col(f"b{f}") <= rank) & (rank < F.col(f"b{f}") + F.col(f"size{f}")))
-    bins = bins.where(wanted).drop(*[f"size{f}" for f in range(k)])
-    in_bin = Window.partitionBy("gene_index", "bin").orderBy("value")
-    running = {f"c{f}": F.sum(f"t{f}").over(in_bin) - F.col(f"t{f}") for f in range(k)}
-    placed = counted.join(bins, ["gene_index", "bin"]).withColumns(running)
-    per_fold = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("eval_fold"),
-                (F.col(f"b{f}") + F.col(f"c{f}")).alias("start"),
-                F.col(f"t{f}").alias("copies"),
-                F.col(f"n{f}").alias("n"),
-            )
-            for f in range(k)
-        ]
-    )
-    spread = placed.select("gene_index", "value", F.explode(per_fold).alias("s")).where("s.copies > 0")
-    weights = []
-    for p in probabilities:
-        target = F.lit(float(p)) * (F.col("s.n") - 1)
-        low = F.floor(target)
-        high = F.ceil(target)
-        fraction = target - low
-        holds = lambda rank: (F.col("s.start") <= rank) & (rank < F.col("s.start") + F.col("s.copies"))
-        weights.append(F.when(holds(low), 1 - fraction).otherwise(0.0) + F.when(holds(high), fraction).otherwise(0.0))
-    useful = weights[0] > 0
-    for weight in weights[1:]:
-        useful = useful | (weight > 0)
-    hits = spread.where(useful)
-    summed = hits.groupBy(F.col("s.eval_fold").alias("eval_fold"), "gene_index").agg(
-        *[F.sum(F.col("value") * w).alias(f"q{i}") for i, w in enumerate(weights)]
+    size = F.abs(value)
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
+    power = F.pow(F.lit(2.0), guess)
+    # the logarithm may be off by one next to a power of two
+    exponent = F.greatest(F.when(size < power, guess - 1).when(size >= power * 2, guess + 1).otherwise(guess), F.lit(-1022))
+    fraction = size / F.pow(F.lit(2.0), exponent)
+    one = F.lit(float(1 << 52))
+    normal = (exponent + 1023) * (1 << 52) + ((fraction - 1) * one).cast("bigint")
+    bits = F.when(fraction >= 1, normal).otherwise((fraction * one).cast("bigint"))
+    return F.when(value == 0, F.lit(0).cast("bigint")).when(value < 0, -bits).otherwise(bits)
+
+
+def _counters(rows: DataFrame, before: list[str], shift: int, k: int) -> DataFrame:
+    """Weights of each digit after the prefix, those of all lower digits, and the range of values."""
+    counts = [F.sum(f"t{f}").alias(f"t{f}") for f in range(k)]
+    bins = rows.groupBy("gene_index", *before, F.shiftright("key", shift).alias("bin")).agg(
+        *counts, F.min("value").alias("low"), F.max("value").alias("high")
     )
-    return summed.select(
-        "eval_fold", "gene_index", F.array(*[F.col(f"q{i}") for i in range(len(weights))]).alias("q")
+    order = Window.partitionBy("gene_index", *before).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.array(*(F.coalesce(F.sum(f"t{f}").over(order), F.lit(0)) for f in range(k)))
+    return bins.select("gene_index", *before, "bin", "low", "high", F.array(*(F.col(f"t{f}") for f in range(k))).alias("here"), below.alias("below"))
+
+
+def _placed(ranks: DataFrame, bins: DataFrame, on: list[str]) -> DataFrame:
+    """Each rank with the digit that holds it, and what is left of the rank there."""
+    here, below = (F.get(c, F.col("eval_fold")) for c in ("here", "below"))
+    held = (F.col("left") >= below) & (F.col("left") < below + here)
+    return ranks.join(bins, on).where(held).select(
+        "gene_index", "eval_fold", "rank", (F.col("left") - below).alias("left"), F.col("bin").alias("prefix"), "low", "high"
     )
+
+
+def training_quantiles(values: DataFrame, probabilities: Sequence[float], k: int) -> DataFrame:
+    """``(eval_fold, gene_index, q ARRAY<DOUBLE>)`` over the values that count for each fold.
+
+    ``values`` is like the output of :func:`training_weights`, also with larger weights, and is
+    read once a pass.  Interpolation between neighbouring order statistics is linear.
+    """
+    keyed = values.select("gene_index", "value", *(f"t{f}" for f in range(k)), order_key(F.col("value")).alias("key"))
+    bins = durable(_counters(keyed, [], SHIFTS[0], k), "digits")
+    sizes = bins.groupBy("gene_index").agg(*(F.sum(F.col("here")[f]).alias(f"n{f}") for f in range(k)))
+    folds = sizes.select("gene_index", F.posexplode(F.array(*(F.col(f"n{f}") for f in range(k)))).alias("eval_fold", "n")).where("n > 0")
+    targets = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    wanted = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(t), F.ceil(t)) for t in targets))))
+    ranks = folds.select("gene_index", "eval_fold", F.explode(wanted).alias("rank")).withColumn("left", F.col("rank"))
+    state = durable(_placed(ranks, bins, ["gene_index"]), "ranks")
+    done = [state.where("low = high")]
+    for before, shift in zip(SHIFTS, SHIFTS[1:]):
+        state = state.where("low < high")
+        prefixes = durable(state.select("gene_index", "prefix").distinct(), "prefixes")
+        n_prefixes = prefixes.count()
+        if not n_prefixes:
+            break
+        small = F.broadcast(prefixes) if n_prefixes <= BROADCAST_PREFIXES else prefixes
+        inside = keyed.withColumn("prefix", F.shiftright("key", before)).join(small, ["gene_index", "prefix"])
+        bins = _counters(inside, ["prefix"], shift, k)
+        state = durable(_placed(state.drop("low", "high"), bins, ["gene_index", "prefix"]), "ranks")
+        done.append(state.where("low = high"))
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    held = found.groupBy("gene_index", "eval_fold").agg(F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("at"))
+    quantiles = []
+    for t in targets:
+        share = t - F.floor(t)
+        lower, upper = F.col("at")[F.floor(t)], F.col("at")[F.ceil(t)]
+        quantiles.append(F.when(share > 0, lower * (1 - share) + upper * share).otherwise(lower))
+    return folds.join(held, ["gene_index", "eval_fold"]).select(F.col("eval_fold").cast("int").alias("eval_fold"), "gene_index", F.array(*quantiles).alias("q"))

@@ -6,6 +6,7 @@ from exprstudy.constants import DEFAULT_SEED, RNA_PLATFORM
 
 K = 5
 TOP = 20
+LINE_PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 # --- shared common table expressions --------------------------------------
 
@@ -517,6 +518,11 @@ s AS (SELECT gene, avg(x) AS mean, stddev_pop(x) AS sd FROM x GROUP BY 1)
 SELECT gene::INT AS gene_index, round(any_value(s.mean), 4) AS center, round(any_value(s.sd), 4) AS scale,
        round((sum(p.n * (p.mean - s.mean) * (p.mean - s.mean)) / (count(*) - 1)) / (sum(p.m2) / (sum(p.n) - count(*))), 4) AS f_score
 FROM p JOIN s USING (gene) GROUP BY gene"""
+    lines = ", ".join(f"round(quantile_cont(v, {p}), 6) AS q{round(100 * p)}" for p in LINE_PROBABILITIES)
+    sql["lines_quantiles"] = f"""
+WITH raw AS (SELECT (l_orderkey * 8 + l_linenumber) % 3 AS fold, unnest(range(4)) AS gene,
+                    unnest([l_quantity, l_extendedprice, l_discount, l_tax])::FLOAT::DOUBLE AS v FROM lineitem)
+SELECT e::INT AS eval_fold, gene::INT AS gene_index, {lines} FROM raw, range(3) f(e) WHERE fold <> e GROUP BY e, gene"""
     sql["select_k_best"] = f"WITH {training(False)} {pick('rk::INT AS rank, round(f, 6) AS f_score')} FROM top"
     sql["selected_matrix"] = f"""
 WITH {training(False)}

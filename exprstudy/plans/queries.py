@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from exprstudy.constants import AUDIT_QUANTILE_NAMES, DEFAULT_SEED
 from exprstudy.functions import barcodes as bc
 from exprstudy.functions import digest, transforms
-from exprstudy.operators import audit, cohort, compare, interpret, lock, matrix, metrics, prep, split
+from exprstudy.operators import audit, cohort, compare, interpret, lock, matrix, metrics, prep, quantiles, split
 from exprstudy.plans import final, roles, studies
 from exprstudy.sources import tables, wide_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 TOP = 20
+LINE_PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 
 def query(function: Query) -> Query:
@@ -439,6 +440,16 @@ def impute_median(spark, sf):
     return rounded(found.select("eval_fold", "gene_index", "median"), ["median"])
 
 
+@query
+def lines_quantiles(spark, sf):
+    """Quantiles of four measured features outside each fold, over every order line."""
+    rows = roles.line_matrix(spark, sf).select("features", F.pmod("cache_index", F.lit(3)).cast("int").alias("fold"))
+    cells = rows.select("fold", F.posexplode("features").alias("gene_index", "value"))
+    found = quantiles.training_quantiles(quantiles.training_weights(cells, 3), LINE_PROBABILITIES, 3)
+    picked = [F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(LINE_PROBABILITIES)]
+    return rounded(found.select("eval_fold", "gene_index", *picked), [f"q{round(100 * p)}" for p in LINE_PROBABILITIES])
+
+
 @query
 def standardize_fold(spark, sf):
     found = roles.training_parameters(spark, sf, missing=True)

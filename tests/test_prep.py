@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from conftest import planted
@@ -118,19 +120,46 @@ def test_perfect_separation_ranks_first(spark):
     assert {r["gene_index"] for r in best} == {0} and all(r["f_score"] == float("inf") for r in best)
 
 
-def test_binned_quantiles_equal_the_plain_ones(spark):
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_radix_quantiles_equal_the_plain_ones(spark, monkeypatch, broadcast):
+    """Ties, both signs, floats and doubles, neighbours in the last digit, subnormal and huge values."""
+    monkeypatch.setattr(quantiles, "BROADCAST_PREFIXES", broadcast)
     rng = np.random.default_rng(11)
-    data = [(g, int(i % 3), float(v)) for g in range(3) for i, v in enumerate(np.concatenate([rng.normal(size=300), np.zeros(200)]))]
+    close = np.nextafter(1.0, 2.0) ** np.arange(40) * rng.choice([1.0, -1.0], 40)
+    genes = [
+        np.concatenate([rng.normal(size=300), np.zeros(200)]),
+        rng.lognormal(3, 4, 400).astype("float32").astype(float),
+        np.concatenate([close, [5e-324, -5e-324, 1e-310, 1.7e308, -1.7e308, 2.0**-1022, 0.0, -0.0]]),
+        np.full(90, 7.5),
+        2.0 ** np.arange(-30, 30),
+    ]
+    data = [(g, int(i % 3), float(v)) for g, values in enumerate(genes) for i, v in enumerate(values)]
     cells = spark.createDataFrame(data, "gene_index int, fold int, value double")
-    values = quantiles.count_training_values(cells, 3)
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
-    plain = {(r[0], r[1]): r[2] for r in quantiles.training_quantiles(values, probabilities, 3, 500).collect()}
-    binned = {(r[0], r[1]): r[2] for r in quantiles.training_quantiles(values, probabilities, 3, 500, 20).collect()}
-    assert plain.keys() == binned.keys()
-    for key in plain:
-        assert binned[key] == pytest.approx(plain[key])
-        mine = [v for g, f, v in data if g == key[1] and f != key[0]]
-        assert plain[key] == pytest.approx(np.quantile(mine, probabilities).tolist())
+    got = {(r[0], r[1]): r[2] for r in quantiles.training_quantiles(quantiles.training_weights(cells, 3), probabilities, 3).collect()}
+    assert len(got) == 15
+    for (fold, gene), q in got.items():
+        mine = sorted(v for g, f, v in data if g == gene and f != fold)
+        for p, value in zip(probabilities, q):
+            at = p * (len(mine) - 1)
+            low, high = mine[math.floor(at)], mine[math.ceil(at)]
+            assert value == (low if at == int(at) else low * (1 - (at - int(at))) + high * (at - int(at)))
+
+
+def test_order_key_is_the_order_of_doubles(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 63, 4000, dtype=np.uint64).view(float)
+    values = np.concatenate([values[np.isfinite(values)], 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1022, 1024), 0)])
+    values = np.concatenate([values, -values, [0.0]])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", quantiles.order_key(F.col("v")).alias("k")).collect()
+    for r in rows:
+        bits = int(np.float64(abs(r.v)).view(np.int64))
+        assert r.k == (bits if r.v >= 0 else -bits)
+
+
+def test_weights_count_as_copies(spark):
+    rows = spark.createDataFrame([(0, 1.0, 5), (0, 2.0, 1), (0, 9.0, 0), (0, 3.0, 4)], "gene_index int, value double, t0 bigint")
+    assert quantiles.training_quantiles(rows, [0.5, 0.75, 1.0], 1).first().q == pytest.approx(np.quantile([1] * 5 + [2] + [3] * 4, [0.5, 0.75, 1]))
 
 
 def test_class_weights(spark):
