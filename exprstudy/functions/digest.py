@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Digests that a node of an ordered tree gathers.
+FANOUT = 1024
+
 PREFIX_LEVELS = (6, 3)  # hex digits; a level above the leaves gathers at most 16 ** 3 digests
 
 
@@ -37,3 +40,28 @@ def table_digest(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
         parts = _gather(parts, digits).withColumn("entry", F.concat_ws(":", "prefix", "digest"))
     root = _gather(parts, 0)
     return root.select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"), F.col("digest").alias("sha256"))
+
+
+def ordered_digest(leaves: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """``(keys, n, sha256)`` of sequences of any length, by an ordered tree of digests.
+
+    ``leaves`` holds ``number`` (0, 1, ... within its keys, ``most`` at the most) and ``hash``, the
+    binary SHA-256 of an entry.  A node is the SHA-256 of the hex digests of up to ``FANOUT``
+    neighbours, so the digest depends on entries and order alone, not on how they are spread,
+    and no task gathers more than one node at a time.
+    """
+    level = leaves.select(*keys, "number", "hash", F.lit(1).cast("bigint").alias("n"))
+    bottom = True
+    while True:
+        order = F.array_sort(F.collect_list(F.struct("number", "hash")))
+        parent = F.expr(f"number div {FANOUT}").alias("number")
+        level = level.groupBy(*keys, parent).agg(order.alias("children"), F.sum("n").alias("n"))
+        joined = F.array_join(F.transform("children", lambda x: F.lower(F.hex(x["hash"]))), "")
+        node = F.unhex(F.sha2(joined.cast("binary"), 256))
+        if not bottom:
+            # a sequence that one node holds already has its root
+            node = F.when((F.col("number") == 0) & (F.size("children") == 1), F.col("children")[0]["hash"]).otherwise(node)
+        level = level.select(*keys, "number", node.alias("hash"), "n")
+        most, bottom = most // FANOUT, False
+        if not most:
+            return level.select(*keys, "n", F.lower(F.hex("hash")).alias("sha256"))

@@ -342,6 +342,17 @@ SELECT max(len(embedding))::BIGINT AS n_genes, true AS contiguous,
 WITH {AUDIT_VALUES}
 SELECT count(DISTINCT vec_id) AS n_samples, (max(pos) + 1)::BIGINT AS n_genes, count_if(v IS NULL)::BIGINT AS n_nonfinite_values FROM cell"""
 
+    # a tree of digests with 1024 entries a node, up to 1024 ** 3 lines
+    sql["text_fingerprint"] = """
+WITH line AS (SELECT l_orderkey, l_linenumber, concat_ws(chr(9), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS t FROM lineitem),
+leaf AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, t) - 1 AS i, sha256(t) AS h, strlen(t) + 1 AS n FROM line),
+one AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY leaf.i)) AS h, sum(n) AS n, count(*) AS m FROM leaf GROUP BY i // 1024),
+two AS (SELECT i // 1024 AS i, CASE WHEN (SELECT count(*) FROM one) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY one.i)) END AS h,
+               sum(n) AS n, sum(m) AS m FROM one GROUP BY i // 1024),
+three AS (SELECT CASE WHEN (SELECT count(*) FROM two) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY two.i)) END AS h,
+                 sum(n) AS n, sum(m) AS m FROM two)
+SELECT coalesce(m, 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(h, sha256('')) AS sha256 FROM three"""
+
     # scalar expressions
     sql["barcode_parse"] = f"""
 WITH {MESSY}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from exprstudy.functions import barcodes as bc
 from exprstudy.functions import digest, transforms
 from exprstudy.operators import audit, cohort, compare, interpret, lock, matrix, metrics, prep, quantiles, split
 from exprstudy.plans import final, roles, studies
+from exprstudy.session import shared_folder
 from exprstudy.sources import tables, wide_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +371,16 @@ def file_fingerprints(spark, sf):
     return lock.file_fingerprints(spark, f"{sf}/*.parquet").drop("modified")
 
 
+@query
+def text_fingerprint(spark, sf):
+    """The order lines, written as text in many files, and the digest of what was written."""
+    rows = roles.table(spark, sf, "lineitem")
+    line = F.concat_ws("\t", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")))
+    path = f"{shared_folder(spark)}/exprstudy/text-{uuid.uuid4().hex}"
+    rows.orderBy("l_orderkey", "l_linenumber", line).select(line.alias("value")).write.text(path)
+    return lock.folder_fingerprint(spark, path)
+
+
 @query
 def split_digest(spark, sf):
     manifest = split.holdout(roles.matrix(spark, sf).drop("features"))

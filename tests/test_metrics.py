@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -205,11 +206,56 @@ def test_lock_comparison(spark):
     assert got == {"a": "match", "b": "digest_mismatch", "c": "missing", "d": "size_mismatch", "e": "not_locked"}
 
 
-def test_fingerprints_skip_large_content(spark, tmp_path):
-    import hashlib
+def plain_tree(lines):
+    level = [hashlib.sha256(x).hexdigest() for x in lines]
+    while True:
+        level = [hashlib.sha256("".join(level[i : i + 1024]).encode()).hexdigest() for i in range(0, len(level), 1024)]
+        if len(level) < 2:
+            return level[0] if level else hashlib.sha256(b"").hexdigest()
 
-    (tmp_path / "small.bin").write_bytes(b"abc")
-    (tmp_path / "large.bin").write_bytes(b"x" * 5000)
-    got = {r["name"]: r for r in lock.file_fingerprints(spark, str(tmp_path), limit=1000).collect()}
-    assert got["small.bin"]["sha256"] == hashlib.sha256(b"abc").hexdigest()
-    assert got["large.bin"]["sha256"] is None and got["large.bin"]["size_bytes"] == 5000
+
+def plain_fingerprint(data):
+    lines = data.split(b"\n")
+    lines = lines[:-1] if lines[-1] == b"" else lines
+    return hashlib.sha256(f"{plain_tree(lines)}:{len(lines)}:{len(data)}".encode()).hexdigest()
+
+
+def test_fingerprints_of_any_bytes_and_split_size(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    files = {
+        "raw.bin": rng.integers(0, 256, 300_000, dtype=np.uint8).tobytes(),
+        "text.tsv": b"".join(b"%d\tline\r\n" % i for i in range(3000)),
+        "no_end.tsv": b"a\nb",
+        "end.tsv": b"a\nb\n",
+        "swapped.tsv": b"b\na\n",
+        "blank.tsv": b"\n\n\n",
+        "empty.tsv": b"",
+        "with space.tsv": b"\xff\xfe\n\x00",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = sorted((len(d), plain_fingerprint(d)) for d in files.values() if d)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in ("134217728", "7000"):
+            spark.conf.set(key, size)
+            got = lock.file_fingerprints(spark, str(tmp_path)).collect()
+            assert sorted((r["size_bytes"], r["sha256"]) for r in got) == want
+            assert {r["name"] for r in got} >= {"raw.bin", "end.tsv"} and len({r["sha256"] for r in got}) == len(files) - 1
+    finally:
+        spark.conf.set(key, before)
+    changed = bytearray(files["raw.bin"])
+    changed[150_000] ^= 1
+    assert plain_fingerprint(bytes(changed)) != plain_fingerprint(files["raw.bin"])
+
+
+def test_folder_fingerprint_does_not_depend_on_files(spark, tmp_path):
+    lines = [f"line {i % 7} {i}" for i in range(2500)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    for n in (1, 5):
+        rows.repartitionByRange(n, "i").sortWithinPartitions("i").select("value").write.text(str(tmp_path / str(n)))
+        got = lock.folder_fingerprint(spark, str(tmp_path / str(n))).collect()
+        assert [tuple(r) for r in got] == [(2500, sum(len(x) + 1 for x in lines), plain_tree([x.encode() for x in lines]))]
+    rows.where("i < 0").select("value").write.text(str(tmp_path / "none"))
+    assert tuple(lock.folder_fingerprint(spark, str(tmp_path / "none")).first()) == (0, 0, hashlib.sha256(b"").hexdigest())
