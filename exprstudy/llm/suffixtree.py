@@ -5,7 +5,7 @@ longest suffix of the words before it that it holds as a state.  Its symbols are
 words seen twice or more, one symbol for all others, and the end; a word of the "others" is then
 predicted by its count and its spelling, and the spelling again by a suffix tree, whose
 symbols are bytes; a word unknown to the training texts has the share of all unknown words
-times its spelling.  In both trees
+times its spelling, among the spellings that no known word has.  In both trees
 
 * a word context is a candidate from two occurrences on, so the tree of words grows with the
   corpus; a byte context from a share of all bytes of distinct words on, which bounds the
@@ -466,12 +466,16 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options(), apar
             flat, place, word = _spelling(batch.column("word"))
             logs = np.log10(probabilities(spelling.value, flat, place, 1))
             log_spelled = np.bincount(word, weights=logs, minlength=batch.num_rows)
-            c = batch.column("c").to_numpy()
-            p = np.maximum(c - options.discount, 0) / max(n_all, 1) + spread * (1 - unknown) * 10.0**log_spelled
-            logp = np.where(c > 0, np.log10(np.maximum(p, 1e-300)), np.log10(max(spread * unknown, 1 / (n_all + 1))) + log_spelled)
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("c"), pa.array(logp)], names=["hash", "c", "logp"])
-
-    scored = words.select("hash", "c", "word").mapInArrow(spell, "hash bigint, c bigint, logp double")
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("c"), pa.array(log_spelled)], names=["hash", "c", "log_spelled"])
+
+    rated = durable(words.select("hash", "c", "word").mapInArrow(spell, "hash bigint, c bigint, log_spelled double"), "spelled")
+    spelled_known = rated.where("c > 0").agg(F.coalesce(F.sum(F.pow(F.lit(10.0), "log_spelled")), F.lit(0.0))).first()[0]
+    # an unknown word is not spelled like a known one, so its spelling is one among the others
+    known_part = spread * (1 - unknown) / max(spelled_known, 1e-300)
+    log_unknown = float(np.log10(max(spread * unknown, 1 / (n_all + 1)) / max(1 - spelled_known, 1e-9)))
+    p = F.greatest(F.col("c") - options.discount, F.lit(0.0)) / max(n_all, 1) + known_part * F.pow(F.lit(10.0), "log_spelled")
+    logp = F.when(F.col("c") > 0, F.log10(F.greatest(p, F.lit(1e-300)))).otherwise(F.col("log_spelled") + log_unknown)
+    scored = rated.select("hash", "c", logp.alias("logp"))
     back = places.join(scored, "hash").select("block", F.lit(True).alias("word"), "place", F.col("c").cast("double").alias("a"), F.col("logp").alias("b"))
     told = asks.select("block", "slot", "key").join(tree, "key")
     told = told.select("block", F.lit(False).alias("word"), F.col("slot").alias("place"), F.col("a").cast("double"), F.col("b").cast("double"))

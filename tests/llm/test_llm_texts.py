@@ -118,9 +118,32 @@ def test_base_scores(request, table):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_scores_beat_the_base_on_held_out_texts(given):
-    rows = suffixtree.scores(given, held_out()).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert rows[0] > rows[1]
+@pytest.mark.parametrize("folder", [FOLDER, FOLDER.replace("0.001", "0.01")])
+def test_scores_beat_the_base_on_held_out_texts(spark, folder):
+    """Over known words and ends, where both scores speak of the same outcomes: the base has one outcome for all unknown words, the model spells them."""
+    if not os.path.isdir(folder):
+        pytest.skip("given tables are not here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    train = {w.translate(LOWER) for i, t in texts_of(docs) if zlib.crc32(str(i).encode()) % 7 != 2 for w in words(t)}
+    rows = suffixtree.scores(docs, held_out(), apart=True).where("held_out").collect()
+    unknown = -math.log10(rows[0].train_tokens + len(train) + 2)
+    base = sum(r.base_score - (r.n_tokens - r.n_known) * unknown for r in rows)
+    assert sum(r.score - r.unknown_score for r in rows) > base
+
+
+def test_unknown_spellings_share_what_known_ones_leave(spark):
+    """The probabilities of the known words, and of all two-letter words that are not known, leave no mass twice."""
+    known = ["aa", "ab", "ba", "aab"]
+    ids = [i for i in range(10**6) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    probe = [i for i in range(10**6) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = [(i, known[k % 4] if k < 36 else f"once{k}") for k, i in enumerate(ids)]
+    new = [x + y for x in "abc" for y in "abc" if x + y not in known] + ["a", "b", "c", "aaa", "abb"]
+    texts += [*zip(probe, [*known, *new, *(f"once{k}" for k in range(36, 40)), ""])]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in suffixtree.scores(frame, held_out()).collect()}
+    first = {t: 10 ** got[i] for i, t in texts if i in set(probe)}
+    total = sum(first.values())
+    assert 0.5 < total <= 1 + 1e-9
 
 
 def test_unknown_words_pay_for_their_spelling(spark, given):
