@@ -19,6 +19,33 @@ CLASS = "cancer_type"
 BUCKET_DIGITS = 4
 
 
+INDEX = "cache_index"
+
+
+def sample_violations(samples: DataFrame) -> DataFrame:
+    """``(violation, key, n)``: participants and row numbers that several rows claim.
+
+    Counts are combined map-side, so a participant with a third of all rows moves as one row per task.
+    """
+    found = None
+    for name, column in (("repeated_participant", ID), ("repeated_index", INDEX)):
+        if column in samples.columns:
+            counted = samples.groupBy(F.col(column).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            part = counted.select(F.lit(name).alias("violation"), "key", "n")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
+def refuse_ambiguous(samples: DataFrame) -> DataFrame:
+    """The samples, if there are any and every participant and row number is there once."""
+    if samples.isEmpty():
+        raise ValueError("there are no samples to split")
+    worst = sample_violations(samples).orderBy("violation", F.desc("n"), "key").first()
+    if worst is not None:
+        raise ValueError(f"a split by participant needs one row each: {worst['violation']} {worst['key']!r} has {worst['n']} rows")
+    return samples
+
+
 def _keyed(samples: DataFrame, seed: int) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(ID)).cast("binary"))
     return samples.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
@@ -39,7 +66,7 @@ def _class_sizes(samples: DataFrame) -> DataFrame:
 def holdout_quota(samples: DataFrame, fraction: float) -> DataFrame:
     """``(class, n, quota)``: ``ceil(total * fraction)`` rows spread by largest remainder."""
     share = F.col("n") * F.lit(float(fraction))
-    alone = F.concat(F.lit("each class needs at least two participants for stratification: "), F.col(CLASS))
+    alone = F.concat(F.lit("a class must have at least two participants, one for each side: "), F.col(CLASS))
     sized = _class_sizes(samples).select(
         CLASS,
         "n",
@@ -87,8 +114,8 @@ def assign_holdout(rows: DataFrame, cuts: DataFrame, seed: int = DEFAULT_SEED) -
 def holdout(
     samples: DataFrame, fraction: float = DEFAULT_HOLDOUT_FRACTION, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """Add ``split`` (development or holdout) to the samples."""
-    return assign_holdout(samples, holdout_cuts(samples, fraction, seed), seed)
+    """Add ``split`` (development or holdout) to the samples; empty tables and repeated participants or row numbers are refused."""
+    return assign_holdout(samples, holdout_cuts(refuse_ambiguous(samples), fraction, seed), seed)
 
 
 def fold_layout(samples: DataFrame, k: int) -> DataFrame:

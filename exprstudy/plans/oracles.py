@@ -309,6 +309,11 @@ SELECT 'duplicate_barcode' AS "check", count(*) AS n_violations FROM (SELECT raw
 UNION ALL SELECT 'bad_barcode', count(*) FROM judged WHERE error IS NOT NULL"""
     sql["scan_stats"] = "SELECT max(len(embedding))::BIGINT AS n_samples, count(*) AS n_genes FROM embeddings"
     sql["melt_matrix"] = f"WITH {WIDE} SELECT cache_index, gene_index, round(v, 6) AS value FROM melted"
+    sql["built_matrix"] = f"""
+WITH {WIDE}
+SELECT cache_index, 'TCGA-AA-' || lpad((cache_index + cache_index // 3)::VARCHAR, 4, '0') || '-01A-01R-A001-07' AS participant_barcode,
+       'C' || cache_index % 3 AS cancer_type, count(*)::INT AS n_features, count_if(v IS NULL)::INT AS n_missing, round(coalesce(sum(v), 0), 3) AS total
+FROM melted GROUP BY cache_index"""
     sql["matrix_blocks"] = f"""
 WITH {WIDE},
 ends AS (SELECT *, (gene_index // 256)::INT AS block,
@@ -437,6 +442,9 @@ FROM m LEFT JOIN h USING (i) WHERE h.b IS NULL OR h.b <> m.b"""
     sql["audit_counters"] = f"WITH {AUDIT_VALUES} " + counters_of("SELECT v FROM cell", 6)
     sql["audit_counters_lines"] = counters_of(LINE_CELLS, 4)
     sql["audit_quantiles"] = f"WITH {AUDIT_VALUES} SELECT {AUDIT_QUANTILES}, true AS quantiles_exact FROM cell"
+    sql["audit_profile"] = f"""
+SELECT * FROM (SELECT count(*) AS n_rows, max(len(embedding))::INT AS n_columns FROM embeddings),
+  ({sql["audit_counters"]}), ({sql["audit_quantiles"]})"""
     sql["audit_quantiles_strided"] = f"""
 WITH {AUDIT_VALUES},
 width AS (SELECT count(*) AS n, max(pos) + 1 AS g FROM cell),
@@ -447,6 +455,10 @@ SELECT {AUDIT_QUANTILES}, max(s) = 1 AS quantiles_exact FROM cell, stride WHERE
     sql["stratified_holdout"] = f"WITH {SPLIT} {SPLIT_NAMES}"
     sql["stratified_folds"] = f"""
 WITH {FOLDED} SELECT cache_index, pid AS participant_barcode, cls AS cancer_type, fold FROM fd"""
+    sql["split_refusals"] = """
+SELECT 'repeated_participant' AS violation, o_custkey::VARCHAR AS key, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1
+UNION ALL
+SELECT 'repeated_index', (o_orderkey % 1000)::VARCHAR, count(*) FROM orders GROUP BY o_orderkey % 1000 HAVING count(*) > 1"""
     sql["stratified_holdout_orders"] = (
         "WITH ord AS (SELECT o_orderkey AS cache_index, o_orderkey::VARCHAR AS pid, o_orderpriority AS cls FROM orders),"
         + holdout_of("ord", "sp")

@@ -66,6 +66,22 @@ def melt_matrix(spark, sf):
     return cells.select("cache_index", "gene_index", F.round(_finite(F.col("value").cast("double")), 6).alias("value"))
 
 
+@query
+def built_matrix(spark, sf):
+    """From wide text to the labelled matrix, as one job: header, cohort, melt, blocks, rows."""
+    lines = roles.wide_lines(spark, sf)
+    barcodes = wide_text.header(lines)
+    primary = cohort.number_manifest(barcodes.where(bc.barcode_struct(F.col("barcode"))["is_primary"]))
+    long = wide_text.melt(wide_text.gene_rows(lines), primary, barcodes.count())
+    samples = primary.select("cache_index", F.col("barcode").alias("participant_barcode"), F.concat(F.lit("C"), F.col("cache_index") % 3).alias("cancer_type"))
+    whole = F.aggregate("features", F.lit(0.0), lambda a, v: a + F.coalesce(_finite(v.cast("double")), F.lit(0.0)))
+    missing = F.size(F.filter("features", lambda v: ~matrix.is_finite(v)))
+    return matrix.build_matrix(long, samples).select(
+        "cache_index", F.upper("participant_barcode").alias("participant_barcode"), "cancer_type",
+        F.size("features").alias("n_features"), missing.alias("n_missing"), F.round(whole, 3).alias("total"),
+    )
+
+
 @query
 def matrix_blocks(spark, sf):
     blocks = matrix.to_blocks(_melted(spark, sf))
@@ -279,6 +295,13 @@ def audit_counters_lines(spark, sf):
     return rounded(found, ["negative_fraction", "zero_fraction", "minimum", "maximum"], 4)
 
 
+@query
+def audit_profile(spark, sf):
+    """Shape, counters and quantiles of a matrix in one row."""
+    found = audit.profile(roles.matrix(spark, sf, missing=True))
+    return rounded(found, ["negative_fraction", "zero_fraction", "minimum", "maximum", *AUDIT_QUANTILE_NAMES])
+
+
 @query
 def audit_quantiles(spark, sf):
     return rounded(audit.quantiles(roles.matrix(spark, sf, missing=True)), AUDIT_QUANTILE_NAMES)
@@ -304,6 +327,15 @@ def stratified_folds(spark, sf):
     return split.folds(development, roles.FOLDS)
 
 
+@query
+def split_refusals(spark, sf):
+    """Orders taken as samples of their customers: what a split would refuse."""
+    samples = roles.table(spark, sf, "orders").select(
+        F.pmod("o_orderkey", F.lit(1000)).alias("cache_index"), F.col("o_custkey").cast("string").alias("participant_barcode")
+    )
+    return split.sample_violations(samples)
+
+
 @query
 def stratified_holdout_orders(spark, sf):
     samples = roles.table(spark, sf, "orders").select(

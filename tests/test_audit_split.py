@@ -168,3 +168,12 @@ def test_table_digest_sees_order_free_content(spark):
     doubled = frame.unionByName(frame.where("cache_index = 3"))
     assert of(frame) != of(doubled) and of(doubled)[0] == 31
     assert of(frame) != of(frame.withColumn("participant_barcode", F.when(F.col("cache_index") == 3, "x").otherwise(F.col("participant_barcode"))))
+
+
+def test_split_refuses_empty_tables_and_repeated_rows(spark):
+    schema = "cache_index bigint, participant_barcode string, cancer_type string"
+    rows = [(i, f"P{i}", "AB"[i % 2]) for i in range(12)]
+    assert split.holdout(spark.createDataFrame(rows, schema)).count() == 12
+    for bad, message in (([], "no samples"), ([*rows, (12, "P3", "A")], "repeated_participant 'P3' has 2"), ([*rows, (5, "P12", "B")], "repeated_index '5' has 2")):
+        with pytest.raises(ValueError, match=message):
+            split.holdout(spark.createDataFrame(bad, schema))
