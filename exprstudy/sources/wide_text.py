@@ -70,12 +70,12 @@ def header(lines: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def scan_stats(lines: DataFrame) -> DataFrame:
-    """One row ``(n_samples, n_genes)``."""
+    """One row ``(n_samples, n_genes)``; a table without a gene line is an error."""
     cells = F.when(F.col("line_index") == 0, F.size(fields(F.col("line"))) - 1)
     gene = (F.col("line_index") > 0) & (F.trim(F.translate("line", "\t", " ")) != "")
-    return lines.agg(
-        F.max(cells).cast("bigint").alias("n_samples"), F.count_if(gene).cast("bigint").alias("n_genes")
-    )
+    counted = lines.agg(F.max(cells).cast("bigint").alias("n_samples"), F.count_if(gene).cast("bigint").alias("n_genes"))
+    nothing = F.lit("the measurement table has a header but no gene line")
+    return counted.select("n_samples", fail_when(F.col("n_genes") == 0, nothing, F.col("n_genes")).alias("n_genes"))
 
 
 def gene_rows(lines: DataFrame) -> DataFrame:

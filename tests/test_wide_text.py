@@ -125,3 +125,25 @@ def test_manifest_and_gene_checks(spark):
     genes = spark.createDataFrame([(0,), (2,)], "gene_index int")
     rows = spark.createDataFrame([([1.0, 2.0],)], "features array<float>")
     assert tuple(tables.gene_table_check(genes, rows).first()) == (2, False, True)
+
+
+def test_a_table_without_gene_lines_is_an_error(spark):
+    lines = spark.createDataFrame([(0, "gene_id\tTCGA-AA-0001-01A"), (1, " \t")], "line_index bigint, line string")
+    with pytest.raises(PySparkException, match="no gene line"):
+        wide_text.scan_stats(lines).collect()
+
+
+def test_gene_buckets_need_no_shuffle(spark):
+    """A bucketed matrix is aggregated by gene without an exchange, holds all cells, and is not overwritten."""
+    name = "gene_buckets_of_a_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    long = spark.createDataFrame([(i % 7, i, float(i)) for i in range(200)], "gene_index int, cache_index bigint, value double")
+    sinks.write_gene_bucketed(long, name, 4)
+    try:
+        summed = spark.table(name).groupBy("gene_index").sum("value")
+        assert "Exchange" not in summed._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in summed.collect()} == {(g, float(sum(range(g, 200, 7)))) for g in range(7)}
+        with pytest.raises(PySparkException):
+            sinks.write_gene_bucketed(long, name, 4)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
