@@ -1,8 +1,9 @@
 """Development-only studies.
 
 Every study starts from a development matrix with a ``fold`` column; no function
-here accepts rows of the other side.  Preprocessing of all folds is one job, and
-each (fold, model) fit is an MLlib job over the rows prepared for that fold.
+here accepts rows of the other side.  Preprocessing of all folds is one job.  Linear
+models of all folds, budgets and kinds are fitted by one optimiser over one copy of
+the rows; PCA and tree models are an MLlib job for each fold.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.constants import CLASSICAL_MODELS, DEFAULT_FOLDS, DEFAULT_SEED, FOCUSED_PAIRS, GENE_BUDGETS, LINEAR_MODELS
 from exprstudy.functions.budgets import parse_budget, parse_budgets
-from exprstudy.operators import interpret, matrix, metrics, models, prep, split
+from exprstudy.operators import blockfit, interpret, matrix, metrics, models, prep, split
 from exprstudy.session import durable
 
 
@@ -52,6 +53,35 @@ class Outcome:
     coefficients: DataFrame | None
     importances: DataFrame | None
     selected: DataFrame
+    fits: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Request:
+    """One linear model to cross-validate, with the genes of one budget."""
+
+    name: str
+    budget: int | str = "all"
+    C: float = 1.0
+    l1_ratio: float | None = None
+    max_iter: int | None = None
+
+    def settings(self) -> dict:
+        loss, ratio, steps = LINEAR_DEFAULTS[self.name]
+        return {
+            "loss": loss,
+            "C": self.C,
+            "l1_ratio": ratio if self.l1_ratio is None else self.l1_ratio,
+            "max_iter": steps if self.max_iter is None else self.max_iter,
+        }
+
+
+#: loss, L1 share and most iterations of the linear models
+LINEAR_DEFAULTS = {
+    "logistic_l2": ("logistic", 0.0, 2_000),
+    "elastic_net": ("logistic", 0.5, 5_000),
+    "linear_svm": ("squared_hinge", 0.0, 10_000),
+}
 
 
 def freeze_folds(development: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -122,6 +152,103 @@ def predict(fitted, held_out: DataFrame, classes: Sequence[str]) -> DataFrame:
     )
 
 
+def _numbers(packed: DataFrame) -> dict[int, dict[str, np.ndarray]]:
+    """The packed parameters of each experiment as arrays; they are as large as the models."""
+    fields = ("gene_index", "median", "center", "scale")
+    found = packed.select("eval_fold", *[F.col("params")[name].alias(name) for name in fields]).collect()
+    return {
+        row["eval_fold"]: {
+            name: np.array([0 if v is None else v for v in row[name]], int if name == "gene_index" else float) for name in fields
+        }
+        for row in found
+    }
+
+
+def fit_linear(prepared: Prepared, requests: Sequence[Request]) -> list[Outcome]:
+    """Cross-validate all requests together: every step of the optimiser reads the rows once for all of them."""
+    blocks = blockfit.write_blocks(labelled(prepared.rows, prepared.classes), prepared.negative_policy)
+    packs = {
+        budget: durable(prep.pack(prep.select_k_best(prepared.params, budget)), "packed")
+        for budget in dict.fromkeys(r.budget for r in requests)
+    }
+    numbers = {budget: _numbers(packed) for budget, packed in packs.items()}
+    problems = []
+    for request in requests:
+        for experiment in range(prepared.k):
+            if experiment not in numbers[request.budget]:
+                raise ValueError(f"fold {experiment} has no usable gene to fit on")
+            p = numbers[request.budget][experiment]
+            problems.append(
+                blockfit.Problem(
+                    experiment, p["gene_index"], p["median"], p["center"], p["scale"],
+                    prepared.training_counts(experiment), **request.settings(),
+                )
+            )
+    fitted = blockfit.fit_all(blocks, problems)
+    outcomes = []
+    for at, request in enumerate(requests):
+        part = slice(at * prepared.k, (at + 1) * prepared.k)
+        outcomes.append(_linear_outcome(prepared, packs[request.budget], request, fitted[part]))
+    return outcomes
+
+
+def _linear_outcome(prepared: Prepared, packed: DataFrame, request: Request, fitted: Sequence[blockfit.Fitted]) -> Outcome:
+    spark = prepared.rows.sparkSession
+    experiments = range(prepared.k)
+    rows = [(e, f.weights.tolist(), f.intercepts.tolist()) for e, f in zip(experiments, fitted)]
+    table = durable(spark.createDataFrame(rows, "eval_fold int, weights array<array<double>>, intercepts array<double>"), "weights")
+    selected = packed.select("eval_fold", F.posexplode("params").alias("position", "p")).select(
+        F.col("eval_fold").alias("fold"), "position", F.col("p.gene_index").alias("gene_index")
+    )
+    matrices = [np.vstack([-f.weights, f.weights]) if len(prepared.classes) == 2 else f.weights for f in fitted]
+    weights = _parameter_table(prepared.rows, experiments, matrices, prepared.classes, "coefficient")
+    coefficients = weights.join(selected, ["fold", "position"]).select("fold", "class", "gene_index", "coefficient")
+    ends = [(e, f.iterations, f.gradient, f.converged) for e, f in zip(experiments, fitted)]
+    fits = spark.createDataFrame(ends, "fold int, iterations int, gradient double, converged boolean")
+    held_out = prepared.rows.withColumn("eval_fold", F.col("fold"))
+    predictions = score_linear(held_out, packed, table, prepared, LINEAR_DEFAULTS[request.name][0])
+    return Outcome(predictions, coefficients, None, selected.select("fold", "gene_index"), fits)
+
+
+def _chances(margins, two: bool):
+    if two:
+        second = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.get(margins, F.lit(0))))
+        return F.array(F.lit(1.0) - second, second)
+    raised = F.transform(margins, lambda m: F.exp(m - F.array_max(margins)))
+    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+
+
+def linear_margins(rows: DataFrame, packed: DataFrame, weights: DataFrame, negative_policy: str) -> DataFrame:
+    """``x`` and ``margins`` of rows with ``eval_fold``, by the model of that experiment."""
+    experiments = [r[0] for r in weights.select("eval_fold").collect()]  # one row for each experiment
+    here = rows.withColumnRenamed("eval_fold", "experiment")
+    design = prep.transform(here, packed, experiments, negative_policy).where("eval_fold = experiment").drop("experiment")
+    product = F.zip_with(
+        "weights",
+        "intercepts",
+        lambda w, b: F.aggregate(F.zip_with("x", w, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v) + b,
+    )
+    return design.join(weights, "eval_fold").withColumn("margins", product).drop("weights", "intercepts")
+
+
+def score_linear(rows: DataFrame, packed: DataFrame, weights: DataFrame, prepared: Prepared, loss: str) -> DataFrame:
+    """Predictions in the form of :func:`predict`; probabilities for the logistic loss, margins for the hinge."""
+    two = len(prepared.classes) == 2
+    found = linear_margins(rows, packed, weights, prepared.negative_policy)
+    first = F.get("margins", F.lit(0))
+    position = F.when(first > 0, 1).otherwise(0) if two else F.array_position("margins", F.array_max("margins")).cast("int") - 1
+    plain = F.array(-first, first) if two else F.col("margins")
+    return found.select(
+        "cache_index",
+        "participant_barcode",
+        "fold",
+        F.col("cancer_type").alias("true_label"),
+        F.get(F.array(*[F.lit(c) for c in prepared.classes]), position).alias("predicted_label"),
+        (_chances("margins", two) if loss == "logistic" else plain).alias("scores"),
+        (first if two else F.lit(None).cast("double")).alias("margin"),
+    )
+
+
 def _parameter_table(rows: DataFrame, experiments: Sequence[int], arrays: Sequence[np.ndarray], classes: Sequence[str] | None, value: str):
     """Model parameters (driver side in MLlib) as a table keyed by experiment and feature position."""
     frames = []
@@ -155,6 +282,8 @@ def cross_validate(
         return _prior_outcome(prepared)
     if name not in models.MODEL_NAMES:
         raise ValueError(f"unknown model {name!r}; choose from {models.MODEL_NAMES}")
+    if name in LINEAR_MODELS:
+        return fit_linear(prepared, [Request(name, budget, **params)])[0]
     scaled = name != "boosted_trees"
     # the selection is small and fixed, so it is written once and every fit reads it
     packed = durable(prep.pack(prep.select_k_best(prepared.params, budget)), "packed")
@@ -222,9 +351,12 @@ def benchmark(
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
     prepared = prepare(freeze_folds(development, k, seed), k, scaler, negative_policy)
+    given = model_params or {}
+    linear = [name for name in wanted if name in LINEAR_MODELS]
+    together = dict(zip(linear, fit_linear(prepared, [Request(name, **given.get(name, {})) for name in linear]))) if linear else {}
     parts = None
     for name in wanted:
-        outcome = cross_validate(prepared, name, seed=seed, parallelism=parallelism, **(model_params or {}).get(name, {}))
+        outcome = together.get(name) or cross_validate(prepared, name, seed=seed, parallelism=parallelism, **given.get(name, {}))
         rows = outcome.predictions.select(F.lit(name).alias("model"), "fold", "true_label", "predicted_label")
         parts = rows if parts is None else parts.unionByName(rows)
     return metrics.metric_summary(metrics.overall(parts, ["model", "fold"]), ["model"])
@@ -251,8 +383,8 @@ def feature_budget(
         raise ValueError(f"feature-budget model must be one of {LINEAR_MODELS}")
     prepared = prepare(freeze_folds(development, k, seed), k, scaler, negative_policy)
     predictions = coefficients = None
-    for budget in parse_budgets(budgets):
-        outcome = cross_validate(prepared, name, budget, seed, parallelism, **params)
+    wanted = list(parse_budgets(budgets))
+    for budget, outcome in zip(wanted, fit_linear(prepared, [Request(name, budget, **params) for budget in wanted])):
         key = F.lit(str(budget)).alias("gene_budget")
         rows = outcome.predictions.select(key, "fold", "true_label", "predicted_label")
         weights = outcome.coefficients.select(key, "*")
