@@ -39,6 +39,8 @@ HEADLINE = (
     "run_speedup",
     "cv_logistic_l2",
     "cv_elastic_net",
+    "cv_linear_svm",
+    "budget_study",
     "cv_pca_logistic",
     "final_holdout_metrics",
 )

@@ -13,7 +13,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprstudy.constants import FINAL_SCOPE, SPLITS
+from exprstudy.constants import FINAL_SCOPE, LINEAR_MODELS, SPLITS
 from exprstudy.functions.checks import assert_no_violations
 from exprstudy.operators import lock, matrix, metrics, models, prep, split
 from exprstudy.plans import studies
@@ -42,6 +42,13 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
     known = ("pca_components", "n_estimators", "max_depth", "learning_rate", "subsample", "colsample",
              "min_child_weight", "gamma", "max_bin")
     params = {key: chosen[key] for key in known if key in chosen} | overrides
+    holdout = matrix.join_split(rows, split_manifest, SPLITS[1]).withColumn("fold", F.lit(0))
+    if name in LINEAR_MODELS:
+        request = studies.Request(name, chosen.get("gene_budget", "all"), **params)
+        outcome = studies.fit_linear(prepared, [request], holdout)[0]
+        loss = request.settings()["loss"]
+        how = {"model": name, "classes": prepared.classes, "negative_policy": policy, "scaled": True, "loss": loss}
+        return _results(name, prepared.classes, outcome.weights, outcome.packed, how, outcome.predictions)
     packed = durable(prep.pack(prep.select_k_best(prepared.params, chosen.get("gene_budget", "all"))), "packed")
     if name == "pca_logistic":
         width = packed.select(F.size("params")).first()[0]
@@ -50,16 +57,20 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
             raise ValueError(f"locked PCA components exceed the final-fit maximum ({largest})")
         params["components"] = params.pop("pca_components")
     # held-out rows play fold 0 of the single experiment 0
-    holdout = matrix.join_split(rows, split_manifest, SPLITS[1]).withColumn("fold", F.lit(0))
     both = studies.Prepared(
         development.unionByName(holdout), prepared.params, prepared.classes, prepared.sizes, 1, policy
     )
     fitted, held_out = studies.fit_experiment(both, packed, name, 0, chosen["seed"], name != "boosted_trees", params)
-    predictions = durable(studies.predict(fitted, held_out, prepared.classes), "final-predictions")
+    how = {"model": name, "classes": prepared.classes, "negative_policy": policy, "scaled": name != "boosted_trees"}
+    return _results(name, prepared.classes, fitted, packed, how, studies.predict(fitted, held_out, prepared.classes))
+
+
+def _results(name: str, classes: list[str], fitted, packed: DataFrame, how: dict, scored: DataFrame) -> dict:
+    predictions = durable(scored, "final-predictions")
     overall = metrics.overall(predictions).withColumn("_k", F.lit(1))
     if name in models.WITH_PROBABILITY:
-        chances = metrics.log_loss(predictions, prepared.classes).withColumn("_k", F.lit(1))
-        areas = metrics.macro_auc(predictions, prepared.classes).withColumn("_k", F.lit(1))
+        chances = metrics.log_loss(predictions, classes).withColumn("_k", F.lit(1))
+        areas = metrics.macro_auc(predictions, classes).withColumn("_k", F.lit(1))
         overall = overall.join(chances, "_k").join(areas, "_k")
     else:
         overall = overall.select(
@@ -71,7 +82,7 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
     return {
         "model": fitted,
         "parameters": packed,
-        "description": {"model": name, "classes": prepared.classes, "negative_policy": policy, "scaled": name != "boosted_trees"},
+        "description": how,
         "predictions": predictions,
         "metrics": overall.drop("_k"),
         "per_class": metrics.per_class(predictions),
@@ -82,7 +93,10 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
 
 def save_model(spark: SparkSession, results: dict, outdir: str) -> None:
     """Write what scoring new rows needs: the model, the parameters of its features, and how they are used."""
-    results["model"].write().save(f"{outdir}/model")
+    if "loss" in results["description"]:  # linear models are a table of weights
+        write_table(results["model"], f"{outdir}/model")
+    else:
+        results["model"].write().save(f"{outdir}/model")
     write_table(results["parameters"], f"{outdir}/parameters")
     create_document(spark, f"{outdir}/model.json", results["description"])
 
@@ -91,8 +105,12 @@ def load_and_score(spark: SparkSession, outdir: str, rows: DataFrame) -> DataFra
     """Predictions of a saved model for matrix rows with ``cancer_type`` (null where it is not known)."""
     how = read_document(spark, f"{outdir}/model.json")
     packed = spark.read.parquet(f"{outdir}/parameters")
+    rows = rows.withColumn("fold", F.lit(0))
+    if "loss" in how:
+        weights = spark.read.parquet(f"{outdir}/model")
+        return studies.score_linear(rows, packed, weights, how["classes"], how["negative_policy"], how["loss"])
     model = DefaultParamsReader.loadParamsInstance(f"{outdir}/model", spark)
-    design = prep.transform(rows.withColumn("fold", F.lit(0)), packed, [0], how["negative_policy"], how["scaled"])
+    design = prep.transform(rows, packed, [0], how["negative_policy"], how["scaled"])
     design = models.as_vectors(studies.labelled(design, how["classes"]))
     return studies.predict(model, design, how["classes"])
 

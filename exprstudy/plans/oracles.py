@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from exprstudy.constants import DEFAULT_SEED, RNA_PLATFORM
+from exprstudy.constants import CLASSICAL_MODELS, DEFAULT_SEED, GENE_BUDGETS, RNA_PLATFORM
 
 K = 5
 TOP = 20
@@ -676,17 +676,30 @@ pc AS (
          CASE WHEN sum(support) = 0 THEN 0 ELSE sum(hit) / sum(support)::DOUBLE END AS recall,
          2 * sum(hit) / (sum(support) + sum(called))::DOUBLE AS f1 FROM side GROUP BY fold, class)
 {overall_of('fold')}"""
-    sql["cv_benchmark_shape"] = """
-SELECT model, metric FROM (SELECT unnest(['dummy', 'logistic_l2', 'elastic_net']) AS model)
-CROSS JOIN (SELECT unnest(['macro_f1', 'weighted_f1', 'balanced_accuracy', 'accuracy']) AS metric)"""
+    # every parameter of every fold (a weight for each usable gene and class, and the intercepts) is optimal
+    for name in ("logistic_l2", "elastic_net", "linear_svm"):
+        sql[f"cv_{name}_kkt"] = f"""
+WITH {training(False)}, c AS (SELECT eval_fold, count(DISTINCT cls) AS n FROM per_class GROUP BY 1)
+SELECT eval_fold AS fold, any_value(c.n) * (count(*) + 1) AS n_parameters, count(*) AS n_genes, 0::BIGINT AS n_not_optimal
+FROM best JOIN c USING (eval_fold) GROUP BY 1"""
+    sql["cv_benchmark_shape"] = f"""
+WITH {FOLDED}, m AS (SELECT unnest({list(CLASSICAL_MODELS)}) AS model),
+q AS (SELECT unnest(['macro_f1', 'weighted_f1', 'balanced_accuracy', 'accuracy']) AS metric)
+SELECT model, metric, count(DISTINCT fold) AS n_folds FROM fd, m, q GROUP BY 1, 2"""
+    budgets = [(str(b), 1_000_000_000 if b == "all" else b) for b in GENE_BUDGETS]
     sql["budget_study_shape"] = f"""
 WITH {training(False)},
-b AS (SELECT unnest(['5', '20', 'all']) AS budget, unnest([5, 20, 1000000]) AS most)
+b AS (SELECT unnest({[name for name, _ in budgets]}) AS budget, unnest({[most for _, most in budgets]}) AS most)
 SELECT b.budget AS gene_budget, t.gene AS gene_index, 'G' || t.gene AS symbol, count(*) AS selected_folds
 FROM best t JOIN b ON t.rk <= b.most GROUP BY 1, 2, 3"""
-    sql["pair_study_shape"] = f"""
-WITH {DEV}, pair AS (SELECT * FROM dev WHERE cls IN ('C3', 'C9')), {folds_of('pair', 'pf')}
-SELECT cache_index, pid AS participant_barcode, cls AS true_label, fold FROM pf"""
+    pair = [("c3_c9", "pa", "'C3', 'C9'"), ("c1_c2", "pb", "'C1', 'C2'")]
+    parts = ", ".join(f"{t} AS (SELECT * FROM dev WHERE cls IN ({names})), {folds_of(t, t + 'f')}" for _, t, names in pair)
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS pair, cache_index, pid AS participant_barcode, cls AS true_label, fold FROM {t}f" for name, t, _ in pair
+    )
+    sql["pair_study_shape"] = f"WITH {DEV}, {parts} {rows}"
+    sql["final_reload_agrees"] = f"""
+WITH {SPLIT} SELECT cls AS true_label, count(*) AS n_rows, 0::BIGINT AS n_differ FROM sp WHERE split = 'holdout' GROUP BY 1"""
     sql["final_holdout_metrics_shape"] = f"""
 WITH {SPLIT} SELECT cache_index, pid AS participant_barcode, cls AS true_label FROM sp WHERE split = 'holdout'"""
     return sql

@@ -711,19 +711,16 @@ def run_speedup(spark, sf):
 
 # --- models ---------------------------------------------------------------
 
-# small iteration counts keep the check quick; the library defaults are the full ones
-QUICK = {
-    "logistic_l2": {"max_iter": 10},
-    "elastic_net": {"max_iter": 10},
-    "linear_svm": {"max_iter": 3, "ovr_parallelism": 5},
-    "pca_logistic": {"pca_components": 10, "max_iter": 10},
-    "boosted_trees": {"n_estimators": 2, "max_depth": 2, "max_bin": 16, "ovr_parallelism": 5},
-}
+# MLlib's trees grow one by one, a job for each level of each tree, class and fold; see the README
+FEW_TREES = {"n_estimators": 2, "max_depth": 2, "max_bin": 16, "ovr_parallelism": 5}
+FITTED = ("logistic_l2", "elastic_net", "linear_svm", "pca_logistic", "boosted_trees")
+PAIRS = {"c3_c9": ("C3", "C9"), "c1_c2": ("C1", "C2")}
 
 
 def _cross_validated(spark, sf, name: str) -> studies.Outcome:
     prepared = studies.prepare(roles.folded(spark, sf), roles.FOLDS, negative_policy="clip")
-    return studies.cross_validate(prepared, name, TOP, parallelism=5, **QUICK.get(name, {}))
+    params = FEW_TREES if name == "boosted_trees" else {}
+    return studies.cross_validate(prepared, name, parallelism=5, **params)
 
 
 def _scores(name: str) -> Query:
@@ -748,7 +745,25 @@ def _shape(name: str) -> Query:
     return run
 
 
-for _name in QUICK:
+def _optimality(name: str) -> Query:
+    """Parameters of each fold's model, and those whose derivative is not zero at the fitted point."""
+
+    def run(spark, sf):
+        prepared = studies.prepare(roles.folded(spark, sf), roles.FOLDS, negative_policy="clip")
+        request = studies.Request(name)
+        found = studies.optimality(prepared, studies.fit_linear(prepared, [request])[0], request)
+        return found.groupBy("fold").agg(
+            F.count(F.lit(1)).alias("n_parameters"),
+            F.count_distinct("gene_index").alias("n_genes"),
+            F.count_if(~(F.col("violation") <= 1e-5)).cast("bigint").alias("n_not_optimal"),
+        )
+
+    return run
+
+
+for _name in FITTED[:3]:
+    REGISTRY[f"cv_{_name}_kkt"] = _optimality(_name)
+for _name in FITTED:
     REGISTRY[f"cv_{_name}"] = _scores(_name)
     REGISTRY[f"cv_{_name}_shape"] = _shape(_name)
 
@@ -761,29 +776,18 @@ def cv_prior(spark, sf):
 
 @query
 def cv_benchmark(spark, sf):
-    names = ("dummy", "logistic_l2", "elastic_net")
-    found = studies.benchmark(
-        roles.development(spark, sf), names, roles.FOLDS, negative_policy="clip", model_params=QUICK, parallelism=5
-    )
+    found = studies.benchmark(roles.development(spark, sf), k=roles.FOLDS, negative_policy="clip", parallelism=5)
     return rounded(found.drop("fold_values"), ["mean", "std"])
 
 
 @query
 def cv_benchmark_shape(spark, sf):
-    return cv_benchmark(spark, sf).select("model", "metric")
+    found = studies.benchmark(roles.development(spark, sf), k=roles.FOLDS, negative_policy="clip", parallelism=5)
+    return found.select("model", "metric", F.size("fold_values").cast("bigint").alias("n_folds"))
 
 
 def _budgets(spark, sf) -> dict[str, DataFrame]:
-    return studies.feature_budget(
-        roles.development(spark, sf),
-        roles.genes(spark, sf),
-        "logistic_l2",
-        (5, TOP, "all"),
-        roles.FOLDS,
-        negative_policy="clip",
-        parallelism=5,
-        max_iter=10,
-    )
+    return studies.feature_budget(roles.development(spark, sf), roles.genes(spark, sf), k=roles.FOLDS, negative_policy="clip")
 
 
 @query
@@ -798,34 +802,51 @@ def budget_study_shape(spark, sf):
     return found.select("gene_budget", "gene_index", "symbol", "selected_folds")
 
 
-def _pair(spark, sf) -> dict[str, DataFrame]:
-    return studies.pair_study(
-        roles.development(spark, sf),
-        roles.genes(spark, sf),
-        ("C3", "C9"),
-        "logistic_l2",
-        TOP,
-        roles.FOLDS,
-        negative_policy="clip",
-        parallelism=5,
-        max_iter=10,
+def _pairs(spark, sf):
+    return studies.pair_studies(
+        roles.development(spark, sf), roles.genes(spark, sf), PAIRS, k=roles.FOLDS, negative_policy="clip"
     )
 
 
 @query
 def pair_study(spark, sf):
-    return rounded(_pair(spark, sf)["metrics"], metrics.OVERALL)
+    return rounded(_pairs(spark, sf)[1], ["macro_f1", "balanced_accuracy"])
 
 
 @query
 def pair_study_shape(spark, sf):
-    return _pair(spark, sf)["predictions"].select("cache_index", "participant_barcode", "true_label", "fold")
+    found = None
+    for (pair, _), study in _pairs(spark, sf)[0].items():
+        rows = study["predictions"].select(F.lit(pair).alias("pair"), "cache_index", "participant_barcode", "true_label", "fold")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def _final(spark, sf) -> dict[str, DataFrame]:
-    rows = roles.matrix(spark, sf)
-    selection = {"family": "linear_gene_budget", "model": "logistic_l2", "gene_budget": TOP, "negative_policy": "clip", "scaler": "standard", "seed": DEFAULT_SEED}
-    return final.fit_and_score(rows, roles.split_manifest(rows), selection, max_iter=10)
+    """Lock, gate, receipt, one evaluation, record."""
+    rows, genes, proof = roles.matrix(spark, sf), roles.genes(spark, sf), roles.evidence(spark, sf)
+    manifest = roles.split_manifest(rows)
+    folder = f"{shared_folder(spark)}/final/{uuid.uuid4().hex}"
+    selection = {
+        "candidate_id": "feature-budget:elastic_net:1000",
+        "selection_rationale": "the library default",
+        "pipeline": {"family": "linear_gene_budget", "model": "elastic_net", "negative_policy": "clip"},
+    }
+    lock.create(spark, f"{folder}/lock.json", selection, final.artifacts_of(rows, manifest, genes), proof)
+    found = final.run(spark, f"{folder}/lock.json", rows, manifest, genes, f"{folder}/out", f"{folder}/receipt", proof)
+    again = final.load_and_score(spark, f"{folder}/out", matrix.join_split(rows, manifest, "holdout"))
+    return {**found, "reloaded": again}
+
+
+@query
+def final_reload_agrees(spark, sf):
+    """Holdout rows by the recorded predictions, and those that the saved model calls otherwise."""
+    found = _final(spark, sf)
+    again = found["reloaded"].select("cache_index", F.col("predicted_label").alias("again"), F.col("scores").alias("scores_again"))
+    joined = found["predictions"].join(again, "cache_index", "left")
+    close = F.forall(F.zip_with("scores", "scores_again", lambda a, b: F.abs(a - b) <= 1e-9), lambda v: v)
+    same = F.coalesce((F.col("again") == F.col("predicted_label")) & close, F.lit(False))
+    return joined.groupBy("true_label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).cast("bigint").alias("n_differ"))
 
 
 @query

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exprstudy.constants import CLASSICAL_MODELS, DEFAULT_FOLDS, DEFAULT_SEED, FOCUSED_PAIRS, GENE_BUDGETS, LINEAR_MODELS
@@ -54,6 +54,8 @@ class Outcome:
     importances: DataFrame | None
     selected: DataFrame
     fits: DataFrame | None = None
+    packed: DataFrame | None = None
+    weights: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -164,8 +166,13 @@ def _numbers(packed: DataFrame) -> dict[int, dict[str, np.ndarray]]:
     }
 
 
-def fit_linear(prepared: Prepared, requests: Sequence[Request]) -> list[Outcome]:
-    """Cross-validate all requests together: every step of the optimiser reads the rows once for all of them."""
+def fit_linear(prepared: Prepared, requests: Sequence[Request], held_out: DataFrame | None = None) -> list[Outcome]:
+    """Fit all requests together: every step of the optimiser reads the rows once for all of them.
+
+    Predictions are those of each fold by the model that did not see it, or of ``held_out``,
+    whose ``fold`` then names the experiment.
+    """
+    scored = prepared.rows if held_out is None else held_out
     blocks = blockfit.write_blocks(labelled(prepared.rows, prepared.classes), prepared.negative_policy)
     packs = {
         budget: durable(prep.pack(prep.select_k_best(prepared.params, budget)), "packed")
@@ -188,11 +195,11 @@ def fit_linear(prepared: Prepared, requests: Sequence[Request]) -> list[Outcome]
     outcomes = []
     for at, request in enumerate(requests):
         part = slice(at * prepared.k, (at + 1) * prepared.k)
-        outcomes.append(_linear_outcome(prepared, packs[request.budget], request, fitted[part]))
+        outcomes.append(_linear_outcome(prepared, packs[request.budget], request, fitted[part], scored))
     return outcomes
 
 
-def _linear_outcome(prepared: Prepared, packed: DataFrame, request: Request, fitted: Sequence[blockfit.Fitted]) -> Outcome:
+def _linear_outcome(prepared: Prepared, packed: DataFrame, request: Request, fitted: Sequence[blockfit.Fitted], scored: DataFrame) -> Outcome:
     spark = prepared.rows.sparkSession
     experiments = range(prepared.k)
     rows = [(e, f.weights.tolist(), f.intercepts.tolist()) for e, f in zip(experiments, fitted)]
@@ -205,9 +212,9 @@ def _linear_outcome(prepared: Prepared, packed: DataFrame, request: Request, fit
     coefficients = weights.join(selected, ["fold", "position"]).select("fold", "class", "gene_index", "coefficient")
     ends = [(e, f.iterations, f.gradient, f.converged) for e, f in zip(experiments, fitted)]
     fits = spark.createDataFrame(ends, "fold int, iterations int, gradient double, converged boolean")
-    held_out = prepared.rows.withColumn("eval_fold", F.col("fold"))
-    predictions = score_linear(held_out, packed, table, prepared, LINEAR_DEFAULTS[request.name][0])
-    return Outcome(predictions, coefficients, None, selected.select("fold", "gene_index"), fits)
+    loss = LINEAR_DEFAULTS[request.name][0]
+    predictions = score_linear(scored, packed, table, prepared.classes, prepared.negative_policy, loss)
+    return Outcome(predictions, coefficients, None, selected.select("fold", "gene_index"), fits, packed, table)
 
 
 def _chances(margins, two: bool):
@@ -218,23 +225,74 @@ def _chances(margins, two: bool):
     return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def linear_margins(rows: DataFrame, packed: DataFrame, weights: DataFrame, negative_policy: str) -> DataFrame:
-    """``x`` and ``margins`` of rows with ``eval_fold``, by the model of that experiment."""
+def linear_margins(rows: DataFrame, packed: DataFrame, weights: DataFrame, negative_policy: str, wanted: Column) -> DataFrame:
+    """``x`` and ``margins`` of the (row, experiment) pairs that ``wanted`` picks by ``fold`` and ``eval_fold``."""
     experiments = [r[0] for r in weights.select("eval_fold").collect()]  # one row for each experiment
-    here = rows.withColumnRenamed("eval_fold", "experiment")
-    design = prep.transform(here, packed, experiments, negative_policy).where("eval_fold = experiment").drop("experiment")
+    design = prep.transform(rows, packed, experiments, negative_policy).where(wanted)
     product = F.zip_with(
         "weights",
         "intercepts",
         lambda w, b: F.aggregate(F.zip_with("x", w, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v) + b,
     )
-    return design.join(weights, "eval_fold").withColumn("margins", product).drop("weights", "intercepts")
+    return design.join(weights, "eval_fold").withColumn("margins", product)
+
+
+def optimality(prepared: Prepared, outcome: Outcome, request: Request) -> DataFrame:
+    """How far each parameter is from its optimum: ``(fold, class, gene_index, coefficient, violation)``.
+
+    The violation is the steepest one-sided derivative of the mean penalised loss over the
+    training rows, zero at the minimum, found from the row-wise features and the stored weights
+    alone.  One aggregate over (experiment, feature); the intercept has no ``gene_index``.
+    """
+    classes, settings = prepared.classes, request.settings()
+    columns = [classes[1]] if len(classes) == 2 else classes
+    rows = labelled(prepared.rows, classes)
+    found = linear_margins(rows, outcome.packed, outcome.weights, prepared.negative_policy, F.col("fold") != F.col("eval_fold"))
+    shares = []
+    for experiment in range(prepared.k):
+        counts = prepared.training_counts(experiment)
+        present = [n for n in counts if n > 0]
+        shares.append([sum(present) / (len(present) * n) if n else 0.0 for n in counts])
+    table = F.array(*[F.array(*[F.lit(v) for v in row]) for row in shares])
+    found = found.withColumn("own", F.get(F.get(table, F.col("eval_fold")), F.col("label").cast("int")))
+    residuals = []
+    for at, name in enumerate(columns):
+        here = F.col("cancer_type") == name
+        margin = F.get("margins", F.lit(at))
+        if settings["loss"] == "squared_hinge":
+            sign = F.when(here, 1.0).otherwise(-1.0)
+            cost = F.col("own") if len(columns) == 1 else F.when(here, F.col("own")).otherwise(1.0)
+            residuals.append(-2 * cost * sign * F.greatest(F.lit(0.0), 1 - sign * margin))
+        else:
+            chance = F.get(_chances("margins", len(columns) == 1), F.lit(at + (len(columns) == 1)))
+            residuals.append(F.col("own") * (chance - here.cast("double")))
+    cells = found.select("eval_fold", F.array(*residuals).alias("r"), F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("position", "v"))
+    sums = [F.sum(F.col("v") * F.get("r", F.lit(i))) for i in range(len(columns))]
+    slopes = cells.groupBy("eval_fold", "position").agg(F.array(*sums).alias("slope"))
+    sizes = F.array(*[F.lit(float(sum(prepared.training_counts(e)))) for e in range(prepared.k)])
+    joined = slopes.join(outcome.weights, "eval_fold").join(outcome.packed, "eval_fold")
+    each = joined.select(
+        F.col("eval_fold").alias("fold"),
+        F.get("params", F.col("position"))["gene_index"].alias("gene_index"),
+        F.get(sizes, F.col("eval_fold")).alias("n"),
+        F.posexplode(F.zip_with("slope", F.zip_with("weights", "intercepts", lambda w, b: F.get(F.concat(w, F.array(b)), F.col("position"))),
+                                lambda g, w: F.struct(g.alias("g"), w.alias("w")))).alias("at", "p"),
+    )
+    strength = F.lit(1.0) / (F.lit(settings["C"]) * F.col("n"))
+    if settings["loss"] == "logistic":
+        strength = F.when(F.col("gene_index").isNull(), 0.0).otherwise(strength)
+    w, l1 = F.col("p.w"), settings["l1_ratio"] * strength
+    slope = F.col("p.g") / F.col("n") + (1 - settings["l1_ratio"]) * strength * w
+    violation = F.when(w == 0, F.greatest(F.lit(0.0), F.abs(slope) - l1)).otherwise(F.abs(slope + F.signum(w) * l1))
+    return each.select(
+        "fold", F.get(F.array(*[F.lit(c) for c in columns]), F.col("at")).alias("class"), "gene_index", w.alias("coefficient"), violation.alias("violation")
+    )
 
 
-def score_linear(rows: DataFrame, packed: DataFrame, weights: DataFrame, prepared: Prepared, loss: str) -> DataFrame:
+def score_linear(rows: DataFrame, packed: DataFrame, weights: DataFrame, classes: Sequence[str], negative_policy: str, loss: str) -> DataFrame:
     """Predictions in the form of :func:`predict`; probabilities for the logistic loss, margins for the hinge."""
-    two = len(prepared.classes) == 2
-    found = linear_margins(rows, packed, weights, prepared.negative_policy)
+    two = len(classes) == 2
+    found = linear_margins(rows, packed, weights, negative_policy, F.col("fold") == F.col("eval_fold"))
     first = F.get("margins", F.lit(0))
     position = F.when(first > 0, 1).otherwise(0) if two else F.array_position("margins", F.array_max("margins")).cast("int") - 1
     plain = F.array(-first, first) if two else F.col("margins")
@@ -243,7 +301,7 @@ def score_linear(rows: DataFrame, packed: DataFrame, weights: DataFrame, prepare
         "participant_barcode",
         "fold",
         F.col("cancer_type").alias("true_label"),
-        F.get(F.array(*[F.lit(c) for c in prepared.classes]), position).alias("predicted_label"),
+        F.get(F.array(*[F.lit(c) for c in classes]), position).alias("predicted_label"),
         (_chances("margins", two) if loss == "logistic" else plain).alias("scores"),
         (first if two else F.lit(None).cast("double")).alias("margin"),
     )

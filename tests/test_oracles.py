@@ -11,11 +11,8 @@ import __spark_entry__ as driver
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = {name: sql for name, sql in driver.oracle_sql().items() if name in driver.catalogue.REGISTRY}
-# the fitted models are exercised by the study tests; here their cheap representatives suffice
-SLOW = {name for name in SQL if name.startswith("cv_") and name not in ("cv_metric_summary", "cv_prior")} | {
-    "budget_study_shape",
-    "pair_study_shape",
-}
+# one MLlib job for each fold, tree or component; the study tests exercise these
+SLOW = {"cv_boosted_trees_shape", "cv_pca_logistic_shape", "cv_benchmark_shape"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
 
