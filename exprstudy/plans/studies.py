@@ -217,12 +217,18 @@ def _linear_outcome(prepared: Prepared, packed: DataFrame, request: Request, fit
     return Outcome(predictions, coefficients, None, selected.select("fold", "gene_index"), fits, packed, table)
 
 
-def _chances(margins, two: bool):
+def _with_chances(rows: DataFrame, two: bool) -> DataFrame:
+    """Rows with ``margins`` and the class probabilities as ``chances``.
+
+    What all classes share is a column of its own; inside a lambda it would be found again for each.
+    """
     if two:
-        second = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.get(margins, F.lit(0))))
-        return F.array(F.lit(1.0) - second, second)
-    raised = F.transform(margins, lambda m: F.exp(m - F.array_max(margins)))
-    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+        second = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.get("margins", F.lit(0))))
+        return rows.withColumn("chances", F.array(F.lit(1.0) - second, second))
+    rows = rows.withColumn("top", F.array_max("margins"))
+    rows = rows.withColumn("raised", F.transform("margins", lambda m: F.exp(m - F.col("top"))))
+    rows = rows.withColumn("total", F.aggregate("raised", F.lit(0.0), lambda a, b: a + b))
+    return rows.withColumn("chances", F.transform("raised", lambda v: v / F.col("total"))).drop("top", "raised", "total")
 
 
 def linear_margins(rows: DataFrame, packed: DataFrame, weights: DataFrame, negative_policy: str, wanted: Column) -> DataFrame:
@@ -255,6 +261,8 @@ def optimality(prepared: Prepared, outcome: Outcome, request: Request) -> DataFr
         shares.append([sum(present) / (len(present) * n) if n else 0.0 for n in counts])
     table = F.array(*[F.array(*[F.lit(v) for v in row]) for row in shares])
     found = found.withColumn("own", F.get(F.get(table, F.col("eval_fold")), F.col("label").cast("int")))
+    if settings["loss"] == "logistic":
+        found = _with_chances(found, len(columns) == 1)
     residuals = []
     for at, name in enumerate(columns):
         here = F.col("cancer_type") == name
@@ -264,9 +272,11 @@ def optimality(prepared: Prepared, outcome: Outcome, request: Request) -> DataFr
             cost = F.col("own") if len(columns) == 1 else F.when(here, F.col("own")).otherwise(1.0)
             residuals.append(-2 * cost * sign * F.greatest(F.lit(0.0), 1 - sign * margin))
         else:
-            chance = F.get(_chances("margins", len(columns) == 1), F.lit(at + (len(columns) == 1)))
+            chance = F.get("chances", F.lit(at + (len(columns) == 1)))
             residuals.append(F.col("own") * (chance - here.cast("double")))
-    cells = found.select("eval_fold", F.array(*residuals).alias("r"), F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("position", "v"))
+    # residuals belong to a row, so they are found before its cells are laid out
+    found = found.select("eval_fold", F.array(*residuals).alias("r"), F.concat("x", F.array(F.lit(1.0))).alias("x"))
+    cells = found.select("eval_fold", "r", F.posexplode("x").alias("position", "v"))
     sums = [F.sum(F.col("v") * F.get("r", F.lit(i))) for i in range(len(columns))]
     slopes = cells.groupBy("eval_fold", "position").agg(F.array(*sums).alias("slope"))
     sizes = F.array(*[F.lit(float(sum(prepared.training_counts(e)))) for e in range(prepared.k)])
@@ -296,13 +306,14 @@ def score_linear(rows: DataFrame, packed: DataFrame, weights: DataFrame, classes
     first = F.get("margins", F.lit(0))
     position = F.when(first > 0, 1).otherwise(0) if two else F.array_position("margins", F.array_max("margins")).cast("int") - 1
     plain = F.array(-first, first) if two else F.col("margins")
+    found = _with_chances(found, two) if loss == "logistic" else found
     return found.select(
         "cache_index",
         "participant_barcode",
         "fold",
         F.col("cancer_type").alias("true_label"),
         F.get(F.array(*[F.lit(c) for c in classes]), position).alias("predicted_label"),
-        (_chances("margins", two) if loss == "logistic" else plain).alias("scores"),
+        (F.col("chances") if loss == "logistic" else plain).alias("scores"),
         (first if two else F.lit(None).cast("double")).alias("margin"),
     )
 

@@ -135,3 +135,14 @@ def test_two_classes_and_scores(spark):
 def test_an_unfinished_fit_says_so(study):
     fits = studies.fit_linear(study, [studies.Request("logistic_l2", max_iter=1)])[0].fits.collect()
     assert all(not r["converged"] and r["iterations"] == 1 for r in fits)
+
+
+def test_certificates_tell_optima_from_other_points(spark, study):
+    for request in (studies.Request("logistic_l2"), studies.Request("elastic_net", C=0.2), studies.Request("linear_svm")):
+        outcome = studies.fit_linear(study, [request])[0]
+        found = studies.optimality(study, outcome, request).collect()
+        assert len(found) == 3 * 3 * (9 + 1) and sum(r["gene_index"] is None for r in found) == 9
+        assert max(r["violation"] for r in found) < 1e-5
+    early = studies.Request("logistic_l2", max_iter=1)
+    found = studies.optimality(study, studies.fit_linear(study, [early])[0], early)
+    assert found.where("violation > 1e-3").count() > 10
