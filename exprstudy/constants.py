@@ -64,8 +64,10 @@ BOOSTED_DEFAULTS = {
     "max_depth": 6,
     "learning_rate": 0.05,
     "subsample": 0.8,
-    "colsample": 0.5,
+    "colsample_bytree": 0.5,
     "min_child_weight": 1.0,
+    "reg_alpha": 0.0,
+    "reg_lambda": 1.0,
     "gamma": 0.0,
     "max_bin": 256,
 }

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import math
 import uuid
 
 import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,10 +24,10 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exprstudy.constants import BOOSTED_DEFAULTS, CLASSICAL_MODELS, DEFAULT_SEED
+from exprstudy.constants import CLASSICAL_MODELS, DEFAULT_SEED
 
 MODEL_NAMES = (*CLASSICAL_MODELS, "boosted_trees")
-WITH_PROBABILITY = ("logistic_l2", "elastic_net", "pca_logistic")
+WITH_PROBABILITY = ("logistic_l2", "elastic_net", "pca_logistic", "boosted_trees")
 
 
 def logistic(n_train: int, l1_ratio: float, max_iter: int, C: float = 1.0) -> LogisticRegression:
@@ -49,7 +48,7 @@ def pca_components(requested: int, n_features: int, training_sizes: Sequence[int
 
 
 def estimator(name: str, n_train: int, n_classes: int, seed: int = DEFAULT_SEED, **params) -> Estimator:
-    """The estimator of one model name except ``pca_logistic``; ``params`` override its defaults."""
+    """The estimator of one linear model name; ``params`` override its defaults."""
     if name == "logistic_l2":
         return logistic(n_train, 0.0, params.get("max_iter", 2_000), params.get("C", 1.0))
     if name == "elastic_net":
@@ -63,22 +62,6 @@ def estimator(name: str, n_train: int, n_classes: int, seed: int = DEFAULT_SEED,
             standardization=False,
             maxIter=params.get("max_iter", 10_000),
         )
-    elif name == "boosted_trees":
-        p = {**BOOSTED_DEFAULTS, **params}
-        binary = GBTClassifier(
-            featuresCol="x",
-            labelCol="label",
-            weightCol="weight",
-            maxIter=p["n_estimators"],
-            maxDepth=p["max_depth"],
-            stepSize=p["learning_rate"],
-            subsamplingRate=p["subsample"],
-            featureSubsetStrategy=str(p["colsample"]),
-            minInstancesPerNode=max(1, math.ceil(p["min_child_weight"])),
-            minInfoGain=p["gamma"],
-            maxBins=p["max_bin"],
-            seed=seed,
-        )
     else:
         raise ValueError(f"unknown model {name!r}; choose from {MODEL_NAMES}")
     if n_classes == 2:
@@ -123,13 +106,6 @@ def coefficient_matrix(fitted: Model, n_classes: int) -> np.ndarray | None:
     return np.vstack([-found[0], found[0]]) if found.shape[0] == 1 and n_classes == 2 else found
 
 
-def feature_importances(fitted: Model) -> np.ndarray | None:
-    parts = _parts(fitted)
-    if not hasattr(parts[0], "featureImportances"):
-        return None
-    return np.mean([part.featureImportances.toArray() for part in parts], axis=0)
-
-
 def principal_axes(train: DataFrame, components: int) -> list[Model]:
     """Stages that centre ``x`` and project it onto the principal axes of ``train``, as ``pc``.
 

@@ -13,7 +13,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprstudy.constants import FINAL_SCOPE, LINEAR_MODELS, SPLITS
+from exprstudy.constants import BOOSTED_DEFAULTS, FINAL_SCOPE, LINEAR_MODELS, SPLITS
 from exprstudy.functions.checks import assert_no_violations
 from exprstudy.operators import lock, matrix, metrics, models, prep, split
 from exprstudy.plans import studies
@@ -39,8 +39,7 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
     development = matrix.development_matrix(rows, split_manifest).withColumn("fold", F.lit(prep.WHOLE_FOLD))
     prepared = studies.prepare(development, 1, chosen.get("scaler", "standard"), policy)
     name = MODEL_OF_FAMILY.get(chosen["family"], chosen.get("model"))
-    known = ("pca_components", "n_estimators", "max_depth", "learning_rate", "subsample", "colsample",
-             "min_child_weight", "gamma", "max_bin")
+    known = ("pca_components", *BOOSTED_DEFAULTS)
     params = {key: chosen[key] for key in known if key in chosen} | overrides
     holdout = matrix.join_split(rows, split_manifest, SPLITS[1]).withColumn("fold", F.lit(0))
     if name in LINEAR_MODELS:
@@ -49,6 +48,13 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
         loss = request.settings()["loss"]
         how = {"model": name, "classes": prepared.classes, "negative_policy": policy, "scaled": True, "loss": loss}
         return _results(name, prepared.classes, outcome.weights, outcome.packed, how, outcome.predictions)
+    if name == "boosted_trees":
+        outcome = studies.fit_trees(prepared, chosen["gene_budget"], chosen["seed"], holdout, **params)
+        how = {"model": name, "classes": prepared.classes, "negative_policy": policy, "scaled": False}
+        return {
+            **_results(name, prepared.classes, outcome.weights, outcome.packed, how, outcome.predictions),
+            "importances": outcome.importances.select("gene_index", "importance"),
+        }
     packed = durable(prep.pack(prep.select_k_best(prepared.params, chosen.get("gene_budget", "all"))), "packed")
     if name == "pca_logistic":
         width = packed.select(F.size("params")).first()[0]
@@ -60,8 +66,8 @@ def fit_and_score(rows: DataFrame, split_manifest: DataFrame, selection: dict, *
     both = studies.Prepared(
         development.unionByName(holdout), prepared.params, prepared.classes, prepared.sizes, 1, policy
     )
-    fitted, held_out = studies.fit_experiment(both, packed, name, 0, chosen["seed"], name != "boosted_trees", params)
-    how = {"model": name, "classes": prepared.classes, "negative_policy": policy, "scaled": name != "boosted_trees"}
+    fitted, held_out = studies.fit_experiment(both, packed, name, 0, chosen["seed"], True, params)
+    how = {"model": name, "classes": prepared.classes, "negative_policy": policy, "scaled": True}
     return _results(name, prepared.classes, fitted, packed, how, studies.predict(fitted, held_out, prepared.classes))
 
 
@@ -93,7 +99,7 @@ def _results(name: str, classes: list[str], fitted, packed: DataFrame, how: dict
 
 def save_model(spark: SparkSession, results: dict, outdir: str) -> None:
     """Write what scoring new rows needs: the model, the parameters of its features, and how they are used."""
-    if "loss" in results["description"]:  # linear models are a table of weights
+    if isinstance(results["model"], DataFrame):  # weights of linear models, or trees
         write_table(results["model"], f"{outdir}/model")
     else:
         results["model"].write().save(f"{outdir}/model")
@@ -109,6 +115,8 @@ def load_and_score(spark: SparkSession, outdir: str, rows: DataFrame) -> DataFra
     if "loss" in how:
         weights = spark.read.parquet(f"{outdir}/model")
         return studies.score_linear(rows, packed, weights, how["classes"], how["negative_policy"], how["loss"])
+    if how["model"] == "boosted_trees":
+        return studies.score_trees(rows, packed, spark.read.parquet(f"{outdir}/model"), how["classes"], how["negative_policy"])
     model = DefaultParamsReader.loadParamsInstance(f"{outdir}/model", spark)
     design = prep.transform(rows, packed, [0], how["negative_policy"], how["scaled"])
     design = models.as_vectors(studies.labelled(design, how["classes"]))
@@ -155,6 +163,8 @@ def run(
         results = fit_and_score(rows, split_manifest, document["selection"]["pipeline"], **overrides)
         for name in ("predictions", "confusion", "per_class", "errors"):
             write_table(results[name], f"{outdir}/{name}")
+        if "importances" in results:
+            write_table(results["importances"], f"{outdir}/importances")
         write_summary(results["metrics"], f"{outdir}/metrics")
         save_model(spark, results, outdir)
         digests = lock.artifact_digests(

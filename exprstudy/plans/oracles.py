@@ -682,6 +682,32 @@ pc AS (
 WITH {training(False)}, c AS (SELECT eval_fold, count(DISTINCT cls) AS n FROM per_class GROUP BY 1)
 SELECT eval_fold AS fold, any_value(c.n) * (count(*) + 1) AS n_parameters, count(*) AS n_genes, 0::BIGINT AS n_not_optimal
 FROM best JOIN c USING (eval_fold) GROUP BY 1"""
+    # all margins are zero in the first round, so a row of weight w has g = w (1/k - hit) and h = 2 w (1/k) (1 - 1/k)
+    sql["tree_first_splits"] = f"""
+WITH {training(False)},
+size AS (SELECT eval_fold, cls, count(DISTINCT cache_index) AS n FROM train GROUP BY 1, 2),
+own AS (SELECT eval_fold, cls, sum(n) OVER e / (count(*) OVER e * n::DOUBLE) AS w FROM size WINDOW e AS (PARTITION BY eval_fold)),
+k AS (SELECT count(DISTINCT cls)::DOUBLE AS k FROM fd),
+val AS (SELECT t.eval_fold, t.gene, t.x, t.cls, sum(o.w) AS w FROM train t JOIN own o USING (eval_fold, cls) GROUP BY 1, 2, 3, 4),
+every AS (SELECT eval_fold, gene, x, sum(w) AS w FROM val GROUP BY 1, 2, 3),
+grid AS (SELECT y.*, c.cls FROM every y JOIN (SELECT DISTINCT cls FROM fd) c ON true),
+running AS (
+  SELECT g.eval_fold, g.cls, g.gene, g.x, sum(g.w) OVER up AS lw, sum(coalesce(v.w, 0)) OVER up AS lc,
+         sum(g.w) OVER whole AS tw, sum(coalesce(v.w, 0)) OVER whole AS tc
+  FROM grid g LEFT JOIN val v USING (eval_fold, gene, x, cls)
+  WINDOW up AS (PARTITION BY g.eval_fold, g.cls, g.gene ORDER BY g.x), whole AS (PARTITION BY g.eval_fold, g.cls, g.gene)
+),
+sums AS (
+  SELECT r.*, lw / k - lc AS gl, (tw - lw) / k - (tc - lc) AS gr, 2 * lw / k * (1 - 1 / k) AS hl, 2 * (tw - lw) / k * (1 - 1 / k) AS hr
+  FROM running r, k
+),
+gains AS (
+  SELECT *, gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1) AS gain FROM sums WHERE hl >= 1 AND hr >= 1
+),
+first AS (SELECT *, row_number() OVER (PARTITION BY eval_fold, cls ORDER BY round(gain, 9) DESC, gene, x) AS r FROM gains)
+SELECT eval_fold AS fold, cls AS class, gene AS gene_index, round(x, 6) AS cut, round(gain, 6) AS gain,
+       round(-0.05 * gl / (hl + 1), 6) AS left_score, round(-0.05 * gr / (hr + 1), 6) AS right_score
+FROM first WHERE r = 1"""
     sql["cv_benchmark_shape"] = f"""
 WITH {FOLDED}, m AS (SELECT unnest({list(CLASSICAL_MODELS)}) AS model),
 q AS (SELECT unnest(['macro_f1', 'weighted_f1', 'balanced_accuracy', 'accuracy']) AS metric)
@@ -700,6 +726,7 @@ FROM best t JOIN b ON t.rk <= b.most GROUP BY 1, 2, 3"""
     sql["pair_study_shape"] = f"WITH {DEV}, {parts} {rows}"
     sql["final_reload_agrees"] = f"""
 WITH {SPLIT} SELECT cls AS true_label, count(*) AS n_rows, 0::BIGINT AS n_differ FROM sp WHERE split = 'holdout' GROUP BY 1"""
+    sql["final_trees_reload_agrees"] = sql["final_reload_agrees"]
     sql["final_holdout_metrics_shape"] = f"""
 WITH {SPLIT} SELECT cache_index, pid AS participant_barcode, cls AS true_label FROM sp WHERE split = 'holdout'"""
     return sql

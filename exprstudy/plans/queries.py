@@ -711,8 +711,8 @@ def run_speedup(spark, sf):
 
 # --- models ---------------------------------------------------------------
 
-# MLlib's trees grow one by one, a job for each level of each tree, class and fold; see the README
-FEW_TREES = {"n_estimators": 2, "max_depth": 2, "max_bin": 16, "ovr_parallelism": 5}
+# a level of the trees of all folds and classes is a job; 300 rounds take too long for a check, see the README
+FEW_TREES = {"n_estimators": 20}
 FITTED = ("logistic_l2", "elastic_net", "linear_svm", "pca_logistic", "boosted_trees")
 PAIRS = {"c3_c9": ("C3", "C9"), "c1_c2": ("C1", "C2")}
 
@@ -768,6 +768,35 @@ for _name in FITTED:
     REGISTRY[f"cv_{_name}_shape"] = _shape(_name)
 
 
+@query
+def tree_first_splits(spark, sf):
+    """The first split of every fold and class over all rows, features and values."""
+    prepared = studies.prepare(roles.folded(spark, sf), roles.FOLDS, negative_policy="clip")
+    whole = {"n_estimators": 1, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0, "max_bin": 4_096}
+    outcome = studies.fit_trees(prepared, **whole)
+    selected = outcome.packed.select("eval_fold", F.posexplode("params").alias("position", "p"))
+    names = F.array(*[F.lit(c) for c in prepared.classes])
+    splits = outcome.weights.select(
+        "eval_fold",
+        F.get(names, F.col("tree")).alias("class"),
+        F.get("features", F.lit(0)).alias("position"),
+        F.get("cuts", F.lit(0)).alias("cut"),
+        F.get("gains", F.lit(0)).alias("gain"),
+        F.get("scores", F.lit(1)).alias("left_score"),
+        F.get("scores", F.lit(2)).alias("right_score"),
+    )
+    found = splits.join(selected, ["eval_fold", "position"]).select(
+        F.col("eval_fold").alias("fold"), "class", F.col("p.gene_index").alias("gene_index"), "cut", "gain", "left_score", "right_score"
+    )
+    return rounded(found, ["cut", "gain", "left_score", "right_score"])
+
+
+@query
+def boosted_study(spark, sf):
+    found = studies.boosted_trees(roles.development(spark, sf), roles.genes(spark, sf), k=roles.FOLDS, negative_policy="clip", **FEW_TREES)
+    return rounded(found["importances"], ["selection_frequency", "mean_gain_importance"])
+
+
 @query
 def cv_prior(spark, sf):
     outcome = _cross_validated(spark, sf, "dummy")
@@ -822,15 +851,19 @@ def pair_study_shape(spark, sf):
     return found
 
 
-def _final(spark, sf) -> dict[str, DataFrame]:
+ELASTIC_NET = {"family": "linear_gene_budget", "model": "elastic_net", "negative_policy": "clip"}
+TREES = {"family": "xgboost", "negative_policy": "clip", **FEW_TREES}
+
+
+def _final(spark, sf, candidate: str = "feature-budget:elastic_net:1000", pipeline: dict = ELASTIC_NET) -> dict[str, DataFrame]:
     """Lock, gate, receipt, one evaluation, record."""
     rows, genes, proof = roles.matrix(spark, sf), roles.genes(spark, sf), roles.evidence(spark, sf)
     manifest = roles.split_manifest(rows)
     folder = f"{shared_folder(spark)}/final/{uuid.uuid4().hex}"
     selection = {
-        "candidate_id": "feature-budget:elastic_net:1000",
+        "candidate_id": candidate,
         "selection_rationale": "the library default",
-        "pipeline": {"family": "linear_gene_budget", "model": "elastic_net", "negative_policy": "clip"},
+        "pipeline": pipeline,
     }
     lock.create(spark, f"{folder}/lock.json", selection, final.artifacts_of(rows, manifest, genes), proof)
     found = final.run(spark, f"{folder}/lock.json", rows, manifest, genes, f"{folder}/out", f"{folder}/receipt", proof)
@@ -840,8 +873,22 @@ def _final(spark, sf) -> dict[str, DataFrame]:
 
 @query
 def final_reload_agrees(spark, sf):
+    return _agreement(_final(spark, sf))
+
+
+@query
+def final_trees_reload_agrees(spark, sf):
+    return _agreement(_final(spark, sf, "xgboost:cpu:1000", TREES))
+
+
+@query
+def final_trees_metrics(spark, sf):
+    found = _final(spark, sf, "xgboost:cpu:1000", TREES)["metrics"]
+    return rounded(found, [*metrics.OVERALL, "multiclass_log_loss", "ovr_roc_auc_macro"])
+
+
+def _agreement(found: dict[str, DataFrame]) -> DataFrame:
     """Holdout rows by the recorded predictions, and those that the saved model calls otherwise."""
-    found = _final(spark, sf)
     again = found["reloaded"].select("cache_index", F.col("predicted_label").alias("again"), F.col("scores").alias("scores_again"))
     joined = found["predictions"].join(again, "cache_index", "left")
     close = F.forall(F.zip_with("scores", "scores_again", lambda a, b: F.abs(a - b) <= 1e-9), lambda v: v)

@@ -3,7 +3,7 @@
 Every study starts from a development matrix with a ``fold`` column; no function
 here accepts rows of the other side.  Preprocessing of all folds is one job.  Linear
 models of all folds, budgets and kinds are fitted by one optimiser over one copy of
-the rows; PCA and tree models are an MLlib job for each fold.
+the rows, trees of all folds in step by another; PCA models are an MLlib job for each fold.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.constants import CLASSICAL_MODELS, DEFAULT_FOLDS, DEFAULT_SEED, FOCUSED_PAIRS, GENE_BUDGETS, LINEAR_MODELS
 from exprstudy.functions.budgets import parse_budget, parse_budgets
-from exprstudy.operators import blockfit, interpret, matrix, metrics, models, prep, split
+from exprstudy.operators import blockfit, interpret, matrix, metrics, models, prep, split, treefit
 from exprstudy.session import durable
 
 
@@ -304,16 +304,59 @@ def score_linear(rows: DataFrame, packed: DataFrame, weights: DataFrame, classes
     two = len(classes) == 2
     found = linear_margins(rows, packed, weights, negative_policy, F.col("fold") == F.col("eval_fold"))
     first = F.get("margins", F.lit(0))
+    if loss == "logistic":
+        return _called(_with_chances(found, two), classes, F.col("chances"))
+    return _called(found, classes, F.array(-first, first) if two else F.col("margins"))
+
+
+def fit_trees(prepared: Prepared, budget: int | str = "all", seed: int = DEFAULT_SEED, held_out: DataFrame | None = None, **params) -> Outcome:
+    """Boosted trees of all folds in step, on unscaled features; ``weights`` of the outcome holds the trees.
+
+    Predictions are those of each fold by the trees that did not see it, or of ``held_out``.
+    """
+    settings = treefit.Settings(seed=seed, **params)
+    spark, classes = prepared.rows.sparkSession, prepared.classes
+    experiments = list(range(prepared.k))
+    packed = durable(prep.pack(prep.select_k_best(prepared.params, budget)), "packed")
+    design = prep.transform(labelled(prepared.rows, classes), packed, experiments, prepared.negative_policy, False)
+    cuts = treefit.find_cuts(design, settings.max_bin)
+    missing = sorted(set(experiments) - set(cuts))
+    if missing:
+        raise ValueError(f"folds {missing} have no usable gene to fit on")
+    blocks = treefit.write_bins(design, cuts)
+    rounds = treefit.fit_all(blocks, {e: prepared.training_counts(e) for e in experiments}, cuts, settings)
+    trees = durable(treefit.table_of(spark, rounds, cuts), "trees")
+    selected = packed.select("eval_fold", F.posexplode("params").alias("position", "p")).select(
+        F.col("eval_fold").alias("fold"), "position", F.col("p.gene_index").alias("gene_index")
+    )
+    gains = _parameter_table(prepared.rows, experiments, [treefit.importances(rounds[e], len(cuts[e])) for e in experiments], None, "importance")
+    importances = gains.join(selected, ["fold", "position"]).select("fold", "gene_index", "importance")
+    scored = prepared.rows if held_out is None else held_out
+    predictions = score_trees(scored, packed, trees, classes, prepared.negative_policy)
+    return Outcome(predictions, None, importances, selected.select("fold", "gene_index"), None, packed, trees)
+
+
+def score_trees(rows: DataFrame, packed: DataFrame, trees: DataFrame, classes: Sequence[str], negative_policy: str) -> DataFrame:
+    """Predictions in the form of :func:`predict`, with class probabilities in the order of ``classes``."""
+    two = len(classes) == 2
+    experiments = [r[0] for r in packed.select("eval_fold").collect()]  # one row for each experiment
+    design = prep.transform(rows, packed, experiments, negative_policy, False).where(F.col("fold") == F.col("eval_fold"))
+    wanted = design.select("cache_index", "participant_barcode", "fold", "cancer_type", "eval_fold", "x")
+    return _called(_with_chances(treefit.score(wanted, trees, 1 if two else len(classes)), two), classes, F.col("chances"))
+
+
+def _called(found: DataFrame, classes: Sequence[str], scores: Column) -> DataFrame:
+    """The class of the largest margin, the first of equal ones; two classes have one margin."""
+    two = len(classes) == 2
+    first = F.get("margins", F.lit(0))
     position = F.when(first > 0, 1).otherwise(0) if two else F.array_position("margins", F.array_max("margins")).cast("int") - 1
-    plain = F.array(-first, first) if two else F.col("margins")
-    found = _with_chances(found, two) if loss == "logistic" else found
     return found.select(
         "cache_index",
         "participant_barcode",
         "fold",
         F.col("cancer_type").alias("true_label"),
         F.get(F.array(*[F.lit(c) for c in classes]), position).alias("predicted_label"),
-        (F.col("chances") if loss == "logistic" else plain).alias("scores"),
+        scores.alias("scores"),
         (first if two else F.lit(None).cast("double")).alias("margin"),
     )
 
@@ -353,12 +396,13 @@ def cross_validate(
         raise ValueError(f"unknown model {name!r}; choose from {models.MODEL_NAMES}")
     if name in LINEAR_MODELS:
         return fit_linear(prepared, [Request(name, budget, **params)])[0]
-    scaled = name != "boosted_trees"
+    if name == "boosted_trees":
+        return fit_trees(prepared, budget, seed, **params)
     # the selection is small and fixed, so it is written once and every fit reads it
     packed = durable(prep.pack(prep.select_k_best(prepared.params, budget)), "packed")
     experiments = list(range(prepared.k))
     job = inheritable_thread_target(prepared.rows.sparkSession)(
-        lambda e: fit_experiment(prepared, packed, name, e, seed, scaled, params)
+        lambda e: fit_experiment(prepared, packed, name, e, seed, True, params)
     )
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         fitted = list(pool.map(job, experiments))
@@ -369,16 +413,12 @@ def cross_validate(
     selected = packed.select("eval_fold", F.posexplode("params").alias("position", "p")).select(
         F.col("eval_fold").alias("fold"), "position", F.col("p.gene_index").alias("gene_index")
     )
-    coefficients = importances = None
+    coefficients = None
     matrices = [models.coefficient_matrix(model, len(prepared.classes)) for model, _ in fitted]
     if name != "pca_logistic" and matrices[0] is not None:
         table = _parameter_table(prepared.rows, experiments, matrices, prepared.classes, "coefficient")
         coefficients = table.join(selected, ["fold", "position"]).select("fold", "class", "gene_index", "coefficient")
-    gains = [models.feature_importances(model) for model, _ in fitted]
-    if gains[0] is not None:
-        table = _parameter_table(prepared.rows, experiments, gains, None, "importance")
-        importances = table.join(selected, ["fold", "position"]).select("fold", "gene_index", "importance")
-    return Outcome(predictions, coefficients, importances, selected.select("fold", "gene_index"))
+    return Outcome(predictions, coefficients, None, selected.select("fold", "gene_index"))
 
 
 def _prior_outcome(prepared: Prepared) -> Outcome:
