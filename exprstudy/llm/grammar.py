@@ -6,7 +6,8 @@ nonterminals, and their occurrences are replaced from the left; rounds go on unt
 is frequent.  Pairs inside words are counted over the distinct words of the shard, each
 with its number of occurrences; when none is left, every word is one or few symbols, and
 the rounds go on over the whole sequence.  Beside the rules stand their expansion lengths,
-so any range of ids is decoded from the symbols that cover it.
+so any range of ids is decoded from the symbols that cover it: ``read`` decodes whole shards,
+``read_documents`` only the ranges of the documents asked for.
 
 Columns of a shard: ``part`` and ``seq`` (its place in the order), ``n_tokens``,
 ``doc_ids``, ``doc_valid`` and ``doc_lengths``, ``rounds`` (rules made in each round),
@@ -42,8 +43,6 @@ SHARDS = (
 SHARD_BYTES = 8 << 20
 #: A pair is frequent from this many occurrences on, and from this share of the most frequent pair of its round.
 MIN_PAIRS, MIN_SHARE = 32, 1 / 64
-#: Rounds end when one saves less than this share of the symbols.
-MIN_SAVED = 1 / 50
 
 
 @dataclass
@@ -55,9 +54,12 @@ class Grammar:
     right: np.ndarray
     rounds: list[int]
     body: np.ndarray
+    expansions: np.ndarray | None = None
 
     def lengths(self) -> np.ndarray:
-        """Ids that each symbol stands for."""
+        """Ids that each symbol stands for, as stored or from the rules."""
+        if self.expansions is not None:
+            return np.concatenate([np.ones(self.n_terminals, np.int64), self.expansions])
         out = np.ones(self.n_terminals + len(self.left), np.int64)
         done = self.n_terminals
         for n in self.rounds:
@@ -83,15 +85,27 @@ class Grammar:
 
     def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """The ids ``first .. last`` of the shard, from the symbols that cover them."""
-        size = self.lengths()[self.body]
-        ends = np.cumsum(size)
-        last = int(ends[-1]) if last is None and len(ends) else last or 0
+        if first == 0 and last is None:
+            flat, at = self.expanded()
+            return flat[tx.ragged(at[self.body], np.diff(at)[self.body])]
+        ends = np.cumsum(self.lengths()[self.body])
+        return self.span(ends, first, int(ends[-1]) if last is None and len(ends) else last or 0)
+
+    def span(self, ends: np.ndarray, first: int, last: int) -> np.ndarray:
+        """The ids of a range, from nothing but the rules below the symbols that cover it."""
         a, b = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, last)
-        cover = self.body[a : b + 1]
-        flat, at = self.expanded()
-        ids = flat[tx.ragged(at[cover], np.diff(at)[cover])]
         before = int(ends[a - 1]) if a else 0
-        return ids[first - before : last - before]
+        ids = self.body[a : b + 1]
+        while True:
+            rule = ids - self.n_terminals
+            open_ = rule >= 0
+            if not open_.any():
+                return ids[first - before : last - before]
+            at = tx.offsets_of(1 + open_)[:-1]
+            wider = np.empty(len(ids) + int(open_.sum()), np.int64)
+            wider[at[~open_]] = ids[~open_]
+            wider[at[open_]], wider[at[open_] + 1] = self.left[rule[open_]], self.right[rule[open_]]
+            ids = wider
 
 
 def _round(symbols: np.ndarray, owner: np.ndarray | None, weight: np.ndarray | None, first_new: int, min_pairs: int):
@@ -127,12 +141,7 @@ def _round(symbols: np.ndarray, owner: np.ndarray | None, weight: np.ndarray | N
 
 
 def _rounds(symbols, owner, weight, made: list, first_new: int, min_pairs: int):
-    before = np.inf
-    while len(symbols) <= before * (1 - MIN_SAVED):
-        before = len(symbols)
-        found = _round(symbols, owner, weight, first_new, min_pairs)
-        if found is None:
-            break
+    while (found := _round(symbols, owner, weight, first_new, min_pairs)) is not None:
         symbols, owner, left, right = found
         made.append((left, right))
         first_new += len(left)
@@ -167,7 +176,7 @@ def _values(packed: bytes) -> np.ndarray:
 def _unpacked(row: dict, n_terminals: int) -> Grammar:
     rules = _values(row["rules"])
     half = len(rules) // 2
-    return Grammar(n_terminals, rules[:half], rules[half:], _values(row["rounds"]).tolist(), _values(row["body"]))
+    return Grammar(n_terminals, rules[:half], rules[half:], _values(row["rounds"]).tolist(), _values(row["body"]), _values(row["expansions"]))
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
@@ -251,10 +260,50 @@ def read(spark: SparkSession, path: str, tokenizer_path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    bodies = shards.drop("n_tokens", "expansions").join(placed, ["part", "seq"])
+    bodies = shards.drop("n_tokens").join(placed, ["part", "seq"])
     return bodies.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def read_documents(spark: SparkSession, path: str, tokenizer_path: str, wanted: DataFrame) -> DataFrame:
+    """``(doc_id, ids)`` of the documents whose id is in ``wanted.doc_id``, decoded by range.
+
+    The ids of the shards are read alone and joined; a shard without a wanted document is not
+    decoded, and in the others only the symbols that cover one are.  Ids wanted twice count
+    once, ids that the file lacks or that are null give no row, rows with one id give one each.
+    """
+    shards = spark.read.schema(SHARDS).parquet(path)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = np.flatnonzero(np.frombuffer(row["doc_valid"], np.uint8))
+                ids = np.frombuffer(row["doc_ids"], "<i8")[found]
+                names = ["part", "seq", "place", "doc_id"]
+                shard = [pa.array(np.full(len(ids), row[n]), pa.int32()) for n in names[:2]]
+                yield pa.RecordBatch.from_arrays([*shard, pa.array(found, pa.int32()), pa.array(ids)], names=names)
+
+    directory = shards.select("part", "seq", "doc_ids", "doc_valid").mapInArrow(places, "part int, seq int, place int, doc_id bigint")
+    asked = wanted.select(F.col("doc_id").cast("bigint")).distinct()
+    # places of a shard are bounded by its documents
+    chosen = directory.join(asked, "doc_id").groupBy("part", "seq").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_terminals = bpe.library_file(tokenizer_path).table.n_symbols
+        for batch in batches:
+            for row in batch.to_pylist():
+                grammar = _unpacked(row, n_terminals)
+                ends = np.cumsum(grammar.lengths()[grammar.body])
+                at = tx.offsets_of(np.frombuffer(row["doc_lengths"], "<i8"))
+                ids = np.frombuffer(row["doc_ids"], "<i8")
+                for place in row["places"]:
+                    found = grammar.span(ends, int(at[place]), int(at[place + 1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[place : place + 1]), pa.array([found.astype("<i4")], pa.list_(pa.int32()))], names=["doc_id", "ids"]
+                    )
+
+    return shards.drop("n_tokens").join(chosen, ["part", "seq"]).mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Write ``docs`` to a new file in the shared folder and read it back."""
     path = f"{shared_folder(docs.sparkSession)}/exprstudy/grammar-{uuid.uuid4().hex}"

@@ -481,6 +481,24 @@ def test_grammar_random_access():
     assert len(made.body) < len(which) and (made.decode() == flat).all()
     for a, b in [(0, 1), (17, 400), (len(flat) - 3, len(flat)), (500, 500)]:
         assert made.decode(a, b).tolist() == flat[a:b].tolist()
+    # no pair of neighbours is left that is as frequent as a rule must be
+    left = defaultdict(int)
+    at = 0
+    while at + 1 < len(made.body):
+        left[made.body[at], made.body[at + 1]] += 1
+        at += 1
+    assert max(left.values()) < 4
+
+
+def test_grammar_documents_by_range(spark, odd, tmp_path):
+    path = catalogue.tokenizer("word_bpe_49k.json")
+    grammar.write(odd, path, 2, f"{tmp_path}/shards")
+    known = [(i, t) for i, t in texts_of(odd) if i is not None]
+    wanted = sorted({i for i, _ in known})[::2]
+    asked = spark.createDataFrame([(i,) for i in [*wanted, wanted[0], 10**12, None]], "doc_id bigint")
+    got = sorted((r.doc_id, list(r.ids)) for r in grammar.read_documents(spark, f"{tmp_path}/shards", path, asked).collect())
+    assert got == sorted((i, library_ids("word_bpe_49k.json", t)) for i, t in known if i in wanted)
+    assert grammar.read_documents(spark, f"{tmp_path}/shards", path, asked.limit(0)).count() == 0
 
 
 def check_packing(rows, got):
