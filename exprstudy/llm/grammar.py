@@ -108,14 +108,20 @@ class Grammar:
             ids = wider
 
 
-def _round(symbols: np.ndarray, owner: np.ndarray | None, weight: np.ndarray | None, first_new: int, min_pairs: int):
-    """One round: the new symbols, owners, and the pairs that became rules."""
+def _round(symbols: np.ndarray, owner: np.ndarray | None, weight: np.ndarray | None, first_new: int, min_pairs: int, live: np.ndarray | None):
+    """One round: the new symbols, owners, the pairs that became rules, and where a frequent pair may still stand.
+
+    Counts of old pairs only fall, so once every pair of ``min_pairs`` became a rule, those left
+    out stay out; only pairs with a new symbol, and what is left of the frequent ones, are counted.
+    """
     if len(symbols) < 2:
         return None
     left, right = symbols[:-1], symbols[1:]
     # a frequent pair has two frequent symbols
     common = np.bincount(symbols, weights=None if weight is None else weight[owner]) >= min_pairs
     possible = common[left] & common[right]
+    if live is not None:
+        possible &= live
     if owner is not None:
         possible &= owner[1:] == owner[:-1]
     where = np.flatnonzero(possible)
@@ -123,7 +129,8 @@ def _round(symbols: np.ndarray, owner: np.ndarray | None, weight: np.ndarray | N
     if not len(keys):
         return None
     count = np.bincount(code, weights=None if weight is None else weight[owner[where]], minlength=len(keys))
-    frequent = count >= max(min_pairs, count.max() * MIN_SHARE)
+    least = max(min_pairs, count.max() * MIN_SHARE)
+    frequent = count >= least
     if not frequent.any():
         return None
     number = np.cumsum(frequent) - 1 + first_new
@@ -132,17 +139,26 @@ def _round(symbols: np.ndarray, owner: np.ndarray | None, weight: np.ndarray | N
     run = np.append(True, np.diff(at) > 1)
     start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
     taken = (np.arange(len(at)) - start) % 2 == 0
+    again = np.zeros(len(symbols), bool)
+    again[at] = True
     at, new = at[taken], new[taken]
     symbols = symbols.copy()
     symbols[at] = new
     keep = np.ones(len(symbols), bool)
     keep[at + 1] = False
-    return symbols[keep], None if owner is None else owner[keep], keys[frequent] >> np.int64(32), keys[frequent] & np.int64(0xFFFFFFFF)
+    symbols = symbols[keep]
+    if least > min_pairs:
+        live = None
+    else:
+        fresh = symbols >= first_new
+        live = again[keep][:-1] | fresh[:-1] | fresh[1:]
+    return symbols, None if owner is None else owner[keep], keys[frequent] >> np.int64(32), keys[frequent] & np.int64(0xFFFFFFFF), live
 
 
 def _rounds(symbols, owner, weight, made: list, first_new: int, min_pairs: int):
-    while (found := _round(symbols, owner, weight, first_new, min_pairs)) is not None:
-        symbols, owner, left, right = found
+    live = None
+    while (found := _round(symbols, owner, weight, first_new, min_pairs, live)) is not None:
+        symbols, owner, left, right, live = found
         made.append((left, right))
         first_new += len(left)
     return symbols, owner, first_new
