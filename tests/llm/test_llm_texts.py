@@ -393,6 +393,26 @@ def test_recall_and_order(spark):
         assert all(s == dict(exact[q]).get(i, s) for i, s in rows)
 
 
+def unlike_rows(kind, n=2_000, width=256, seed=3):
+    """Wide rows, whose orders of pivots tell little of distances; with far queries, and far from zero."""
+    values = np.random.default_rng(seed).normal(size=(n, width))
+    if kind == "far queries":
+        values[::100] *= 20
+    elif kind == "offset":
+        values += 1e6
+    return [(i, [float(v) for v in row]) for i, row in enumerate(values)]
+
+
+@pytest.mark.parametrize("kind", ["wide", "far queries", "offset"])
+def test_nearest_are_found_on_unlike_rows(spark, kind):
+    rows = unlike_rows(kind)
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = defaultdict(list)
+    for r in permindex.search(frame, F.col("vec_id") % 100 == 0, permindex.Options(least=20)).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    assert dict(found) == plain_nearest(rows)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, []), (100, [0.0, 2.0]), (None, [1.0, 1.0])]
     frame = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id bigint, embedding array<float>, shard int, block int")
