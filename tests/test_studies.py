@@ -96,6 +96,34 @@ def test_wide_projection_spans_the_pca_plane(spark):
     assert (got**2).sum() == pytest.approx((centred**2).sum(), rel=1e-6)
 
 
+def test_decompositions_of_folds_run_one_at_a_time(spark, monkeypatch):
+    import threading
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(r.tolist(),) for r in rng.normal(size=(30, 6))], "x array<double>").select(array_to_vector("x").alias("x")).cache()
+    running, most, guard, plain = [0], [0], threading.Lock(), models.RowMatrix.computeSVD
+
+    def watched(self, *args):
+        with guard:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(1)
+        try:
+            return plain(self, *args)
+        finally:
+            with guard:
+                running[0] -= 1
+
+    monkeypatch.setattr(models.RowMatrix, "computeSVD", watched)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: models.principal_axes(rows, 3), range(4)))
+    assert most[0] == 1
+
+
 SELECTION = {
     "candidate_id": "feature-budget:logistic_l2:6",
     "selection_rationale": "small and stable",
