@@ -124,6 +124,21 @@ def test_decompositions_of_folds_run_one_at_a_time(spark, monkeypatch):
     assert most[0] == 1
 
 
+def test_final_query_locks_evidence_that_is_found_once(spark, monkeypatch):
+    import secrets
+
+    from exprstudy.plans import queries, roles
+
+    rows, _, _ = planted(spark, n_per_class=20, n_genes=9, strength=5.0)
+    monkeypatch.setattr(roles, "matrix", lambda *_: rows)
+    monkeypatch.setattr(roles, "genes", lambda *_: gene_table(spark, 9))
+    # documents whose text is another one each time they are found
+    blank = F.udf(lambda: " " * secrets.randbelow(100_000)).asNondeterministic()()
+    monkeypatch.setattr(roles, "evidence", lambda *_: evidence(spark).withColumn("document", F.concat("document", blank)))
+    found = queries._final(spark, "unused", SELECTION["candidate_id"], SELECTION["pipeline"])
+    assert found["predictions"].count() == 12
+
+
 SELECTION = {
     "candidate_id": "feature-budget:logistic_l2:6",
     "selection_rationale": "small and stable",
