@@ -120,6 +120,22 @@ def test_budgets_together_equal_budgets_alone(study):
     assert joined.where(F.abs(F.col("coefficient") - F.col("again")) > 1e-9).count() == 0
 
 
+def test_equal_budgets_are_fitted_once(study, monkeypatch):
+    asked, plain = [], blockfit.fit_all
+    monkeypatch.setattr(blockfit, "fit_all", lambda blocks, problems: asked.extend(problems) or plain(blocks, problems))
+    four, many, whole = studies.fit_linear(study, [studies.Request("logistic_l2", b) for b in (4, 1_000, "all")])
+    assert len(asked) == 3 * 2
+    assert [o.coefficients.count() for o in (four, many, whole)] == [3 * 3 * 4, 3 * 3 * 9, 3 * 3 * 9]
+
+
+def test_all_cores_take_part_in_a_step(spark, monkeypatch):
+    rows, _, _ = planted(spark, n_per_class=40, n_genes=9)
+    blocks = blockfit.write_blocks(studies.labelled(rows.withColumn("fold", F.lit(0)), ["A", "B", "C"]), "error")
+    assert blockfit.load_blocks(blocks).getNumPartitions() == 1
+    monkeypatch.setattr(blockfit, "LEAST_BYTES", 1_000)
+    assert blockfit.load_blocks(blocks).getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_two_classes_and_scores(spark):
     rows, _, _ = planted(spark, n_per_class=15, classes=("A", "B"), n_genes=4, strength=5.0)
     study = studies.prepare(studies.freeze_folds(rows, 3), 3)
