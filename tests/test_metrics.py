@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.functions.ranking import bucketed_row_number, quantile_bucket
 from exprstudy.operators import compare, interpret, lock, metrics
+from exprstudy.plans import roles
 from exprstudy.sources.sinks import create_document
 
 CLASSES = ["A", "B", "C"]
@@ -198,6 +199,16 @@ def test_tradeoff_and_speedup(spark):
     assert {r["run"]: r["speedup_vs_first_cpu"] for r in compare.run_speedup(runs).collect()} == {1: 8.0, 2: 1.0, 3: None}
 
 
+def test_fold_metrics_do_not_depend_on_the_order_of_events(spark, tmp_path):
+    rows = [(i, 0, "view", 0.1 * (i % 97) + 10.0 ** (i % 7), '{"k": 1}') for i in range(4_000)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string")
+    found = set()
+    for n in (1, 3, 7):
+        events.repartition(n, F.col("event_id") % 11).sortWithinPartitions(F.xxhash64("event_id", F.lit(n))).write.parquet(str(tmp_path / str(n) / "events.parquet"))
+        found.add(tuple(sorted((r["fold"], r["value"], r["seconds"]) for r in roles.fold_metrics(spark, str(tmp_path / str(n))).collect())))
+    assert len(found) == 1
+
+
 def test_lock_comparison(spark):
     schema = "artifact string, n_rows bigint, sha256 string"
     want = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x"), ("d", 2, "x")], schema)
@@ -259,3 +270,13 @@ def test_folder_fingerprint_does_not_depend_on_files(spark, tmp_path):
         assert [tuple(r) for r in got] == [(2500, sum(len(x) + 1 for x in lines), plain_tree([x.encode() for x in lines]))]
     rows.where("i < 0").select("value").write.text(str(tmp_path / "none"))
     assert tuple(lock.folder_fingerprint(spark, str(tmp_path / "none")).first()) == (0, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_lines_are_numbered_where_they_lie(spark, tmp_path):
+    spark.range(1_000).select(F.col("id").cast("string")).write.text(str(tmp_path / "text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lock._numbered_lines(spark, str(tmp_path / "text"))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
