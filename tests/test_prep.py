@@ -173,3 +173,15 @@ def test_prepared_counts(folded):
     prepared = studies.prepare(rows, K)
     assert prepared.classes == ["A", "B", "C"] and prepared.n_rows() == len(y)
     assert sum(prepared.training_counts(0)) == (np.arange(len(y)) % K != 0).sum()
+
+
+def test_quantiles_of_counted_values_are_those_of_all(spark):
+    from exprstudy.operators import quantiles
+
+    rows = [(i % 3, i % 2, float((i * i) % 17) / 100 - 0.05) for i in range(600)] + [(0, 1, -0.0), (0, 0, 0.0)]
+    cells = spark.createDataFrame(rows, "fold int, gene_index int, value double")
+    weights = quantiles.training_weights(cells, 3)
+    counted = quantiles.equal_values(weights, 3)
+    assert counted.count() == cells.select("gene_index", "value").distinct().count() < 40
+    plain, again = ({(r["eval_fold"], r["gene_index"]): r["q"] for r in quantiles.training_quantiles(v, [0.01, 0.3, 0.5, 1.0], 3).collect()} for v in (weights, counted))
+    assert plain == again and len(plain) == 6
