@@ -1,9 +1,13 @@
 """Boosted trees against a plain version that looks at every value of every node."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from conftest import gene_table, planted
 from exprstudy.operators import lock, matrix, split, treefit
 from exprstudy.plans import final, studies
@@ -94,6 +98,60 @@ def test_trees_are_those_of_a_plain_search(spark, classes, more):
         assert shares.sum() == pytest.approx(1.0) and (shares >= 0).all()
 
 
+@pytest.mark.parametrize("classes, more", [(3, {}), (3, {"reg_alpha": 0.4, "gamma": 0.3, "reg_lambda": 0.5}), (2, {"subsample": 1.0})])
+def test_exact_trees_try_every_value(spark, monkeypatch, classes, more):
+    rng = np.random.default_rng(classes)
+    n, wide, k = 150, 5, 2
+    x = np.where(rng.random((n, wide)) < 0.3, 0.0, rng.normal(size=(n, wide)))
+    labels = (np.digitize(x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.3, n), [-0.4, 0.6][: classes - 1])).astype(int)
+    fold, keys = np.arange(n) % k, rng.permutation(10 * n)[:n]
+    wanted = {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "max_bin": 4, "min_child_weight": 0.5, "colsample_bytree": 0.8, **more}
+    s = treefit.Settings(exact=True, **wanted)
+    rows = [(e, int(fold[i]), int(keys[i]), int(labels[i]), [float(v) for v in x[i]]) for i in range(n) for e in range(k)]
+    design = spark.createDataFrame(rows, "eval_fold int, fold int, cache_index bigint, label int, x array<double>").repartition(3)
+    monkeypatch.setattr(treefit, "FEATURE_BLOCK", 2)
+    monkeypatch.setattr(treefit, "SEARCH_ROWS", 64)
+    cuts = treefit.find_cuts(design, s.max_bin)
+    counts = {e: np.bincount(labels[fold != e], minlength=classes).tolist() for e in range(k)}
+    rounds = treefit.fit_all(treefit.write_bins(design, cuts, True), counts, cuts, s)
+    scored = treefit.score(design, treefit.table_of(spark, rounds, cuts), 1 if classes == 2 else classes)
+    got = {(r["eval_fold"], r["cache_index"]): r["margins"] for r in scored.where("fold <> eval_fold").collect()}
+    for e in range(k):
+        own = fold != e
+        every = [np.unique(x[own, j]) for j in range(wide)]
+        plain = plain_trees(x[own], labels[own], keys[own], classes, s, e, every)
+        np.testing.assert_allclose([got[e, int(key)] for key in keys[own]], plain, atol=1e-9)
+
+
+def test_bins_are_searched_wherever_a_cut_may_gain_more():
+    rng = np.random.default_rng(3)
+    s = treefit.Settings(reg_alpha=0.2, reg_lambda=0.5, min_child_weight=0.1)
+    for _ in range(30):
+        g, h = rng.normal(size=60), rng.random(60)
+        bins = np.sort(rng.integers(0, 6, 60))
+        columns = np.stack([g, h, np.maximum(g, 0)], 1)
+        sums = np.stack([columns[bins == b].sum(0) for b in range(6)])[None, None]
+        gain = treefit._gains(g.cumsum(), h.cumsum(), g.sum(), h.sum(), s)
+        for least in np.quantile(gain[np.isfinite(gain)], [0.5, 0.9, 1.0]):
+            marked = treefit.worth_search(sums, np.array([least]), s)[0, 0]
+            assert marked[np.unique(bins[gain >= least])].all()
+
+
+def test_first_splits_equal_sql_beyond_the_bins(spark, tmp_path):
+    """More distinct values than bins: the best cut may lie inside a bin."""
+    rng = np.random.default_rng(5)
+    n = 9_000
+    x = rng.normal(1.0, 0.6, (n, 3)).astype("float32")
+    rows = pa.table({"vec_id": np.arange(n), "embedding": list(x), "label": rng.integers(0, 3, n).astype("int32")})
+    pq.write_table(rows, f"{tmp_path}/embeddings.parquet")
+    columns = ["fold", "class", "gene_index", "cut", "gain", "left_score", "right_score"]
+    got = driver.queries()["tree_first_splits"](spark, str(tmp_path)).select(columns).collect()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+        wanted = db.execute(f"SELECT {', '.join(columns)} FROM ({driver.oracle_sql()['tree_first_splits']})").fetchall()
+    assert len(got) == 15 and sorted(tuple(r) for r in got) == sorted(wanted)
+
+
 def test_margins_survive_being_rebuilt(spark, monkeypatch):
     rows, _, _ = planted(spark, 10)
     prepared = studies.prepare(studies.freeze_folds(rows, 2), 2)
