@@ -152,6 +152,24 @@ def test_first_splits_equal_sql_beyond_the_bins(spark, tmp_path):
     assert len(got) == 15 and sorted(tuple(r) for r in got) == sorted(wanted)
 
 
+def test_small_tables_reach_every_core(spark):
+    n, k = 20_000, 2
+    rows = spark.range(n).repartition(1).select(
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("eval_fold"), (F.col("id") % k).cast("int").alias("fold"), F.col("id").alias("cache_index"),
+        (F.col("id") % 3).cast("int").alias("label"), F.array((F.col("id") % 50).cast("double"), F.col("id").cast("double")).alias("x"),
+    )
+    cuts = {e: [np.arange(0.0, 50.0, 5.0), np.arange(0.0, n, 2_000.0)] for e in range(k)}
+    held = treefit.load_bins(treefit.write_bins(rows, cuts), k).glom().collect()
+    sizes = [sum(len(b.keys) for b in part) for part in held]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and min(sizes) > 0 and max(sizes) <= n / 4
+    for e in range(k):
+        own = [b for part in held for b in part if b.experiment == e]
+        keys = np.concatenate([b.keys for b in own])
+        assert sorted(keys.tolist()) == [i for i in range(n) if i % k != e]
+        wanted = np.stack([np.searchsorted(cuts[e][0], keys % 50), np.searchsorted(cuts[e][1], keys)], 1)
+        assert (np.concatenate([b.bins for b in own]) == wanted).all() and (np.concatenate([b.labels for b in own]) == keys % 3).all()
+
+
 def test_margins_survive_being_rebuilt(spark, monkeypatch):
     rows, _, _ = planted(spark, 10)
     prepared = studies.prepare(studies.freeze_folds(rows, 2), 2)
