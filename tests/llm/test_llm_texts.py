@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import hashlib
 import math
 import os
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from exprstudy.llm import bpe, catalogue, grammar, htmltext, langid, linealign, neardup, packing, permindex, pieces, quality, suffixtree
 from exprstudy.llm import textops as tx
+from exprstudy.session import durable
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -207,6 +209,41 @@ def test_rare_contexts_are_states(spark):
         assert [got[i] for i in [*ids, new]] == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_runs_of_positions_change_nothing(spark, given, depth, monkeypatch):
+    """Contexts with more positions than a run, split by longer contexts, score as in one go; so do more parts."""
+    options = suffixtree.Options(word_depth=depth)
+    rows = given.select("doc_id", "text").unionByName(spark.createDataFrame([(10**9 + i, "very common pair " * 300) for i in range(9)], "doc_id bigint, text string"))
+    want = {r.doc_id: r[5:] for r in suffixtree.scores(rows, held_out(), options, apart=True).collect()}
+    monkeypatch.setattr(suffixtree, "RUN_TOKENS", 40)
+    monkeypatch.setattr(suffixtree, "LEAST_PARTS", 3)
+    got = {r.doc_id: r[5:] for r in suffixtree.scores(rows, held_out(), options, apart=True).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
+
+
+def test_cells_come_back():
+    rng = np.random.default_rng(9)
+    rows = rng.integers(0, [[3], [4], [1 << 31]], (3, 500))
+    rows = list(rows[:, np.lexsort(rows[::-1])])
+    steps = suffixtree._steps(rows)
+    assert all((a == b).all() for a, b in zip(suffixtree._rows(steps), rows))
+    columns = [*steps, np.array([], np.int64), np.array([7, 255], np.uint8), np.array([-0.5, 1e300]), np.array([0, 1 << 40]), np.array([-1, 5]).view(np.uint64)]
+    back = suffixtree._expand(suffixtree._squeeze(*columns))
+    assert all((a.view(np.uint8) == b.view(np.uint8)).all() for a, b in zip(back, columns))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER.replace("0.001", "0.01")), reason="given tables are not here")
+def test_tables_of_the_tree_stay_near_the_size_of_the_texts(spark, monkeypatch):
+    """What the query leaves in the shared folder; rows of all contexts took many times the texts."""
+    written = []
+    monkeypatch.setattr(suffixtree, "durable", lambda *given: written.append(durable(*given)) or written[-1])
+    docs = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet")
+    suffixtree.scores(docs, held_out()).count()
+    size = lambda frame: sum(os.path.getsize(urlparse(path).path) for path in frame.inputFiles())
+    assert 0 < sum(map(size, written)) < 2 * size(docs)
+
+
 def test_scores_of_nothing(empty):
     assert suffixtree.scores(empty, held_out()).count() == 0
 
