@@ -808,7 +808,7 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options(), apar
         p = np.maximum(c[i] - options.discount, 0) / max(n_all, 1) + known_part * np.power(10.0, log_spelled)
         logs[i] = np.minimum(np.where(c[i] > 0, np.log10(np.maximum(p, 1e-300)), log_spelled + log_unknown) - others, 0)
 
-        columns, word, text, first, first_word = _positions(block, symbol, predicted, options.word_depth)
+        columns, word, text, first, first_word = _positions(block, symbol, predicted, max(options.word_depth, 1))
         counts = np.append(c, 0)
         at = tx.offsets_of(block.n_words)
         own = tx.segment_sum(logs[block.words], at)
@@ -821,8 +821,7 @@ def scores(docs: DataFrame, held_out: Column, options: Options = Options(), apar
         )
         # the texts go on by any part, marked by a number below 0
         rows = [(-1 - name % n_parts, name, whole)]
-        if options.word_depth:
-            rows += [(p, name, cell) for p, cell in _deal_positions(n_parts, columns, counts[word], text, block.held)]
+        rows += [(p, name, cell) for p, cell in _deal_positions(n_parts, columns, counts[word], text, block.held)]
         tx.give_back()
         return pa.Table.from_batches([_cells(rows)])
 

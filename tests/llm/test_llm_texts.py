@@ -222,6 +222,15 @@ def test_runs_of_positions_change_nothing(spark, given, depth, monkeypatch):
     assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
 
 
+def test_tree_without_contexts(spark):
+    """At depth 0 every position has its symbol's discounted share."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    frame = spark.createDataFrame([*zip(ids, ["a b a", "b a", ""])], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in suffixtree.scores(frame, held_out(), suffixtree.Options(word_depth=0)).collect()}
+    a, b, end = (math.log10(0.75 * 3 / 8 / 4 + (n - 0.75) / 8) for n in (3, 2, 3))
+    assert [got[i] for i in ids] == pytest.approx([2 * a + b + end, a + b + end, end])
+
+
 def test_cells_come_back():
     rng = np.random.default_rng(9)
     rows = rng.integers(0, [[3], [4], [1 << 31]], (3, 500))
