@@ -220,3 +220,82 @@ def test_locked_trees_have_probabilities_and_load_again(spark, tmp_path):
         assert r["scores"] == pytest.approx(r["other"], abs=1e-12) and r["call"] == r["predicted_label"]
         assert sum(r["scores"]) == pytest.approx(1.0)
     assert pairs.count() == manifest.where("split = 'holdout'").count()
+
+
+def test_boosted_study_grows_all_rounds(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(11)
+    n, labels = 240, np.arange(240) % 3
+    x = (rng.normal(1.0, 0.5, (n, 4)) + 2.0 * (labels[:, None] == np.arange(4))).astype("float32")
+    rows = pa.table({"vec_id": np.arange(n), "embedding": list(x), "label": labels.astype("int32")})
+    pq.write_table(rows, f"{tmp_path}/embeddings.parquet")
+    outcomes, plain = [], studies.fit_trees
+
+    def fit_trees(*args, **params):
+        outcomes.append(plain(*args, **params))
+        return outcomes[-1]
+
+    monkeypatch.setattr(studies, "fit_trees", fit_trees)
+    got = {r["gene_index"]: r["mean_gain_importance"] for r in driver.queries()["boosted_study"](spark, str(tmp_path)).collect()}
+    (outcome,) = outcomes
+    trees = outcome.weights.collect()
+    assert {(r["eval_fold"], r["round"], r["tree"]) for r in trees} == {(e, i, c) for e in range(5) for i in range(300) for c in range(3)}
+    assert len(trees) == 5 * 300 * 3
+    wanted = np.zeros(4)
+    for e in range(5):
+        gains = [[] for _ in range(4)]
+        for r in trees:
+            for feature, gain in zip(r["features"], r["gains"]):
+                if r["eval_fold"] == e and feature >= 0:
+                    gains[feature].append(gain)
+        means = np.array([np.mean(own) if own else 0.0 for own in gains])
+        wanted += means / means.sum() / 5
+    assert got == pytest.approx(dict(enumerate(wanted)), abs=1e-6)
+
+
+def binned(spark, classes, wide=7, n=400, k=2):
+    rng = np.random.default_rng(classes)
+    x = np.round(rng.normal(size=(n, wide)), 1)
+    labels = (np.digitize(x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.3, n), [-0.4, 0.6][: classes - 1])).astype(int)
+    rows = [(e, i % k, 3 * i, int(labels[i]), [float(v) for v in x[i]]) for i in range(n) for e in range(k)]
+    design = spark.createDataFrame(rows, "eval_fold int, fold int, cache_index bigint, label int, x array<double>").repartition(3)
+    counts = {e: np.bincount(labels[np.arange(n) % k != e], minlength=classes).tolist() for e in range(k)}
+    return design, counts
+
+
+@pytest.mark.parametrize(
+    "classes, more",
+    [
+        (3, {}),
+        (3, {"reg_alpha": 0.4, "reg_lambda": 2.5, "gamma": 0.3, "min_child_weight": 2.0}),
+        (3, {"reg_lambda": 0.0, "min_child_weight": 0.0, "max_bin": 300}),
+        (2, {"subsample": 1.0, "colsample_bytree": 1.0, "min_child_weight": 12.0}),
+    ],
+)
+def test_whole_experiments_grow_the_trees_of_levels(spark, monkeypatch, classes, more):
+    design, counts = binned(spark, classes)
+    s = treefit.Settings(**{"n_estimators": 5, "max_depth": 5, "learning_rate": 0.3, "max_bin": 24, **more})
+    cuts = treefit.find_cuts(design, s.max_bin)
+    blocks = treefit.write_bins(design, cuts)
+    whole = treefit.grow_all(blocks, counts, cuts, s).cache()
+    monkeypatch.setattr(treefit, "WHOLE_BYTES", 0)
+    monkeypatch.setattr(treefit, "_grow_experiments", None)
+    by_level = treefit.grow_all(blocks, counts, cuts, s)
+    tables = [trees.orderBy("eval_fold", "round", "tree").collect() for trees in (whole, by_level)]
+    shares = [treefit.table_importances(trees, {e: 7 for e in cuts}) for trees in (whole, by_level)]
+    rounds = treefit.fit_all(blocks, counts, cuts, s)
+    for e in cuts:
+        for found in shares:
+            np.testing.assert_allclose(found[e], treefit.importances(rounds[e], 7), atol=1e-9)
+    assert len(tables[0]) == len(tables[1]) == 2 * 5 * (1 if classes == 2 else classes)
+    for a, b in zip(*tables):
+        assert a["features"] == b["features"] and a["cuts"] == b["cuts"]
+        np.testing.assert_allclose(a["scores"], b["scores"], atol=1e-9)
+        np.testing.assert_allclose(a["gains"], b["gains"], atol=1e-7)
+
+
+def test_large_experiments_grow_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(treefit, "_grow_experiments", None)
+    monkeypatch.setattr(treefit, "WHOLE_BYTES", 0)
+    test_margins_survive_being_rebuilt(spark, monkeypatch)
+    s = treefit.Settings()
+    assert treefit._whole_bytes(200_000, 64, 256, 10, s) < 160 << 20 < treefit._whole_bytes(2_000_000, 64, 256, 10, s)
