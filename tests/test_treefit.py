@@ -298,4 +298,4 @@ def test_large_experiments_grow_by_levels(spark, monkeypatch):
     monkeypatch.setattr(treefit, "WHOLE_BYTES", 0)
     test_margins_survive_being_rebuilt(spark, monkeypatch)
     s = treefit.Settings()
-    assert treefit._whole_bytes(200_000, 64, 256, 10, s) < 160 << 20 < treefit._whole_bytes(2_000_000, 64, 256, 10, s)
+    assert treefit._whole_bytes(440_000, 64, 256, 10, s) < 320 << 20 < treefit._whole_bytes(2_000_000, 64, 256, 10, s)
